@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from portolan.scratch import shared_folder
+from portolan.scratch import new_folder
 
 
 def dense_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """Add `name`: the row's place, from 0, in the order of `order_by`.
 
     A range-partitioned sort spreads the rows; each row notes its partition and
-    its place in it; the notes are pinned by a reliable checkpoint, so a lost
-    executor cannot renumber rows; partition counts (one row per partition)
+    its place in it; the noted rows are written once to the shared folder, so a
+    lost executor cannot renumber them; partition counts (one row per partition)
     give each partition its offset.
 
     Rows equal in `order_by` follow their content hash, and fully equal rows
     their input place, so one hot key value still spreads over many partitions.
     Which of two fully equal rows comes first makes no difference to the result.
     """
-    shared_folder(df.sparkSession)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    placed = (
+    (
         df.withColumns({"_content": content, "_input": F.monotonically_increasing_id()})
         .orderBy(*order_by, "_content", "_input")
         .drop("_content", "_input")
@@ -29,8 +30,11 @@ def dense_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
                       "_id": F.monotonically_increasing_id()})
         .withColumn("_place", F.col("_id") - F.shiftleft(F.col("_part").cast("bigint"), 33))
         .drop("_id")
-        .checkpoint()
+        .write.parquet(path)
     )
+    noted = StructType([*df.schema.fields, StructField("_part", IntegerType()),
+                        StructField("_place", LongType())])
+    placed = spark.read.schema(noted).parquet(path)
     # One row per sort partition: the running sum is over task counts, not data.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

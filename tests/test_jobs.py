@@ -1,0 +1,84 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from portolan import __main__ as cli
+from portolan.operators.quality import QualityError
+from portolan.plans import jobs
+from portolan.schemas import TABLES
+from portolan.scratch import new_folder
+from tests.helpers import CITY_TEXT, LABEL_TEXT, entries
+
+RAW = [
+    {"cicid": 1.0, "i94yr": 2016.0, "i94mon": 4.0, "arrdate": 20573.0, "i94addr": "NY",
+     "i94visa": 1.0, "i94port": "LAG", "i94cit": 687.0, "i94mode": 1.0, "count": 1.0,
+     "dtaddto": "D/S", "dtadfile": "20160429", "admnum": "1.0"},
+    {"cicid": 2.0, "i94yr": 2016.0, "i94mon": 5.0, "arrdate": 20576.0, "i94addr": "TX",
+     "i94visa": 2.0, "i94port": "PDN", "i94cit": 582.0, "i94mode": 3.0, "count": 1.0},
+    {"cicid": 3.0, "i94yr": 2016.0, "i94mon": 5.0, "i94addr": "ZZ", "count": 1.0},
+]
+
+
+@pytest.fixture(params=["parquet", "csv"])
+def cfg(request, spark, tmp_path):
+    (tmp_path / "labels.txt").write_bytes(LABEL_TEXT.encode())
+    (tmp_path / "cities.csv").write_text(CITY_TEXT)
+    raw = entries(spark, *RAW)
+    writer = raw.write.option("header", True) if request.param == "csv" else raw.write
+    writer.format(request.param).save(str(tmp_path / "entries-2016"))
+    return jobs.JobConfig(
+        lake="{root}/lake", entries="{root}/entries-{year}", entries_fmt=request.param,
+        labels="{root}/labels.txt", demographics="{root}/cities.csv", dims_fmt=request.param,
+        as_of=dt.date(2020, 1, 1), params={"root": str(tmp_path), "year": "2016"})
+
+
+def test_the_whole_lake(spark, cfg):
+    report = jobs.run_all(spark, cfg)
+    assert {r.table_name for r in report.collect()} == set(TABLES)
+    assert report.where("not passed").isEmpty()
+    tables = {name: jobs.open_table(spark, cfg, name) for name in TABLES}
+    assert {name: df.count() for name, df in tables.items()} == {
+        "fact_i94": 3, "fact_demographics": 3, "dim_time": 2, "dim_port": 10, "dim_country": 5,
+        "dim_i94_mode": 4, "dim_state": 13, "dim_visa": 3}
+    for name, df in tables.items():
+        assert df.schema.simpleString() == TABLES[name].simpleString()
+    from portolan.operators.star import LINKS, star_join
+    row = star_join(tables["fact_i94"], tables, list(LINKS)).where("i94_key = 1").first()
+    assert (row.citizenship, row.port_address, row.i94mode, row.state, row.visa_broad_type,
+            row.weekday) == ("ARGENTINA", "LA GUARDIA", "Air", "NEW YORK", "Business", 6)
+    assert jobs.entry_rejects(spark, cfg).where("rejected > 0").isEmpty()
+
+
+def test_a_bad_load_leaves_the_table(spark, cfg):
+    jobs.load_fact(spark, cfg)
+    from dataclasses import replace
+    with pytest.raises(QualityError, match="year to come"):
+        jobs.load_fact(spark, replace(cfg, as_of=dt.date(2015, 1, 1)))
+    assert jobs.open_table(spark, cfg, "fact_i94").count() == 3
+
+
+def test_monthly_reload(spark, cfg, tmp_path):
+    from dataclasses import replace
+    jobs.load_fact(spark, cfg)
+    entries(spark, {**RAW[1], "cicid": 9.0}).write.parquet(str(tmp_path / "entries-fix"))
+    fix = replace(cfg, entries_fmt="parquet", reload=True, entries_by_month=True,
+                  params={**cfg.params, "year": "fix"})
+    assert sorted(r.i94_key for r in jobs.load_fact(spark, fix).collect()) == [1, 9]
+
+
+def test_command_line(spark, cfg, tmp_path, capsys):
+    arguments = ["--lake", str(tmp_path / "lake"), "--param", f"root={tmp_path}",
+                 "--param", "year=2016", "--entries", "{root}/entries-{year}",
+                 "--entries-fmt", cfg.entries_fmt, "--labels", "{root}/labels.txt",
+                 "--demographics", "{root}/cities.csv", "--as-of", "2020-01-01"]
+    cli.main(["all", *arguments])
+    assert "entry_year_not_future" in capsys.readouterr().out
+    cli.main(["check", *arguments])
+    assert "dim_port" in capsys.readouterr().out
+
+
+def test_scratch_is_the_cluster_folder(spark):
+    first, second = new_folder(spark, "x"), new_folder(spark, "x")
+    assert first != second
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))

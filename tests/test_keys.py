@@ -1,0 +1,85 @@
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from portolan.operators.demographics import (
+    build_demographics, project_demographics, state_populations,
+)
+from portolan.operators.keys import dense_index
+from portolan.schemas import TABLES
+from portolan.sources.demographics import read_demographics
+from tests.helpers import CITY_TEXT
+
+
+@pytest.fixture(scope="module")
+def city_file(tmp_path_factory):
+    path = tmp_path_factory.mktemp("cities") / "cities.csv"
+    path.write_text(CITY_TEXT)
+    return str(path)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=40))
+def test_dense_and_ordered(spark, rows):
+    df = spark.createDataFrame(rows, "a int, b int").repartition(3)
+    got = sorted((r.n, r.a, r.b) for r in dense_index(df, ["a"], "n").collect())
+    assert [n for n, _, _ in got] == list(range(len(rows)))
+    assert [a for _, a, _ in got] == sorted(a for a, _ in rows)
+    assert Counter((a, b) for _, a, b in got) == Counter(rows)
+
+
+def test_same_result_whatever_the_input_layout(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50).alias("v"))
+    first = dense_index(df.repartition(2), ["k"], "n")
+    second = dense_index(df.repartition(7, "v"), ["k"], "n")
+    assert Counter(map(tuple, first.collect())) == Counter(map(tuple, second.collect()))
+
+
+def test_one_hot_row_still_spreads(spark):
+    """Half of the rows are the very same row; no sort partition gets them all."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 80000, 1, 8).select(
+            F.when(F.col("id") < 40000, 0).otherwise(F.col("id")).alias("k"))
+        numbered = dense_index(df, ["k"], "n")
+        path = numbered.inputFiles()
+        sizes = [r["count"] for r in
+                 spark.read.parquet(*path).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 80000 and max(sizes) < 20000
+    stats = numbered.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    assert tuple(stats) == (0, 79999, 80000)
+
+
+def test_demographics(spark, city_file):
+    raw = read_demographics(spark, city_file)
+    assert "foreign_born" in raw.columns and raw.columns[-1] == "count"
+    fact = build_demographics(raw)
+    assert fact.schema.simpleString() == TABLES["fact_demographics"].simpleString()
+    assert sorted(map(tuple, fact.collect()), key=lambda r: r[-1]) == [
+        ("Albany", "New York", 33.8, 100, 120, 220, 10, 30, 2.5, "NY", "Asian", 0),
+        ("Albany", "New York", 33.8, 100, 120, 220, 10, 30, 2.5, "NY", "White", 1),
+        ("Austin", "Texas", 30.1, 400, None, 810, 20, None, 2.75, "TX", "White", 2)]
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    lines = [line.split(";") for line in CITY_TEXT.strip().split("\n")]
+    (tmp_path / "c.csv").write_text("\n".join(";".join(reversed(l)) for l in lines) + "\n")
+    turned = project_demographics(read_demographics(spark, str(tmp_path)))
+    assert turned.where("city = 'Austin'").first().total_population == 810
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(CITY_TEXT)
+    (tmp_path / "b.csv").write_text(CITY_TEXT.replace("City;State;", "State;City;"))
+    with pytest.raises(Exception, match="(?i)header"):
+        project_demographics(read_demographics(spark, str(tmp_path))).collect()
+
+
+def test_a_city_counts_once(spark, city_file):
+    totals = state_populations(project_demographics(read_demographics(spark, city_file)))
+    assert {r.state_code: (r.total_population, r.female_population) for r in totals.collect()} == {
+        "NY": (220, 120), "TX": (810, None)}
