@@ -1,4 +1,4 @@
-"""`spark-submit portolan/__main__.py JOB --lake PATH ...`: run one job, or all."""
+"""`spark-submit run_job.py JOB --lake PATH ...`: run one job, or all."""
 
 from __future__ import annotations
 

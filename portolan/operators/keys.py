@@ -35,14 +35,15 @@ def dense_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     noted = StructType([*df.schema.fields, StructField("_part", IntegerType()),
                         StructField("_place", LongType())])
     placed = spark.read.schema(noted).parquet(path)
-    # One row per sort partition: the running sum is over task counts, not data.
+    # One row per sort partition, at most `spark.sql.shuffle.partitions` of them: the
+    # running sum is over task counts, and the broadcast does not grow with the data.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part").agg(F.count("*").alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_place"))
         .drop("_part", "_place", "_offset")
     )

@@ -31,11 +31,22 @@ def no_nulls(column: str) -> Check:
                  f"{column} is missing in some rows")
 
 
+def unique(column: str) -> Check:
+    """A key that occurs twice would double the entries that join it."""
+    return Check(f"{column}_unique", F.count(column) - F.count_distinct(column),
+                 lambda v: v == 0, f"{column} occurs more than once")
+
+
 def checks_for(table: str, as_of: datetime.date) -> list[Check]:
-    """Every table must hold rows; the fact and the calendar have one check more."""
+    """Every table must hold rows; most have one check more."""
     return {
         "fact_i94": [year_not_future(as_of)],
         "dim_time": [no_nulls("arrival_date")],
+        "dim_port": [unique("port_key")],
+        "dim_country": [unique("region_key")],
+        "dim_i94_mode": [unique("i94mode_key")],
+        "dim_state": [unique("state_code")],
+        "dim_visa": [unique("visa_key")],
     }.get(table, [])
 
 

@@ -172,6 +172,13 @@ _DATE_CHECK = _check("dim_time", "arrival_date_not_null",
                      "arrival_date is missing in some rows", "calendar")
 
 
+def _dim_checks(table: str, key: str, source: str, column: str) -> str:
+    """Both checks of a label dimension whose key comes from `column` of `source`."""
+    twice = f"count({column}) - count(distinct {column})"
+    return _not_empty(table, source) + " union all " + _check(
+        table, f"{key}_unique", f"{twice} = 0", twice, f"{key} occurs more than once", source)
+
+
 def _orphans(fact_key: str, dim: str, dim_key: str) -> str:
     return f"""
 select '{fact_key}' as fact_key, cast(f.{fact_key} as varchar) as key,
@@ -281,21 +288,21 @@ from cities""",
     "quality_calendar": f"""
 with {_FACT}, {_CALENDAR} {_not_empty('dim_time', 'calendar')} union all {_DATE_CHECK}""",
     "quality_dims": f"""
-with {_PORTS} {_not_empty('dim_port', 'us_ports')}
-union all {_not_empty('dim_country', 'customer')}
-union all {_not_empty('dim_i94_mode', 'region')}
-union all {_not_empty('dim_state', 'nation')}
-union all {_not_empty('dim_visa', 'region')}""",
+with {_PORTS} {_dim_checks('dim_port', 'port_key', 'us_ports', 'code')}
+union all {_dim_checks('dim_country', 'region_key', 'customer', 'c_custkey')}
+union all {_dim_checks('dim_i94_mode', 'i94mode_key', 'region', 'r_regionkey')}
+union all {_dim_checks('dim_state', 'state_code', 'nation', 'n_nationkey')}
+union all {_dim_checks('dim_visa', 'visa_key', 'region', 'r_regionkey')}""",
     "quality_report": f"""
 with {_FACT}, {_CALENDAR}
 {_not_empty('fact_i94', 'fact')} union all {_year_check(2016)}
 union all {_not_empty('dim_time', 'calendar')} union all {_DATE_CHECK}
 union all {_not_empty('fact_demographics', 'customer')}
-union all {_not_empty('dim_country', 'nation')}
-union all {_not_empty('dim_state', 'nation')}
-union all {_not_empty('dim_i94_mode', 'region')}
-union all {_not_empty('dim_visa', 'region')}
-union all {_not_empty('dim_port', 'part')}""",
+union all {_dim_checks('dim_country', 'region_key', 'nation', 'n_nationkey')}
+union all {_dim_checks('dim_state', 'state_code', 'nation', 'n_nationkey')}
+union all {_dim_checks('dim_i94_mode', 'i94mode_key', 'region', 'r_regionkey')}
+union all {_dim_checks('dim_visa', 'visa_key', 'region', 'r_regionkey')}
+union all {_dim_checks('dim_port', 'port_key', 'part', 'p_partkey')}""",
     "star_count": f"""
 with {_FACT}, {_DIMS}
 select f.state_code, f.visa_key, i94yr, i94mon, s.state, v.visa_broad_type,

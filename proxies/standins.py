@@ -7,7 +7,7 @@ per customer, a state per nation. Every derived set grows with its table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portolan.functions.dates import DAY_ZERO
 from portolan.schemas import RAW_ENTRIES
@@ -19,83 +19,117 @@ KNOWN = 25
 ENTRIES_PER_BLOCK = 1000  # label entries in one rendered block
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The given tables, so that opening one runs no schema job.
+GIVEN = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 
 
-def code(number: Column) -> Column:
-    return F.substring(F.lit(CODES), number.cast("int") * 2 + 1, F.lit(2))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def code(number: str) -> str:
+    """SQL for the state code of a number."""
+    return f"substring('{CODES}', int({number}) * 2 + 1, 2)"
+
+
+# Raw column -> SQL over `orders`, with the blemishes real entries have.
+RAW_FROM_ORDERS = {
+    "_c0": "string(o_orderkey)",
+    "cicid": "double(o_orderkey)",
+    "i94yr": "double(year(day))",
+    "i94mon": "double(month(day))",
+    "i94cit": "double(o_custkey % 25)",
+    "i94res": "double(o_custkey % 30)",
+    "i94port": "concat('P', o_custkey)",
+    "arrdate": f"datediff(day, date'{DAY_ZERO}') + double(o_orderkey % 4) / 4",
+    "i94mode": "case when o_orderkey % 11 = 0 then null when o_orderstatus = 'F' then 1d "
+               "when o_orderstatus = 'O' then 2d else 3d end",
+    "i94addr": code("o_custkey % 28"),
+    "depdate": f"if(o_orderkey % 7 = 0, null, "
+               f"double(datediff(day, date'{DAY_ZERO}') + o_orderkey % 30))",
+    "i94bir": "double(18 + o_orderkey % 60)",
+    "i94visa": "double(left(o_orderpriority, 1))",
+    "count": "1d",
+    "dtadfile": "if(o_orderkey % 13 = 0, '20161301', replace(string(day), '-', ''))",
+    "visapost": "'SYD'",
+    "occup": "if(o_orderkey % 50 = 0, 'STU', null)",
+    "entdepa": "'G'",
+    "entdepd": "'O'",
+    "entdepu": "string(null)",
+    "matflag": "'M'",
+    "biryear": "double(year(day) - 18 - o_orderkey % 60)",
+    "dtaddto": "case when o_orderkey % 10 = 0 then 'D/S' when o_orderkey % 17 = 0 then '1232016' "
+               "else concat(substring(string(date_add(day, 90)), 6, 2), "
+               "substring(string(date_add(day, 90)), 9, 2), "
+               "substring(string(date_add(day, 90)), 1, 4)) end",
+    "gender": "if(o_orderkey % 2 = 0, 'F', 'M')",
+    "insnum": "if(o_orderkey % 9 = 0, string(o_orderkey), null)",
+    "airline": "o_orderpriority",
+    "admnum": "concat(o_orderkey, if(o_orderkey % 3 = 0, '.05.0', '.0'))",
+    "fltno": "lpad(string(o_custkey % 1000), 5, '0')",
+    "visatype": "concat('B', left(o_orderpriority, 1))",
+}
 
 
 def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw entry per order, with the blemishes real entries have."""
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    day = F.col("o_orderdate").cast("date")
-    number = F.datediff(day, F.lit(DAY_ZERO).cast("date"))
-    whole = lambda column: column.cast("double")
-    made = {
-        "_c0": key.cast("string"),
-        "cicid": whole(key),
-        "i94yr": whole(F.year(day)),
-        "i94mon": whole(F.month(day)),
-        "i94cit": whole(cust % 25),
-        "i94res": whole(cust % 30),
-        "i94port": F.concat(F.lit("P"), cust),
-        "arrdate": number + (key % 4) * 0.25,
-        "i94mode": F.when(key % 11 != 0, whole(
-            F.expr("case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end"))),
-        "i94addr": code(cust % 28),
-        "depdate": F.when(key % 7 != 0, whole(number + key % 30)),
-        "i94bir": whole(18 + key % 60),
-        "i94visa": whole(F.left("o_orderpriority", F.lit(1)).cast("int")),
-        "count": F.lit(1.0),
-        "dtadfile": F.when(key % 13 == 0, F.lit("20161301")).otherwise(
-            F.date_format(day, "yyyyMMdd")),
-        "visapost": F.lit("SYD"),
-        "occup": F.when(key % 50 == 0, F.lit("STU")),
-        "entdepa": F.lit("G"),
-        "entdepd": F.lit("O"),
-        "entdepu": F.lit(None).cast("string"),
-        "matflag": F.lit("M"),
-        "biryear": whole(F.year(day) - 18 - key % 60),
-        "dtaddto": F.when(key % 10 == 0, F.lit("D/S")).when(key % 17 == 0, F.lit("1232016"))
-        .otherwise(F.date_format(F.date_add(day, 90), "MMddyyyy")),
-        "gender": F.when(key % 2 == 0, F.lit("F")).otherwise(F.lit("M")),
-        "insnum": F.when(key % 9 == 0, key.cast("string")),
-        "airline": F.col("o_orderpriority"),
-        "admnum": F.concat(key, F.when(key % 3 == 0, F.lit(".05.0")).otherwise(F.lit(".0"))),
-        "fltno": F.lpad((cust % 1000).cast("string"), 5, "0"),
-        "visatype": F.concat(F.lit("B"), F.left("o_orderpriority", F.lit(1))),
-    }
-    return table(spark, sf_dir, "orders").select(
-        *[made[name].alias(name) for name in RAW_ENTRIES.fieldNames()])
+    """One raw entry per order."""
+    orders = table(spark, sf_dir, "orders").selectExpr("*", "date(o_orderdate) as day")
+    return orders.selectExpr(
+        *[f"{RAW_FROM_ORDERS[name]} as {name}" for name in RAW_ENTRIES.fieldNames()])
+
+
+# Printed label of a port by the last digits of its number; `port`, `name` and
+# `state` are what the label is about. Other numbers print "name, state".
+PORT_SHAPES = [
+    "concat('No PORT Code (', port, ')')",
+    "concat('Collapsed (', port, ') 06/15')",
+    "'UNIDENTIFED AIR / SEAPORT'",
+    "'UNKNOWN POE'",
+    "'BELLINGHAM, WASHINGTON #INTL'",
+    "'PASO DEL NORTE,TX'",
+    "concat('INT', chr(39), chr(39), 'L ', name, ', ', state)",
+    "concat('LA ', name, ', NY')",
+    "concat(name, '/', state)",
+    "concat(name, ', CANADA')",
+    "concat('PUT-IN-BAY ', name, ', OH')",
+    "concat(name, ', ', state, ' (BPS)')",
+]
 
 
 def port_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(number, code, value): a port label per part, in every printed shape."""
-    number, name = F.col("p_partkey"), F.upper("p_name")
-    state, shape = code(number % 28), number % 20
-    port = F.concat(F.lit("P"), number)
-    shapes = [
-        F.concat(F.lit("No PORT Code ("), port, F.lit(")")),
-        F.concat(F.lit("Collapsed ("), port, F.lit(") 06/15")),
-        F.lit("UNIDENTIFED AIR / SEAPORT"),
-        F.lit("UNKNOWN POE"),
-        F.lit("BELLINGHAM, WASHINGTON #INTL"),
-        F.lit("PASO DEL NORTE,TX"),
-        F.concat(F.lit("INT''L "), name, F.lit(", "), state),
-        F.concat(F.lit("LA "), name, F.lit(", NY")),
-        F.concat(name, F.lit("/"), state),
-        F.concat(name, F.lit(", CANADA")),
-        F.concat(F.lit("PUT-IN-BAY "), name, F.lit(", OH")),
-        F.concat(name, F.lit(", "), state, F.lit(" (BPS)")),
-    ]
-    value = F.lit(None)
-    for i, text in enumerate(shapes):
-        value = F.when(shape == i, text).otherwise(value)
-    plain = F.concat(name, F.lit(", "), state)
-    return table(spark, sf_dir, "part").select(
-        number.alias("number"), port.alias("code"), F.coalesce(value, plain).alias("value"))
+    shapes = " ".join(f"when {i} then {shape}" for i, shape in enumerate(PORT_SHAPES))
+    return (
+        table(spark, sf_dir, "part")
+        .selectExpr("p_partkey as number", "concat('P', p_partkey) as port",
+                    "upper(p_name) as name", f"{code('p_partkey % 28')} as state")
+        .selectExpr("number", "port as code",
+                    f"case number % 20 {shapes} else concat(name, ', ', state) end as value")
+    )
+
+
+# List keyword line, table, key and printed entry of each label list.
+LABEL_LISTS = [
+    ("\r\n/* I94CIT & I94RES - valid and invalid codes */\r\n  value cntyl\r\n",
+     "customer", "c_custkey", r"format_string('   %d =  \'%s \'', c_custkey, c_name)"),
+    ("\r\n/* I94MODE - missing and not reported */\r\nvalue model\r\n",
+     "region", "r_regionkey", r"format_string('\t%d = \'%s\'', r_regionkey + 1, r_name)"),
+    ("\r\n/* I94ADDR - everything else goes into 'other' */\r\nvalue addrl\r\n",
+     "nation", "n_nationkey", rf"format_string('\t\'%s\'=\'%s\'', {code('n_nationkey')}, n_name)"),
+    ("\r\n/* I94VISA - Visa codes collapsed:\r\n",
+     "region", "r_regionkey", "format_string('   %d = %s', r_regionkey + 1, r_name)"),
+]
+PORT_LIST = ("\r\n\r\n/* I94PORT - valid and invalid codes */\r\n  value $prtl\r\n",
+             r"format_string('   \'%s\'\t=\t\'%s     \'', code, value)")
 
 
 def label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,74 +138,52 @@ def label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     A rendered block holds the entries of 1000 consecutive, distinct keys, so
     its size does not depend on the data.
     """
-    ports = port_labels(spark, sf_dir).select(
-        "number", F.format_string("   '%s'\t=\t'%s     '", "code", "value").alias("entry"))
-    countries = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("number"),
-        F.format_string("   %d =  '%s '", "c_custkey", "c_name").alias("entry"))
-    states = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("number"),
-        F.format_string("\t'%s'='%s'", code(F.col("n_nationkey")), "n_name").alias("entry"))
-    regions = table(spark, sf_dir, "region")
-    modes = regions.select(
-        F.col("r_regionkey").cast("bigint").alias("number"),
-        F.format_string("\t%d = '%s'", F.col("r_regionkey") + 1, "r_name").alias("entry"))
-    visas = regions.select(
-        F.col("r_regionkey").cast("bigint").alias("number"),
-        F.format_string("   %d = %s", F.col("r_regionkey") + 1, "r_name").alias("entry"))
-    lists = [
-        (countries, "\r\n/* I94CIT & I94RES - valid and invalid codes */\r\n  value cntyl\r\n"),
-        (ports, "\r\n\r\n/* I94PORT - valid and invalid codes */\r\n  value $prtl\r\n"),
-        (modes, "\r\n/* I94MODE - missing and not reported */\r\nvalue model\r\n"),
-        (states, "\r\n/* I94ADDR - everything else goes into 'other' */\r\nvalue addrl\r\n"),
-        (visas, "\r\n/* I94VISA - Visa codes collapsed:\r\n"),
-    ]
-    blocks = None
-    for entries, head in lists:
-        batch = (F.col("number") / ENTRIES_PER_BLOCK).cast("bigint")
-        rendered = entries.groupBy(F.concat(F.lit("labels-"), batch).alias("source")).agg(
-            F.concat(F.lit(head), F.concat_ws("\r\n", F.collect_list("entry")),
-                     F.lit("\r\n")).alias("block"))
-        blocks = rendered if blocks is None else blocks.unionByName(rendered)
+    def render(entries: DataFrame, head: str, key: str, entry: str) -> DataFrame:
+        return entries.groupBy(
+            F.expr(f"concat('labels-', {key} div {ENTRIES_PER_BLOCK}) as source")
+        ).agg(F.concat(F.lit(head), F.concat_ws("\r\n", F.collect_list(F.expr(entry))),
+                       F.lit("\r\n")).alias("block"))
+
+    blocks = render(port_labels(spark, sf_dir), PORT_LIST[0], "number", PORT_LIST[1])
+    for head, name, key, entry in LABEL_LISTS:
+        blocks = blocks.unionByName(render(table(spark, sf_dir, name), head, key, entry))
     return blocks
 
 
+# Header of the demographics text -> SQL over `customer`; `city` is its number.
+CITIES_FROM_CUSTOMER = {
+    "City": "concat('City ', city)",
+    "State": f"concat('State ', city % {KNOWN})",
+    "Median Age": "string(20.5d + city % 40)",
+    "Male Population": "string(1000 + city % 9000)",
+    "Female Population": "if(city % 37 = 0, 'n/a', string(1200 + city % 7000))",
+    "Total Population": "concat(2200 + city % 9000 + city % 7000, '.0')",
+    "Number of Veterans": "string(city % 500)",
+    "Foreign-born": "string(city % 800)",
+    "Average Household Size": "string(2 + double(city % 4) / 4)",
+    "State Code": code(f"city % {KNOWN}"),
+    "Race": "concat('Race ', c_custkey % 3)",
+    "Count": "string(c_custkey)",
+}
+
+
 def demographics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A city per three customers with a row per race, every column as text."""
-    city = (F.col("c_custkey") / 3).cast("bigint")
-    male, female = 1000 + city % 9000, 1200 + city % 7000
-    text = lambda column: column.cast("string")
-    made = {
-        "City": F.concat(F.lit("City "), city),
-        "State": F.concat(F.lit("State "), city % KNOWN),
-        "Median Age": text(20.5 + city % 40),
-        "Male Population": text(male),
-        "Female Population": F.when(city % 37 == 0, F.lit("n/a")).otherwise(text(female)),
-        "Total Population": F.concat(male + female, F.lit(".0")),
-        "Number of Veterans": text(city % 500),
-        "Foreign-born": text(city % 800),
-        "Average Household Size": text(2 + (city % 4) * 0.25),
-        "State Code": code(city % KNOWN),
-        "Race": F.concat(F.lit("Race "), F.col("c_custkey") % 3),
-        "Count": text(F.col("c_custkey")),
-    }
-    return table(spark, sf_dir, "customer").select(
-        *[column.alias(name) for name, column in made.items()])
+    customer = table(spark, sf_dir, "customer").selectExpr("*", "c_custkey div 3 as city")
+    return customer.selectExpr(
+        *[f"{text} as `{name}`" for name, text in CITIES_FROM_CUSTOMER.items()])
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The dimensions the derived entries point to; `dim_port` grows with `part`."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    numbered = region.select((F.col("r_regionkey") + 1).alias("key"), "r_name")
     return {
-        "dim_country": nation.select(F.col("n_nationkey").alias("region_key"),
-                                     F.col("n_name").alias("region_name")),
-        "dim_state": nation.select(code(F.col("n_nationkey")).alias("state_code"),
-                                   F.col("n_name").alias("state")),
-        "dim_i94_mode": numbered.toDF("i94mode_key", "i94mode"),
-        "dim_visa": numbered.toDF("visa_key", "visa_broad_type"),
-        "dim_port": table(spark, sf_dir, "part").select(
-            F.concat(F.lit("P"), "p_partkey").alias("port_key"),
-            code(F.col("p_partkey") % KNOWN).alias("state"),
-            F.upper("p_name").alias("address")),
+        "dim_country": nation.selectExpr("n_nationkey as region_key", "n_name as region_name"),
+        "dim_state": nation.selectExpr(f"{code('n_nationkey')} as state_code", "n_name as state"),
+        "dim_i94_mode": region.selectExpr("r_regionkey + 1 as i94mode_key", "r_name as i94mode"),
+        "dim_visa": region.selectExpr("r_regionkey + 1 as visa_key",
+                                      "r_name as visa_broad_type"),
+        "dim_port": table(spark, sf_dir, "part").selectExpr(
+            "concat('P', p_partkey) as port_key", f"{code(f'p_partkey % {KNOWN}')} as state",
+            "upper(p_name) as address"),
     }
