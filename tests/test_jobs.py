@@ -7,7 +7,7 @@ from portolan import __main__ as cli
 from portolan.operators.quality import QualityError
 from portolan.plans import jobs
 from portolan.schemas import TABLES
-from portolan.scratch import new_folder
+from portolan.scratch import new_folder, shared_folder
 from tests.helpers import CITY_TEXT, LABEL_TEXT, entries
 
 RAW = [
@@ -81,4 +81,29 @@ def test_command_line(spark, cfg, tmp_path, capsys):
 def test_scratch_is_the_cluster_folder(spark):
     first, second = new_folder(spark, "x"), new_folder(spark, "x")
     assert first != second
-    assert first.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert first.startswith(named.rstrip("/"))
+
+
+class NoFolder:
+    """As much of a session as the scratch folder looks at, with nothing set."""
+
+    def __init__(self, master):
+        self.sparkContext = self.conf = self
+        self.master, self.folder = master, None
+
+    def get(self, name, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_only_a_local_session_picks_its_own_scratch():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(NoFolder("yarn"))
+    local = NoFolder("local[8]")
+    assert shared_folder(local) == local.folder == shared_folder(local)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tests.helpers import plan
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
@@ -39,6 +40,9 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
     types = dict(got.dtypes)
     assert {c: SAME_TYPE[str(want.description[columns[c]][1])] for c in order} == types
     expected = Counter(tuple(row[columns[c]] for c in order) for row in want.fetchall())
+    physical = plan(got)
+    for mark in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "NestedLoopJoin"):
+        assert mark not in physical
     actual = Counter(tuple(row) for row in got.select(*order).collect())
     assert actual == expected
     assert sum(actual.values()) > 0

@@ -125,10 +125,29 @@ def test_rollup_copies_counts_not_entries(spark, sf_dir):
     assert "HashAggregate" in physical[physical.index("Expand"):]
 
 
-def test_no_query_runs_python_per_row(spark, sf_dir):
-    import __spark_entry__ as contract
-    for name, query in contract.queries().items():
-        text = plan(query(spark, sf_dir))
-        for mark in ("EvalPython", "MapInPandas", "MapInArrow", "CartesianProduct",
-                     "BroadcastNestedLoopJoin"):
-            assert mark not in text, (name, mark)
+def test_a_hot_key_is_split_when_both_sides_are_big(spark):
+    """Two thirds of the entries hold one port; the sort-merge join splits it."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        entries = spark.range(0, 300000, 1, 16).select(
+            F.hash("id").alias("i94_key"),
+            F.when(F.col("id") % 3 < 2, "P7").otherwise(F.concat(F.lit("P"), F.col("id") % 5000))
+            .alias("port_key"))
+        ports = spark.range(5000).select(
+            F.concat(F.lit("P"), "id").alias("port_key"), F.lit("NY").alias("state"),
+            F.col("id").cast("string").alias("address"))
+        joined = star.star_join(entries, {"dim_port": ports}, ["port"]).agg(
+            F.count("*"), F.count("port_address"), F.sum("i94_key"))
+        total, matched, _ = joined.collect()[0]
+        physical = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert total == matched == 300000
+    assert "SortMergeJoin(skew=true)" in physical
