@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 def whole_id(text: Column) -> Column:
     """Drop one trailing `.0` that a float round trip left on an identifier."""
-    return F.regexp_replace(text, r"\.0$", "")
+    return F.when(text.endswith(".0"), F.left(text, F.length(text) - 2)).otherwise(text)
 
 
 def plain_text(text: Column) -> Column:

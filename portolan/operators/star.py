@@ -7,6 +7,7 @@ and otherwise sort-merges, splitting skewed partitions at run time.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -84,3 +85,17 @@ def orphan_keys(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) ->
     counted = fact.where(F.col(fact_key).isNotNull()).groupBy(
         F.col(fact_key).alias("key")).agg(F.count("*").alias("entries"))
     return counted.join(dim.select(F.col(dim_key).alias("key")), "key", "left_anti")
+
+
+def orphan_report(fact: DataFrame, dims: dict[str, DataFrame], links: list[str]) -> DataFrame:
+    """(fact_key, key, entries) of every linked dimension, keys as text.
+
+    Each part reads one column of the fact, so together they read each once.
+    """
+    parts = []
+    for name in links:
+        link = LINKS[name]
+        orphans = orphan_keys(fact, dims[link.table], link.fact_key, link.table_key)
+        parts.append(orphans.select(F.lit(link.fact_key).alias("fact_key"),
+                                    F.col("key").cast("string").alias("key"), "entries"))
+    return reduce(DataFrame.unionByName, parts)

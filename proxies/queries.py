@@ -282,17 +282,9 @@ def unknown_member(spark, sf_dir):
 
 
 def orphan_keys(spark, sf_dir):
-    entries, dims = fact(spark, sf_dir), standins.dimensions(spark, sf_dir)
-    found = []
-    for name in ("citizenship", "residence", "mode", "state", "visa", "port"):
-        link = star.LINKS[name]
-        orphans = star.orphan_keys(entries, dims[link.table], link.fact_key, link.table_key)
-        found.append(orphans.select(F.lit(link.fact_key).alias("fact_key"),
-                                    F.col("key").cast("string").alias("key"), "entries"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return star.orphan_report(
+        fact(spark, sf_dir), standins.dimensions(spark, sf_dir),
+        ["citizenship", "residence", "mode", "state", "visa", "port"])
 
 
 def topk_destinations(spark, sf_dir):

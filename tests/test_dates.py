@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from portolan.functions.dates import FIRST_DAY, END_DAY, file_date, leave_date, sas_date
@@ -31,6 +32,22 @@ def test_sas_date(spark, zone):
         dt.date(1, 1, 1), None, dt.date(9999, 12, 31), None]
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.dates(), min_size=1, max_size=200))
+def test_day_numbers_come_back(spark, dates):
+    days = [float((d - dt.date(1960, 1, 1)).days) for d in dates]
+    assert through(spark, days, "double", sas_date) == dates
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.dates(), min_size=1, max_size=200))
+def test_written_dates_come_back(spark, dates):
+    texts = [f"{d.year:04}{d.month:02}{d.day:02}" for d in dates]
+    assert through(spark, texts, "string", file_date) == dates
+    texts = [f"{d.month:02}{d.day:02}{d.year:04}" for d in dates]
+    assert through(spark, texts, "string", leave_date) == dates
+
+
 def test_text_dates(spark, zone):
     texts = ["07162016", "D/S", None, "1232016", "junk", "02292016", "02292015", "13012016",
              "07162016 ", "07162016\n", "07160000"]
