@@ -23,8 +23,8 @@ from portolan.sources.tables import read_table
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Where a run reads and writes. Any path Spark can open; `{name}` in a path
-    is filled from `params`."""
+    """Where a run reads and writes. Any path or glob Spark can open. With `params`,
+    `{name}` in a path is filled in (and a glob's own braces must be doubled)."""
 
     lake: str
     entries: str = ""
@@ -38,7 +38,8 @@ class JobConfig:
     params: dict[str, str] = field(default_factory=dict)
 
     def path(self, name: str) -> str:
-        return getattr(self, name).format(**self.params)
+        template = getattr(self, name)
+        return template.format(**self.params) if self.params else template
 
     def table(self, name: str) -> str:
         return f"{self.path('lake').rstrip('/')}/{name}"

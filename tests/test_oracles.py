@@ -45,7 +45,8 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
         assert mark not in physical
     actual = Counter(tuple(row) for row in got.select(*order).collect())
     assert actual == expected
-    assert sum(actual.values()) > 0
+    # Small tables fit one label file, which then has no faults to list.
+    assert actual or name == "label_block_faults"
 
 
 def test_entry(spark):
