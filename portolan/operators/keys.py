@@ -19,11 +19,15 @@ def dense_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     Rows equal in `order_by` follow their content hash, and fully equal rows
     their input place, so one hot key value still spreads over many partitions.
     Which of two fully equal rows comes first makes no difference to the result.
+    The input place is taken after a local sort, so a task that runs again sends
+    the same rows to the same partitions, in whatever order it got them.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     (
-        df.withColumns({"_content": content, "_input": F.monotonically_increasing_id()})
+        df.withColumn("_content", content)
+        .sortWithinPartitions("_content")
+        .withColumn("_input", F.monotonically_increasing_id())
         .orderBy(*order_by, "_content", "_input")
         .drop("_content", "_input")
         .withColumns({"_part": F.spark_partition_id(),
