@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from portolan.operators.calendar import build_calendar
 from portolan.operators.fact import build_fact, reject_counts
+from portolan.operators.quality import quality_report
 from portolan.schemas import FACT_COLUMNS, RAW_ENTRIES, TABLES
 from portolan.sources.entries import read_entries
 from tests.helpers import entries, plan
@@ -72,6 +73,14 @@ def test_fact_is_narrow(spark):
     assert "Exchange" not in text and "EvalPython" not in text
 
 
+def test_the_checks_read_one_raw_column(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    entries(spark, FULL).write.parquet(path)
+    report = quality_report({"fact_i94": build_fact(read_entries(spark, path))})
+    assert "ReadSchema: struct<i94yr:double>" in plan(report)
+    assert report.where("not passed").isEmpty()
+
+
 def test_calendar(spark):
     days = [20560.0, 20560.5, 20454.0, None, 20513.0]  # 2016-04-16 twice, 01-01, none, 02-29
     calendar = build_calendar(build_fact(entries(spark, *[{"arrdate": d} for d in days])))
