@@ -29,6 +29,11 @@ RAW_ENTRIES = columns("""
 
 CORRUPT = "_corrupt_record"
 
+# The CSV dialect of every source and sink: a header line, a quote inside quoted
+# text is doubled, blanks belong to the value, an empty text reads as NULL.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False}
+
 # Published name, raw name, conversion (see operators.fact).
 FACT_COLUMNS = [
     ("i94_key", "cicid", "int"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from portolan.schemas import CSV
+
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], reload: bool = False,
                       gather: bool = True) -> None:
@@ -29,5 +31,5 @@ def write_flat(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Overwrite an unpartitioned table; no index column is ever added."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
     writer.format(fmt).save(path)

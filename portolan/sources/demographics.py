@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from portolan.functions.text import header_name
+from portolan.schemas import CSV
 
 
 def read_demographics(spark: SparkSession, path: str | list[str], sep: str = ";") -> DataFrame:
@@ -14,7 +15,7 @@ def read_demographics(spark: SparkSession, path: str | list[str], sep: str = ";"
     whose header differs from the first one are refused.
     """
     raw = (
-        spark.read.option("header", True).option("enforceSchema", False)
+        spark.read.options(**CSV).option("enforceSchema", False)
         .csv(path, sep=sep, inferSchema=False)
     )
     return raw.toDF(*[header_name(name) for name in raw.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from portolan.schemas import CORRUPT, RAW_ENTRIES
+from portolan.schemas import CORRUPT, CSV, RAW_ENTRIES
 
 
 def read_entries(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
@@ -21,7 +21,7 @@ def read_entries(spark: SparkSession, path: str | list[str], fmt: str = "parquet
         with_corrupt = StructType([*RAW_ENTRIES.fields, StructField(CORRUPT, StringType())])
         return (
             spark.read.schema(with_corrupt)
-            .option("header", True)
+            .options(**CSV)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
             .csv(_paths(path))

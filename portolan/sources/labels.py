@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from portolan.schemas import LABEL_STAGING
+from portolan.schemas import CSV, LABEL_STAGING
 
 
 def read_label_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -16,6 +16,6 @@ def read_label_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_label_staging(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """(code, value, type); `type` is a partition folder in parquet."""
     if fmt == "csv":
-        return spark.read.schema(LABEL_STAGING).csv(path, header=True)
+        return spark.read.schema(LABEL_STAGING).options(**CSV).csv(path)
     return spark.read.schema(LABEL_STAGING).load(path, format=fmt).select(
         *LABEL_STAGING.fieldNames())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.schemas import TABLES
+from portolan.schemas import CSV, TABLES
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
@@ -12,5 +12,5 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     contract = TABLES[name]
     reader = spark.read.schema(contract)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV)
     return reader.load(path, format=fmt).select(*contract.fieldNames())

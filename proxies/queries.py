@@ -18,7 +18,7 @@ from portolan.operators.fact import build_fact, reject_counts
 from portolan.operators.keys import dense_index
 from portolan.operators.quality import quality_report
 from portolan.functions.dates import file_date, leave_date, sas_date
-from portolan.schemas import LABEL_STAGING, PARTITIONS
+from portolan.schemas import CSV, LABEL_STAGING, PARTITIONS
 from portolan.scratch import new_folder
 from portolan.sinks.tables import write_flat, write_partitioned
 from portolan.sources.demographics import read_demographics
@@ -116,7 +116,7 @@ def csv_roundtrip(spark, sf_dir):
     path = new_folder(spark, "customer")
     customer = standins.table(spark, sf_dir, "customer")
     write_flat(customer, path, "csv")
-    return spark.read.schema(customer.schema).csv(path, header=True)
+    return spark.read.schema(customer.schema).options(**CSV).csv(path)
 
 
 # Labels
