@@ -5,18 +5,26 @@ from __future__ import annotations
 import argparse
 import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from portolan.operators.quality import gate
 from portolan.plans import jobs
 
+
+def show_and_gate(report: DataFrame) -> None:
+    """Print the whole report, then fail the run if a check failed."""
+    report.show(100, False)
+    gate(report)
+
+
 JOBS = {
     "fact": jobs.load_fact,
     "calendar": jobs.load_calendar,
     "labels": jobs.load_labels,
     "demographics": jobs.load_demographics,
     "rejects": lambda spark, cfg: jobs.entry_rejects(spark, cfg).show(100, False),
-    "check": lambda spark, cfg: jobs.check_lake(spark, cfg).show(100, False),
-    "all": lambda spark, cfg: jobs.run_all(spark, cfg).show(100, False),
+    "check": lambda spark, cfg: show_and_gate(jobs.check_lake(spark, cfg)),
+    "all": lambda spark, cfg: show_and_gate(jobs.run_all(spark, cfg)),
 }
 
 

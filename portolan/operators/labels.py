@@ -21,7 +21,7 @@ LISTS = {
 
 
 class LabelBlockError(ValueError):
-    """A label file lacks a list, or has it more than once."""
+    """A label file lacks a list, has it more than once, or a `;` cuts a label."""
 
 
 def select_blocks(blocks: DataFrame) -> DataFrame:
@@ -42,12 +42,24 @@ def block_faults(blocks: DataFrame) -> DataFrame:
     return counted.select("source", F.inline("lists")).where("blocks <> 1")
 
 
+def cut_labels(blocks: DataFrame) -> DataFrame:
+    """(source, type) of quoted lists whose quotes do not pair up: a `;` inside a
+    label ended the block early."""
+    quotes = F.length("block") - F.length(F.replace("block", F.lit("'"), F.lit("")))
+    return select_blocks(blocks).where((F.col("type") != "visa") & (quotes % 2 == 1)).select(
+        "source", "type")
+
+
 def require_blocks(blocks: DataFrame) -> None:
-    """Raise for files that `block_faults` lists; the message shows the first few."""
+    """Raise for files with faults; the message shows the first few."""
     faults = block_faults(blocks).limit(10).collect()
     if faults:
         shown = ", ".join(f"{f.type} x{f.blocks} in {f.source}" for f in faults)
         raise LabelBlockError(f"each list must occur once per label file: {shown}")
+    cut = cut_labels(blocks).limit(10).collect()
+    if cut:
+        shown = ", ".join(f"{c.type} in {c.source}" for c in cut)
+        raise LabelBlockError(f"a label holds the block mark ';': {shown}")
 
 
 def parse_labels(selected: DataFrame) -> DataFrame:

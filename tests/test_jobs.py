@@ -76,6 +76,9 @@ def test_command_line(spark, cfg, tmp_path, capsys):
     assert "entry_year_not_future" in capsys.readouterr().out
     cli.main(["check", *arguments])
     assert "dim_port" in capsys.readouterr().out
+    with pytest.raises(QualityError, match="year to come"):
+        cli.main(["check", *arguments, "--as-of", "2015-01-01"])
+    assert "not_empty" in capsys.readouterr().out
 
 
 def test_scratch_is_the_cluster_folder(spark):

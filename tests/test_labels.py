@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -94,6 +96,25 @@ def test_block_faults(spark):
     assert sorted(r.type for r in both) == ["country", "i94_mode", "port", "port", "state", "visa"]
 
 
+def test_a_block_mark_inside_a_label_is_refused(spark, tmp_path):
+    cut = LABEL_TEXT.replace("TORONTO, CANADA", "TORONTO; CANADA")
+    (tmp_path / "l.txt").write_bytes(cut.encode())
+    with pytest.raises(labels.LabelBlockError, match="port in "):
+        labels.require_blocks(read_label_blocks(spark, str(tmp_path)))
+
+
+@pytest.mark.skipif("LABEL_FILE" not in os.environ, reason="LABEL_FILE names no label text")
+def test_full_label_file(spark):
+    """Sizes of the full code lists, for whoever has the file at hand."""
+    blocks = read_label_blocks(spark, os.environ["LABEL_FILE"])
+    labels.require_blocks(blocks)
+    staging = labels.parse_labels(labels.select_blocks(blocks)).drop("source")
+    assert {r.type: r["count"] for r in staging.groupBy("type").count().collect()} == {
+        "port": 660, "country": 289, "state": 55, "i94_mode": 4, "visa": 3}
+    us_ports = labels.build_port_dim(staging)
+    assert us_ports.count() == us_ports.select("port_key").distinct().count() == 526
+
+
 def test_many_files_at_once(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"l{i}.txt").write_bytes(LABEL_TEXT.encode())
