@@ -165,7 +165,8 @@ def label_dim_split(spark, sf_dir):
     for name in ("dim_country", "dim_i94_mode", "dim_state", "dim_visa"):
         key, label = dims[name].columns
         rows = dims[name].select(F.lit(name).alias("table_name"),
-                                 F.col(key).cast("string").alias("key"), F.col(label).alias("label"))
+                                 F.col(key).cast("string").alias("key"),
+                                 F.col(label).alias("label"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

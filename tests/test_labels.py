@@ -2,7 +2,6 @@ import os
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from portolan.functions.text import header_name
 from portolan.operators import labels, ports

@@ -46,7 +46,8 @@ def test_reload_replaces_only_its_months(spark, sf_dir, tmp_path):
 
 def test_missing_month_is_kept(spark, tmp_path):
     path = str(tmp_path / "f")
-    rows = spark.createDataFrame([(1, None, None), (2, 2016, 4)], "i94_key int, i94yr int, i94mon int")
+    rows = spark.createDataFrame([(1, None, None), (2, 2016, 4)],
+                                 "i94_key int, i94yr int, i94mon int")
     write_partitioned(rows, path, BY)
     back = read_table(spark, "fact_i94", path).select("i94_key", *BY)
     assert sorted(map(tuple, back.collect())) == [(1, None, None), (2, 2016, 4)]
