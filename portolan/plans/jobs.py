@@ -101,6 +101,12 @@ def open_table(spark: SparkSession, cfg: JobConfig, name: str) -> DataFrame:
     return read_table(spark, name, cfg.table(name), fmt)
 
 
+def open_views(spark: SparkSession, cfg: JobConfig) -> None:
+    """Every published table as a temporary view of its name, for `spark.sql`."""
+    for name in TABLES:
+        open_table(spark, cfg, name).createOrReplaceTempView(name)
+
+
 def check_lake(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     """Report over every published table; kept, since it is shown and gated on."""
     return quality_report(

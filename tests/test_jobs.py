@@ -47,6 +47,12 @@ def test_the_whole_lake(spark, cfg):
     row = star_join(tables["fact_i94"], tables, list(LINKS)).where("i94_key = 1").first()
     assert (row.citizenship, row.port_address, row.i94mode, row.state, row.visa_broad_type,
             row.weekday) == ("ARGENTINA", "LA GUARDIA", "Air", "NEW YORK", "Business", 6)
+    jobs.open_views(spark, cfg)
+    counted = spark.sql("""
+        select s.state, t.month, sum(f.i94_count) as people
+        from fact_i94 f join dim_state s using (state_code) join dim_time t using (arrival_date)
+        group by s.state, t.month""")
+    assert set(map(tuple, counted.collect())) == {("NEW YORK", 4, 1), ("TEXAS", 5, 1)}
     assert jobs.entry_rejects(spark, cfg).where("rejected > 0").isEmpty()
 
 

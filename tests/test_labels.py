@@ -6,7 +6,8 @@ from hypothesis import given, settings, strategies as st
 from portolan.functions.text import header_name
 from portolan.operators import labels, ports
 from portolan.schemas import TABLES
-from portolan.sources.labels import read_label_blocks
+from portolan.sinks.tables import write_partitioned
+from portolan.sources.labels import read_label_blocks, read_label_staging
 from tests.helpers import LABEL_TEXT, plan
 
 
@@ -130,6 +131,18 @@ def test_port_plan(staging):
         assert join not in text
 
 
+def test_each_dim_reads_its_own_list(spark, staging, tmp_path):
+    path = str(tmp_path / "staging")
+    write_partitioned(staging, path, ["type"])
+    dims = labels.build_dims(read_label_staging(spark, path))
+    for name, kind in [("dim_country", "country"), ("dim_visa", "visa"), ("dim_state", "state")]:
+        text = plan(dims[name])
+        assert "PartitionFilters: [isnotnull(type" in text and f"= {kind})]" in text
+    ports_plan = plan(dims["dim_port"])
+    assert "= port)]" in ports_plan and "= state)]" in ports_plan
+    assert dims["dim_port"].count() == 10
+
+
 NAMES = st.text("ABC xyz,.-/()#", min_size=1, max_size=20).filter(lambda s: s.strip())
 
 
