@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from portolan.scratch import new_folder
 
@@ -82,7 +83,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str | StructType) -> DataFrame:
     """`df.mapInArrow`, with this library at hand in the tasks."""
     ship(df.sparkSession)
     return df.mapInArrow(task, schema)

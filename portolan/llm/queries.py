@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from portolan.llm import packing, token_counts, token_files, warc
+from portolan.llm import (
+    host_rules, mixing, packing, pivot_index, simhash, token_counts, token_files, toxicity, warc,
+)
 from portolan.llm.common import table
 from portolan.scratch import new_folder
 
@@ -24,6 +26,28 @@ def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payloads(warc.read_archives(spark, folder, archives))
 
 
+def op3_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model)
+
+
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("place").alias("vec_id"), "n_links",
+                        F.col("component").alias("component_id"),
+                        F.col("place").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     shards = token_files.write_token_files(
@@ -40,9 +64,13 @@ def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           f"chars_within_{TOKEN_LIMIT}")
 
 
-QUERIES = {
-    "op1_kk_packing": op1_kk_packing,
-    "op2_warc_chunks": op2_warc_chunks,
-    "op8_token_files": op8_token_files,
-    "op9_prefix_counts": op9_prefix_counts,
-}
+def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("place").alias("doc_id"),
+                        simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+QUERIES = {query.__name__: query for query in (
+    op1_kk_packing, op2_warc_chunks, op3_fm_toxicity, op5_pivotal_mix, op6_pivot_index,
+    op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball)}

@@ -2,8 +2,9 @@
 
 A shard is three files of plain little-endian numbers:
 
-    shard-00007.ids   uint32   the ids of its documents, one after the other
-    shard-00007.off   int64    where each document starts in .ids; one more: the end
+    shard-00007.u16   uint16   the ids of its documents, one after the other; .u32 with
+                               uint32 where the vocabulary has over 65,536 ids
+    shard-00007.off   int64    where each document starts among them; one more: the end
     shard-00007.doc   int64    the documents' ids (lowest int64: NULL)
 
 Shards follow each other in ascending `doc_id`. How many ids lie in earlier shards
@@ -26,8 +27,9 @@ from portolan.llm.byte_bpe import byte_bpe
 from portolan.llm.common import chunked, map_arrow, shared_files, written
 
 NO_DOC = -(1 << 63)
-SHARD = "shard int, docs bigint, ids bigint"
-_SHARD = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())])
+SHARD = "shard int, docs bigint, ids bigint, kind string"
+_SHARD = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()),
+                    ("kind", pa.string())])
 ENTRY = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 _ENTRY = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                     ("ids_crc32", pa.int64())])
@@ -38,7 +40,7 @@ def shard_name(path: str, shard: int, kind: str) -> str:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Encode `doc_id`, `text` into shards under `folder`; gives (shard, docs, ids, base).
+    """Encode `doc_id`, `text` into shards under `folder`; gives (shard, docs, ids, kind, base).
 
     Documents are range-partitioned on `doc_id`; equal ids (NULLs first) go by text
     hash and place, so no id can fill one task. Partition p writes shard p: under a
@@ -58,7 +60,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], encoder.dtype)
+        ids_kind = f"u{8 * encoder.dtype.itemsize}"
         fs, path = shared_files(folder)
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
@@ -72,8 +75,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     if ids_file is None:
                         fs.create_dir(path, recursive=True)
                         ids_file = open_files.enter_context(fs.open_output_stream(
-                            shard_name(path, shard, f"ids.{attempt}")))
-                    ids = np.concatenate((encoder.encode(text.as_py() or "").astype("<u4"), end))
+                            shard_name(path, shard, f"{ids_kind}.{attempt}")))
+                    ids = np.concatenate((encoder.encode(text.as_py() or ""), end))
                     ids_file.write(ids.tobytes())
                     size += len(ids)
                     offsets.append(size)
@@ -83,10 +86,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         for kind, numbers in (("off", offsets), ("doc", doc_ids)):
             with fs.open_output_stream(shard_name(path, shard, f"{kind}.{attempt}")) as out:
                 out.write(np.array(numbers, "<i8").tobytes())
-        for kind in ("ids", "off", "doc"):
+        for kind in (ids_kind, "off", "doc"):
             fs.move(shard_name(path, shard, f"{kind}.{attempt}"), shard_name(path, shard, kind))
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "docs": len(doc_ids), "ids": size}], schema=_SHARD)
+            [{"shard": shard, "docs": len(doc_ids), "ids": size, "kind": ids_kind}],
+            schema=_SHARD)
 
     shards = written(map_arrow(ordered, write, SHARD), "shards")
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,8 +108,8 @@ def _numbers(fs: pafs.FileSystem, name: str, dtype: str) -> np.ndarray:
 def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    `start` counts the ids of all documents before. One task per group of shards;
-    a document's ids are a slice of the mapped file.
+    `start` counts the ids of all documents before; the checksum is over 32-bit ids
+    whatever the file holds. A document's ids are a slice of the mapped file.
     """
     n = shards.count()
     if n == 0:
@@ -116,17 +120,18 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> Dat
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for shard, base in zip(batch["shard"].to_pylist(), batch["base"].to_pylist()):
-                    ids = _numbers(fs, shard_name(path, shard, "ids"), "<u4")
+                for shard, kind, base in zip(*(batch[c].to_pylist()
+                                               for c in ("shard", "kind", "base"))):
+                    ids = _numbers(fs, shard_name(path, shard, kind), f"<u{int(kind[1:]) // 8}")
                     offsets = _numbers(fs, shard_name(path, shard, "off"), "<i8")
                     doc_ids = _numbers(fs, shard_name(path, shard, "doc"), "<i8")
                     for i, doc in enumerate(doc_ids.tolist()):
                         start, end = int(offsets[i]), int(offsets[i + 1])
                         yield (None if doc == NO_DOC else doc, base + start, end - start,
-                               zlib.crc32(ids[start:end]))
+                               zlib.crc32(ids[start:end].astype("<u4")))
 
         yield from chunked(rows(), _ENTRY, 10_000)
 
     # One row per shard, in as many tasks: the list of files, not data.
-    listed = shards.select("shard", "base").repartition(n, "shard")
+    listed = shards.select("shard", "kind", "base").repartition(n, "shard")
     return map_arrow(listed, read, ENTRY)
