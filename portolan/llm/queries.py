@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portolan.llm import (
-    host_rules, mixing, packing, pivot_index, simhash, token_counts, token_files, toxicity, warc,
+    host_rules, mixing, packing, pivot_index, simhash, token_counts, token_files, toxicity,
+    url_lists, warc,
 )
 from portolan.llm.common import table
 from portolan.scratch import new_folder
@@ -32,6 +33,48 @@ def op3_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model)
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `pages` as captures. They have no fetch time, so one within two years is
+    derived from the page's number."""
+    minutes = F.pmod(F.col("page_id") * 373, F.lit(1_051_200)).cast("int")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", _at(mins=minutes).alias("fetched_at"))
+
+
+def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a published list: entries for every host of `pages` and its parent
+    domain, with dates and actions drawn from the name."""
+    labels = F.split("host", r"\.")
+    parent = F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".")
+    domains = table(spark, sf_dir, "pages").select(url_lists.host(F.col("url")).alias("host")).where(
+        "host IS NOT NULL").distinct().select(F.explode(F.when(
+            F.size(labels) > 2, F.array("host", parent)).otherwise(
+            F.array("host"))).alias("domain")).distinct()
+
+    def drawn(n: int):
+        return F.conv(F.substring(F.md5("domain"), n, 1), 16, 10).cast("int")
+
+    a, b, c = drawn(1), drawn(2), drawn(3)
+    entries = F.array_compact(F.array(
+        F.struct(F.lit("block").alias("action"), _at(days=30 * a).alias("at")),
+        F.struct(F.lit("remove").alias("action"), _at(days=30 * a + 40 + 10 * b).alias("at")),
+        F.when(c < 12, F.struct(
+            F.when(c % 2 == 0, "allow").otherwise("block").alias("action"),
+            _at(days=30 * a + 200 + 10 * c).alias("at")))))
+    return domains.select("domain", F.inline(entries))
+
+
+def _at(days=None, mins=None):
+    start = F.lit("2016-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(days=days, mins=mins)
+
+
+def op4_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_lists.judge_captures(captures(spark, sf_dir), dated_entries(spark, sf_dir))
+    return judged.withColumns({
+        c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("fetched_at", "since")})
+
+
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -72,5 +115,5 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_kk_packing, op2_warc_chunks, op3_fm_toxicity, op5_pivotal_mix, op6_pivot_index,
-    op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball)}
+    op1_kk_packing, op2_warc_chunks, op3_fm_toxicity, op4_temporal_lists, op5_pivotal_mix,
+    op6_pivot_index, op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball)}

@@ -177,13 +177,15 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> Data
     smallest `doc_id`, or the first in the input of those that share it.
 
     Rows are told apart by their number in that order, so repeated ids and rows leave
-    one row as well.
+    one row as well. What goes is written as a list of numbers: while that is under
+    Spark's broadcast limit, the texts are not shuffled to take it out.
     """
     rows = written(docs.select(F.struct("*").alias("row"),
                                F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                                F.monotonically_increasing_id().alias("n")), "rows")
-    prints = written(near_duplicates(rows, "n", shingle, radius), "prints")
+    prints = written(near_duplicates(rows.select("n", "text"), "n", shingle, radius), "prints")
     ids = rows.select("n", "doc_id").join(prints.select(F.col("place").alias("n"), "component"), "n")
     first = ids.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull(), "doc_id", "n")).alias("first")).select(F.col("first.n").alias("n"))
-    return rows.join(first, "n", "left_semi").select("row.*")
+    gone = written(prints.select(F.col("place").alias("n")).join(first, "n", "left_anti"), "gone")
+    return rows.select("row", "n").join(gone, "n", "left_anti").select("row.*")
