@@ -4,25 +4,40 @@ from __future__ import annotations
 
 import argparse
 import datetime
+from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
-from portolan.operators.quality import gate
+from portolan.operators.quality import refuse
 from portolan.plans import jobs
 
 
+def show(rows: list[Row]) -> None:
+    """Print a report whole; it has a few rows, whatever the data."""
+    for row in rows:
+        print("  ".join(f"{name}={value}" for name, value in row.asDict().items()))
+
+
 def show_and_gate(report: DataFrame) -> None:
     """Print the whole report, then fail the run if a check failed."""
-    report.show(100, False)
-    gate(report)
+    rows = report.collect()
+    show(rows)
+    refuse(rows)
+
+
+def load_and_show_losses(load: Callable, spark: SparkSession, cfg: jobs.JobConfig) -> None:
+    """Load, then print every column that lost values in typing."""
+    _, losses = load(spark, cfg)
+    show(losses.where("rejected > 0").collect())
 
 
 JOBS = {
-    "fact": jobs.load_fact,
+    "fact": partial(load_and_show_losses, jobs.load_fact_and_losses),
     "calendar": jobs.load_calendar,
     "labels": jobs.load_labels,
-    "demographics": jobs.load_demographics,
-    "rejects": lambda spark, cfg: jobs.entry_rejects(spark, cfg).show(100, False),
+    "demographics": partial(load_and_show_losses, jobs.load_demographics_and_losses),
+    "rejects": lambda spark, cfg: show(jobs.entry_rejects(spark, cfg).collect()),
     "check": lambda spark, cfg: show_and_gate(jobs.check_lake(spark, cfg)),
     "all": lambda spark, cfg: show_and_gate(jobs.run_all(spark, cfg)),
 }
@@ -39,8 +54,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--labels", default="")
     parser.add_argument("--demographics", default="")
     parser.add_argument("--dims-fmt", default="parquet", choices=["parquet", "csv"])
-    parser.add_argument("--reload", action="store_true",
-                        help="replace only the months found in the input")
+    parser.add_argument("--replace-all", action="store_true",
+                        help="the input is the whole table: drop the months it lacks")
     parser.add_argument("--as-of", type=datetime.date.fromisoformat)
     parser.add_argument("--param", action="append", default=[], metavar="NAME=VALUE",
                         help="fills {NAME} in the paths")

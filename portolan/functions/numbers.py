@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, functions as F
 
 
 def to_int(number: Column) -> Column:
@@ -10,7 +10,8 @@ def to_int(number: Column) -> Column:
 
 
 def text_to(text: Column, type_name: str) -> Column:
-    """Text to a number type; whole numbers may be written `3.0`."""
+    """Text to a number type; whole numbers may be written `3.0`, not `3.5`."""
     if type_name in ("int", "bigint"):
-        return text.try_cast("double").try_cast(type_name)
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast(type_name))
     return text.try_cast(type_name)

@@ -13,8 +13,8 @@ def whole_id(text: Column) -> Column:
 
 
 def plain_text(text: Column) -> Column:
-    """Doubled quotes out, tabs and line ends to blanks."""
-    return F.regexp_replace(F.replace(text, F.lit("''"), F.lit("")), r"[\t\r\n]", " ")
+    """Doubled quotes out, tabs and line ends to blanks, no blanks around."""
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("''"), F.lit("")), r"[\t\r\n]", " "))
 
 
 def words(text: Column) -> Column:

@@ -66,11 +66,11 @@ def month_on_month(fact: DataFrame) -> DataFrame:
 
 
 def entries_per_resident(fact: DataFrame, demographics: DataFrame) -> DataFrame:
-    """People entering per 1000 residents of the state.
+    """People entering per 1000 residents of the state; NULL where residents are unknown.
 
     Both sides are brought to one row per state before they meet.
     """
     people = people_by(fact, ["state_code"])
-    return people.join(state_populations(demographics), "state_code").select(
+    return people.join(state_populations(demographics), "state_code", "left").select(
         "state_code", "people", "total_population",
         F.try_divide(F.col("people") * 1000.0, "total_population").alias("per_thousand"))

@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from portolan.functions.numbers import text_to
+from portolan.operators.fact import Loss, corrupt_lines, count_losses
 from portolan.operators.keys import dense_index
 from portolan.schemas import DEMOGRAPHICS
 
-# Populations repeat on every race row of a city.
-PER_CITY = ["male_population", "female_population", "total_population",
-            "number_of_veterans", "foreign_born"]
+# Populations repeat on every race row of a city: the contract's whole numbers.
+PER_CITY = [f.name for f in DEMOGRAPHICS if f.dataType.simpleString() == "int"]
+
+
+def _typed(name: str, type_name: str) -> Column:
+    return F.col(name) if type_name == "string" else text_to(F.col(name), type_name)
 
 
 def project_demographics(raw: DataFrame) -> DataFrame:
     """Select and type the contract columns by name; a malformed number is NULL."""
     return raw.select(*[
-        F.col(f.name) if f.dataType.simpleString() == "string"
-        else text_to(F.col(f.name), f.dataType.simpleString()).alias(f.name)
-        for f in DEMOGRAPHICS])
+        _typed(f.name, f.dataType.simpleString()).alias(f.name) for f in DEMOGRAPHICS])
+
+
+def demographics_losses(raw: DataFrame) -> list[Loss]:
+    """Per number column: texts present, and how many are no such number. An empty text
+    reads as NULL and is no loss; a fraction in a whole-number column is one."""
+    numbers = [(f.name, f.dataType.simpleString()) for f in DEMOGRAPHICS
+               if f.dataType.simpleString() != "string"]
+    return [*[Loss(name, F.count(name), F.lit(0), F.count_if(
+        F.col(name).isNotNull() & _typed(name, kind).isNull())) for name, kind in numbers],
+        *corrupt_lines(raw)]
+
+
+def demographics_rejects(raw: DataFrame) -> DataFrame:
+    """The losses of `project_demographics`, and the lines that did not parse."""
+    return count_losses(raw, demographics_losses(raw))
 
 
 def build_demographics(raw: DataFrame) -> DataFrame:
     """Contract columns plus `demo_key`, numbered by state, city and race."""
-    return dense_index(project_demographics(raw), ["state_code", "city", "race"], "demo_key")
+    return dense_index(project_demographics(raw), ["state_code", "city", "race"], "demo_key",
+                       from_files=True)
 
 
 def state_populations(demographics: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portolan.functions.dates import NO_LEAVE_DATE, file_date, leave_date, sas_date
@@ -25,6 +27,44 @@ def build_fact(raw: DataFrame) -> DataFrame:
         *[CONVERSIONS[kind](F.col(source)).alias(name) for name, source, kind in FACT_COLUMNS])
 
 
+class Loss(NamedTuple):
+    """What typing a column can lose: aggregates over the raw rows."""
+
+    column: str
+    present: Column
+    no_date_mark: Column
+    rejected: Column
+
+
+def loss_measures(raw: DataFrame) -> list[Loss]:
+    """The losses of every typed column; CSV input adds the lines that did not parse."""
+    return [*[_loss(name, F.col(source), kind) for name, source, kind in FACT_COLUMNS
+              if kind not in ("text", "whole_id")], *corrupt_lines(raw)]
+
+
+def corrupt_lines(raw: DataFrame) -> list[Loss]:
+    bad = F.count(CORRUPT)
+    return [Loss(CORRUPT, bad, F.lit(0), bad)] if CORRUPT in raw.columns else []
+
+
+def losses_of(measured: DataFrame, names: list[str]) -> DataFrame:
+    """(column_name, present, no_date_mark, rejected) from one row of measures p0, m0,
+    r0, p1, ... in the order of `names`."""
+    return measured.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("column_name"), F.col(f"p{i}").alias("present"),
+                 F.col(f"m{i}").alias("no_date_mark"), F.col(f"r{i}").alias("rejected"))
+        for i, name in enumerate(names)])))
+
+
+def named_measures(losses: list[Loss]) -> list[Column]:
+    return [measure.cast("bigint").alias(f"{letter}{i}") for i, loss in enumerate(losses)
+            for letter, measure in zip("pmr", loss[1:])]
+
+
+def count_losses(raw: DataFrame, losses: list[Loss]) -> DataFrame:
+    return losses_of(raw.agg(*named_measures(losses)), [loss.column for loss in losses])
+
+
 def reject_counts(raw: DataFrame) -> DataFrame:
     """Per typed column: raw values present, and how many the typing lost.
 
@@ -32,22 +72,11 @@ def reject_counts(raw: DataFrame) -> DataFrame:
     no_date_mark, rejected). The "no fixed leave date" mark is not a loss and
     has its own count. CSV input adds a row for lines that did not parse.
     """
-    lost = [_losses(name, F.col(source), kind) for name, source, kind in FACT_COLUMNS
-            if kind not in ("text", "whole_id")]
-    if CORRUPT in raw.columns:
-        bad = F.count(CORRUPT)
-        lost.append(F.struct(F.lit(CORRUPT).alias("column_name"), bad.alias("present"),
-                             F.lit(0).cast("bigint").alias("no_date_mark"),
-                             bad.alias("rejected")))
-    return raw.agg(F.array(*lost).alias("losses")).select(F.inline("losses"))
+    return count_losses(raw, loss_measures(raw))
 
 
-def _losses(name: str, source: Column, kind: str) -> Column:
+def _loss(name: str, source: Column, kind: str) -> Loss:
     mark = source == NO_LEAVE_DATE if kind == "leave_date" else F.lit(False)
     typed = CONVERSIONS[kind](source)
-    return F.struct(
-        F.lit(name).alias("column_name"),
-        F.count(source).alias("present"),
-        F.count_if(mark).alias("no_date_mark"),
-        F.count_if(source.isNotNull() & typed.isNull() & ~mark).alias("rejected"),
-    )
+    return Loss(name, F.count(source), F.count_if(mark),
+                F.count_if(source.isNotNull() & typed.isNull() & ~mark))

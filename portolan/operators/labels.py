@@ -3,43 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from portolan.functions.text import plain_text
 from portolan.operators.ports import build_ports
 
+SHOWN = 10  # faults that an error message spells out
+
+
+class LabelList(NamedTuple):
+    keyword: str    # marks the list's block
+    entry: str      # `code = label` as this list prints it; groups: code, label
+
+
+_QUOTED = "'([^']*(?:''[^']*)*)'"
+
 # List type, the keyword that marks its block, and the shape of
-# one `code = label` entry in it.
+# one entry in it. A state code is two characters of A-Z or 9.
 LISTS = {
-    "port": ("I94PORT", r"'([^']+)'\s*=\s*'([^']*)'"),
-    "country": ("I94CIT & I94RES", r"([0-9]+)\s*=\s*'([^']*)'"),
-    "i94_mode": ("I94MODE", r"([0-9]+)\s*=\s*'([^']*)'"),
-    "visa": ("I94VISA", r"([0-9]+)\s*=\s*([A-Za-z]+)"),
-    "state": ("I94ADDR", r"'([A-Z9]{2})'\s*=\s*'([^']*)'"),
+    "port": LabelList("I94PORT", rf"{_QUOTED}\s*=\s*{_QUOTED}"),
+    "country": LabelList("I94CIT & I94RES", rf"([0-9]+)\s*=\s*{_QUOTED}"),
+    "i94_mode": LabelList("I94MODE", rf"([0-9]+)\s*=\s*{_QUOTED}"),
+    "visa": LabelList("I94VISA", r"([0-9]+)\s*=[ \t]*([^\r\n]*)"),
+    "state": LabelList("I94ADDR", rf"'([A-Z9]{{2}})'\s*=\s*{_QUOTED}"),
 }
 
+# What looks like an entry of any list: a quoted or plain code, and a quoted label
+# or one that goes on to the line end. Matched on the text as it is printed, so a
+# doubled quote or an empty label cannot run into the next entry.
+_CLOSED = _QUOTED.replace("([^']*(", "(?:[^']*(")
+ANY_ENTRY = rf"(?:{_CLOSED}|[^\s'=]+)\s*=[ \t]*(?:{_CLOSED}|[^\r\n]*)"
+
 
 class LabelBlockError(ValueError):
-    """A label file lacks a list, has it more than once, or a `;` cuts a label."""
+    """A label file lacks a list, has it more than once, has entries that are not of
+    their list's shape, or a `;` cuts a label."""
 
 
 def select_blocks(blocks: DataFrame) -> DataFrame:
     """(source, type, block) for the blocks that hold a list."""
     block = F.col("block")
     types = F.array_compact(F.array(
-        *[F.when(block.contains(keyword), F.lit(kind)) for kind, (keyword, _) in LISTS.items()]))
+        *[F.when(block.contains(of.keyword), F.lit(kind)) for kind, of in LISTS.items()]))
     return blocks.select("source", F.explode(types).alias("type"), "block")
 
 
-def block_faults(blocks: DataFrame) -> DataFrame:
-    """(source, type, blocks) where a file does not hold a list exactly once."""
+def block_faults(blocks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(source, type, blocks) where a file does not hold a list exactly once.
+
+    An empty file has no block to be seen by; `sources` (source) names all files.
+    """
     block = F.col("block")
-    counted = blocks.groupBy("source").agg(F.array(*[
-        F.struct(F.lit(kind).alias("type"),
-                 F.count_if(block.contains(keyword)).alias("blocks"))
-        for kind, (keyword, _) in LISTS.items()]).alias("lists"))
-    return counted.select("source", F.inline("lists")).where("blocks <> 1")
+    counts = [F.count_if(block.contains(of.keyword)).alias(kind) for kind, of in LISTS.items()]
+    counted = blocks.groupBy("source").agg(*counts)
+    if sources is not None:
+        counted = sources.join(counted, "source", "left")
+    return counted.select("source", F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("type"), F.coalesce(kind, F.lit(0)).alias("blocks"))
+        for kind in LISTS]))).where("blocks <> 1")
 
 
 def cut_labels(blocks: DataFrame) -> DataFrame:
@@ -50,35 +73,60 @@ def cut_labels(blocks: DataFrame) -> DataFrame:
         "source", "type")
 
 
-def require_blocks(blocks: DataFrame) -> None:
-    """Raise for files with faults; the message shows the first few."""
-    faults = block_faults(blocks).limit(10).collect()
-    if faults:
-        shown = ", ".join(f"{f.type} x{f.blocks} in {f.source}" for f in faults)
-        raise LabelBlockError(f"each list must occur once per label file: {shown}")
-    cut = cut_labels(blocks).limit(10).collect()
-    if cut:
-        shown = ", ".join(f"{c.type} in {c.source}" for c in cut)
-        raise LabelBlockError(f"a label holds the block mark ';': {shown}")
+def _entry_shape() -> Column:
+    shape = F.lit(None)
+    for kind, of in LISTS.items():
+        shape = F.when(F.col("type") == kind, F.lit(f"^{of.entry}$")).otherwise(shape)
+    return shape
+
+
+def printed_entries(selected: DataFrame) -> DataFrame:
+    """(source, type, entry, accepted): everything in a list's block that looks like an
+    entry, and whether it has the shape of its list."""
+    entries = F.regexp_extract_all("block", F.lit(ANY_ENTRY), F.lit(0))
+    return selected.select("source", "type", F.explode(entries).alias("entry")).withColumn(
+        "accepted", F.regexp_like("entry", _entry_shape()))
+
+
+def label_rejects(selected: DataFrame) -> DataFrame:
+    """(source, type, entries, rejected, example) of the lists with entries that are
+    not of their shape, and so not in staging."""
+    rejected = ~F.col("accepted")
+    return printed_entries(selected).groupBy("source", "type").agg(
+        F.count("*").alias("entries"), F.count_if(rejected).alias("rejected"),
+        F.min(F.when(rejected, plain_text(F.col("entry")))).alias("example")).where("rejected > 0")
+
+
+def _refuse(faults: DataFrame, what: str, line: Callable) -> None:
+    """Raise if there are faults; the message shows the first few and how many there are."""
+    shown = faults.limit(SHOWN).collect()
+    if shown:
+        raise LabelBlockError(f"{what} ({len(shown)} of {faults.count()}): "
+                              + ", ".join(map(line, shown)))
+
+
+def require_blocks(blocks: DataFrame, sources: DataFrame | None = None) -> None:
+    """Raise for files with faults. `block_faults`, `cut_labels` and `label_rejects`
+    list them all."""
+    _refuse(block_faults(blocks, sources), "each list must occur once per label file",
+            lambda f: f"{f.type} x{f.blocks} in {f.source}")
+    _refuse(cut_labels(blocks), "a label holds the block mark ';'",
+            lambda f: f"{f.type} in {f.source}")
+    _refuse(label_rejects(select_blocks(blocks)), "entries are not of their list's shape",
+            lambda f: f"{f.rejected} of {f.entries} {f.type} in {f.source}, {f.example!r}")
 
 
 def parse_labels(selected: DataFrame) -> DataFrame:
     """Staging rows (source, code, value, type), all lists in one pass.
 
-    The reverse of five scans and a union: each block is matched once, with the
-    pattern of its own type.
+    The reverse of five scans and a union: each block is matched once, then each
+    entry with the shape of its own list; codes and labels are cleaned last.
     """
-    text = plain_text(F.col("block"))
-    codes, values = F.lit(None), F.lit(None)
-    for kind, (_, entry) in LISTS.items():
-        here = F.col("type") == kind
-        codes = F.when(here, F.regexp_extract_all(text, F.lit(entry), F.lit(1))).otherwise(codes)
-        values = F.when(here, F.regexp_extract_all(text, F.lit(entry), F.lit(2))).otherwise(values)
-    return (
-        selected.select("source", "type", codes.alias("code"), values.alias("value"))
-        .select("source", "type", F.inline(F.arrays_zip("code", "value")))
-        .select("source", F.trim("code").alias("code"), F.trim("value").alias("value"), "type")
-    )
+    entry = printed_entries(selected).where("accepted")
+    shape = _entry_shape()
+    return entry.select(
+        "source", *[plain_text(F.call_function("regexp_extract", "entry", shape, F.lit(group)))
+                    .alias(name) for group, name in ((1, "code"), (2, "value"))], "type")
 
 
 def of_type(staging: DataFrame, kind: str) -> DataFrame:

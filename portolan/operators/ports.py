@@ -30,11 +30,13 @@ def settle_label(label: Column) -> Column:
 def known_codes(states: DataFrame) -> Column:
     """All state codes as one array value, read once per query.
 
-    Filtered to the code shape, which bounds the array at 729 short strings
-    however many rows `states` has.
+    The code shape bounds the array at 729 short strings however many rows `states`
+    has. A code of another shape raises: left out, its ports would vanish unseen.
     """
-    codes = states.select("code").where(F.col("code").rlike(STATE_CODE))
-    return codes.agg(F.collect_set("code")).scalar()
+    code = F.col("code")
+    shaped = F.when(code.rlike(STATE_CODE), code).otherwise(F.raise_error(F.concat(
+        F.lit("not a state code: "), code)))
+    return states.where(code.isNotNull()).agg(F.collect_set(shaped)).scalar()
 
 
 def with_state(ports: DataFrame, states: DataFrame) -> DataFrame:

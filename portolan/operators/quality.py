@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 
 class Check(NamedTuple):
@@ -42,22 +42,32 @@ def checks_for(table: str, as_of: datetime.date) -> list[Check]:
     return {
         "fact_i94": [year_not_future(as_of)],
         "dim_time": [no_nulls("arrival_date")],
-        "dim_port": [unique("port_key")],
-        "dim_country": [unique("region_key")],
-        "dim_i94_mode": [unique("i94mode_key")],
-        "dim_state": [unique("state_code")],
-        "dim_visa": [unique("visa_key")],
+        **{name: [no_nulls(key), unique(key)] for name, key in DIMENSION_KEYS.items()},
     }.get(table, [])
 
 
+# The key column of each label dimension.
+DIMENSION_KEYS = {"dim_port": "port_key", "dim_country": "region_key",
+                  "dim_i94_mode": "i94mode_key", "dim_state": "state_code",
+                  "dim_visa": "visa_key"}
+
+
+def measures(checks: list[Check]) -> list[Column]:
+    """One aggregate for the rows (`rows`) and one per check (`m0`, `m1`, ...)."""
+    return [F.count("*").alias("rows"), *[
+        check.measure.cast("bigint").alias(f"m{i}") for i, check in enumerate(checks)]]
+
+
 def check_table(df: DataFrame, table: str, checks: list[Check]) -> DataFrame:
     """Report rows (table_name, check_name, passed, value, detail).
 
     An empty table fails `not_empty`; its other checks have no verdict.
     """
-    measured = df.agg(
-        F.count("*").alias("rows"),
-        *[check.measure.cast("bigint").alias(f"m{i}") for i, check in enumerate(checks)])
+    return report_of(df.agg(*measures(checks)), table, checks)
+
+
+def report_of(measured: DataFrame, table: str, checks: list[Check]) -> DataFrame:
+    """The report rows from one row of `measures`, however it was come by."""
     rows = F.col("rows")
     lines = [_line(table, "not_empty", rows > 0, rows, "the table is empty")]
     for i, check in enumerate(checks):
@@ -75,16 +85,27 @@ def _line(table: str, name: str, passed: Column, value: Column, fault: str) -> C
         passed.alias("passed"), value.alias("value"), detail.alias("detail"))
 
 
+def today() -> datetime.date:
+    """Today in UTC, wherever the driver runs."""
+    return datetime.datetime.now(datetime.UTC).date()
+
+
 def quality_report(tables: dict[str, DataFrame], as_of: datetime.date | None = None) -> DataFrame:
     """The checks of every table given, in one report."""
-    as_of = as_of or datetime.date.today()
+    as_of = as_of or today()
     return reduce(DataFrame.unionByName, [
         check_table(df, name, checks_for(name, as_of)) for name, df in tables.items()])
 
 
-def gate(report: DataFrame) -> None:
-    """Raise if any check failed. The report has a few rows, whatever the data."""
-    failed = report.where(~F.col("passed")).collect()
+def gate(report: DataFrame) -> list[Row]:
+    """The report's rows, a few whatever the data; raise if a check failed."""
+    rows = report.collect()
+    refuse(rows)
+    return rows
+
+
+def refuse(rows: list[Row]) -> None:
+    failed = [r for r in rows if r.passed is False]
     if failed:
         raise QualityError("; ".join(
             f"{r.table_name}.{r.check_name}: {r.detail} (value {r.value})" for r in failed))

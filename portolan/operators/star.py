@@ -70,8 +70,12 @@ def star_count(fact: DataFrame, dims: dict[str, DataFrame], links: list[str],
 
 def with_unknown_member(fact: DataFrame, states: DataFrame,
                         other: str = OTHER_STATE) -> DataFrame:
-    """`state_code` as it is where the dimension knows it, else `other`."""
-    known = states.select(F.col("state_code").alias("_known")).distinct()
+    """`state_code` as it is where the dimension knows it, else `other`.
+
+    The dimension's keys must be unique, as its checks require. Nothing stands between
+    shuffle and join, so Spark can split a state with most of the entries.
+    """
+    known = states.select(F.col("state_code").alias("_known"))
     columns = [F.coalesce("_known", F.lit(other)).alias(c) if c == "state_code" else F.col(c)
                for c in fact.columns]
     return fact.join(known, F.col("state_code") == F.col("_known"), "left").select(*columns)

@@ -1,23 +1,30 @@
-"""The whole jobs: read, transform, check, write."""
+"""The whole jobs: read, transform, write beside the lake, check, publish."""
 
 from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 from portolan.operators.calendar import build_calendar
-from portolan.operators.demographics import build_demographics
-from portolan.operators.fact import build_fact, reject_counts
+from portolan.operators.demographics import build_demographics, demographics_rejects
+from portolan.operators.fact import (
+    Loss, build_fact, loss_measures, losses_of, named_measures, reject_counts,
+)
 from portolan.operators.labels import build_dims, parse_labels, require_blocks, select_blocks
-from portolan.operators.quality import gate, quality_report
+from portolan.operators.quality import (
+    checks_for, gate, measures, quality_report, report_of, today,
+)
 from portolan.schemas import PARTITIONS, TABLES
-from portolan.scratch import shared_folder
-from portolan.sinks.tables import write_flat, write_partitioned
+from portolan.scratch import run_scratch
+from portolan.sinks.publish import Publication
+from portolan.sinks.tables import save_flat, save_partitioned
 from portolan.sources.demographics import read_demographics
 from portolan.sources.entries import read_entries
-from portolan.sources.labels import read_label_blocks, read_label_staging
+from portolan.sources.labels import label_files, read_label_blocks, read_label_staging
 from portolan.sources.tables import read_table
 
 
@@ -33,7 +40,7 @@ class JobConfig:
     labels: str = ""
     demographics: str = ""
     dims_fmt: str = "parquet"
-    reload: bool = False                # replace only the months in the input
+    replace_all: bool = False           # drop the months that are not in the input
     as_of: datetime.date | None = None
     params: dict[str, str] = field(default_factory=dict)
 
@@ -45,16 +52,55 @@ class JobConfig:
         return f"{self.path('lake').rstrip('/')}/{name}"
 
 
+class Watched:
+    """Aggregates taken while a write runs, so that checking reads nothing again."""
+
+    def __init__(self, df: DataFrame, columns: list[Column]):
+        self.plain, self.columns, self.seen = df, columns, Observation()
+        self.df = df.observe(self.seen, *columns)
+
+    def measured(self) -> DataFrame:
+        """What was seen, as one row; waits for the write.
+
+        Spark drops what it finds to be empty at run time, and the watch with it. Then
+        the aggregates are taken from the rows themselves, of which there are none.
+        """
+        try:
+            got = self.seen.get
+        except Py4JError:
+            return self.plain.agg(*self.columns)
+        schema = StructType([StructField(name, LongType()) for name in got])
+        return self.plain.sparkSession.createDataFrame([tuple(got.values())], schema)
+
+
 def load_fact(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    """Entries to `fact_i94`. A load that fails its checks leaves the table as it was.
+    """Entries to `fact_i94`: months in the input replace their own, the others stay.
 
-    The checks read the one source column they need; the rows are written once.
+    With `replace_all` the input is the whole table. Entries without a year or month
+    are a month of their own. The entries are read once: checks and losses are taken
+    while the rows are written beside the table. A load that fails, or fails its
+    checks, leaves the table as it was.
     """
-    fact = build_fact(read_entries(spark, cfg.path("entries"), cfg.entries_fmt))
-    gate(quality_report({"fact_i94": fact}, cfg.as_of))
-    write_partitioned(fact, cfg.table("fact_i94"), PARTITIONS["fact_i94"],
-                      reload=cfg.reload, gather=not cfg.entries_by_month)
-    return open_table(spark, cfg, "fact_i94")
+    return load_fact_and_losses(spark, cfg)[0]
+
+
+def load_fact_and_losses(spark: SparkSession, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
+    """`load_fact`, and what typing the entries lost, column by column."""
+    name = "fact_i94"
+    raw = read_entries(spark, cfg.path("entries"), cfg.entries_fmt)
+    losses, checks = loss_measures(raw), checks_for(name, cfg.as_of or today())
+    typed = Watched(raw, named_measures(losses))
+    fact = Watched(build_fact(typed.df), measures(checks))
+    with Publication(spark) as publication:
+        save_partitioned(fact.df, publication.stage(cfg.table(name), parts_only=not cfg.replace_all),
+                         PARTITIONS[name], gather=not cfg.entries_by_month)
+        gate(report_of(fact.measured(), name, checks))
+        publication.commit()
+    return open_table(spark, cfg, name), _lost(typed, losses)
+
+
+def _lost(typed: Watched, losses: list[Loss]) -> DataFrame:
+    return losses_of(typed.measured(), [loss.column for loss in losses])
 
 
 def entry_rejects(spark: SparkSession, cfg: JobConfig) -> DataFrame:
@@ -64,36 +110,60 @@ def entry_rejects(spark: SparkSession, cfg: JobConfig) -> DataFrame:
 
 def load_calendar(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     """`dim_time` from the published fact: reads its arrival dates only, once."""
-    shared_folder(spark)
-    calendar = build_calendar(open_table(spark, cfg, "fact_i94")).checkpoint()
-    gate(quality_report({"dim_time": calendar}, cfg.as_of))
-    write_partitioned(calendar, cfg.table("dim_time"), PARTITIONS["dim_time"])
-    return open_table(spark, cfg, "dim_time")
+    name = "dim_time"
+    calendar = build_calendar(open_table(spark, cfg, "fact_i94"))
+    with Publication(spark) as publication:
+        staged = publication.stage(cfg.table(name))
+        save_partitioned(calendar, staged, PARTITIONS[name])
+        gate(quality_report({name: read_table(spark, name, staged)}, cfg.as_of))
+        publication.commit()
+    return open_table(spark, cfg, name)
 
 
 def load_labels(spark: SparkSession, cfg: JobConfig) -> dict[str, DataFrame]:
-    """Label text to staging to the five label dimensions."""
-    blocks = read_label_blocks(spark, cfg.path("labels"))
-    require_blocks(blocks)
+    """Label text to staging to the five label dimensions, published all or none."""
+    path = cfg.path("labels")
+    blocks = read_label_blocks(spark, path)
+    require_blocks(blocks, label_files(spark, path))
     staging = parse_labels(select_blocks(blocks)).select("code", "value", "type")
-    staging_path = cfg.table("label_staging")
-    if cfg.dims_fmt == "csv":
-        write_flat(staging, staging_path, "csv")
-    else:
-        write_partitioned(staging, staging_path, ["type"])
-    dims = build_dims(read_label_staging(spark, staging_path, cfg.dims_fmt))
-    gate(quality_report(dims, cfg.as_of))
-    for name, dim in dims.items():
-        write_flat(dim, cfg.table(name), cfg.dims_fmt)
+    with Publication(spark) as publication:
+        staged = publication.stage(cfg.table("label_staging"))
+        if cfg.dims_fmt == "csv":
+            save_flat(staging, staged, "csv")
+        else:
+            save_partitioned(staging, staged, ["type"])
+        dims = build_dims(read_label_staging(spark, staged, cfg.dims_fmt))
+        written = {}
+        for name, dim in dims.items():
+            folder = publication.stage(cfg.table(name))
+            save_flat(dim, folder, cfg.dims_fmt)
+            written[name] = read_table(spark, name, folder, cfg.dims_fmt)
+        gate(quality_report(written, cfg.as_of))
+        publication.commit()
     return {name: open_table(spark, cfg, name) for name in dims}
 
 
 def load_demographics(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     """Demographics text to `fact_demographics`."""
-    rows = build_demographics(read_demographics(spark, cfg.path("demographics")))
-    gate(quality_report({"fact_demographics": rows}, cfg.as_of))
-    write_flat(rows, cfg.table("fact_demographics"), cfg.dims_fmt)
-    return open_table(spark, cfg, "fact_demographics")
+    return load_demographics_and_losses(spark, cfg)[0]
+
+
+def load_demographics_and_losses(spark: SparkSession,
+                                 cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
+    """`load_demographics`, and what typing the texts lost, column by column.
+
+    The numbering samples its input before it sorts it, so losses are not taken on
+    the way: they are a pass of their own over the text.
+    """
+    name = "fact_demographics"
+    raw = read_demographics(spark, cfg.path("demographics"))
+    checks = checks_for(name, cfg.as_of or today())
+    with run_scratch(spark, name), Publication(spark) as publication:
+        rows = Watched(build_demographics(raw), measures(checks))
+        save_flat(rows.df, publication.stage(cfg.table(name)), cfg.dims_fmt)
+        gate(report_of(rows.measured(), name, checks))
+        publication.commit()
+    return open_table(spark, cfg, name), demographics_rejects(raw)
 
 
 def open_table(spark: SparkSession, cfg: JobConfig, name: str) -> DataFrame:
@@ -108,9 +178,9 @@ def open_views(spark: SparkSession, cfg: JobConfig) -> None:
 
 
 def check_lake(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    """Report over every published table; kept, since it is shown and gated on."""
+    """Report over every published table."""
     return quality_report(
-        {name: open_table(spark, cfg, name) for name in TABLES}, cfg.as_of).cache()
+        {name: open_table(spark, cfg, name) for name in TABLES}, cfg.as_of)
 
 
 def run_all(spark: SparkSession, cfg: JobConfig) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+# Folders of the runs that are going on, the innermost last.
+_RUNS: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
@@ -27,5 +32,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/portolan/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses; within `run_scratch`,
+    under the folder of that run."""
+    within = _RUNS[-1] if _RUNS else f"{shared_folder(spark)}/portolan"
+    return f"{within}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """All scratch made in here lies in one folder, removed at the end, failed or not.
+
+    What was read from it must be published or collected before.
+    """
+    folder = new_folder(spark, label)
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        remove(spark, folder)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path that Spark can open."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this library's own making and all in it, if it is there."""
+    files, place = file_system(spark, folder)
+    files.delete(place, True)

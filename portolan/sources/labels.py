@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from portolan.schemas import CSV, LABEL_STAGING
 
@@ -10,7 +10,20 @@ from portolan.schemas import CSV, LABEL_STAGING
 def read_label_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source, block) of one or many label files; tabs and line ends survive."""
     return spark.read.text(path, lineSep=";").select(
-        F.col("_metadata.file_path").alias("source"), F.col("value").alias("block"))
+        _named(F.col("_metadata.file_path")).alias("source"), F.col("value").alias("block"))
+
+
+def _named(path: Column) -> Column:
+    """A local path has one slash or three after its scheme, by who names it."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def label_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source) of every label file, the empty ones too, which have no row to be seen
+    by. From the file listing; nothing is read."""
+    listed = spark.read.text(path).inputFiles()
+    return spark.createDataFrame([(name,) for name in listed], "source string").select(
+        _named(F.col("source")).alias("source"))
 
 
 def read_label_staging(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

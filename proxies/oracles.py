@@ -6,11 +6,12 @@ label text or CSV, which is what the queries have to get through.
 
 from __future__ import annotations
 
-_CODES = "ALAKAZARCACOCTDEFLGAHIIDILINIAKSKYLAMEMDTXWANYOHPRXXYYZZ"
+_CODES = ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA",
+          "KS", "KY", "LA", "ME", "MD", "TX", "WA", "NY", "OH", "PR", "XX", "YY", "ZZ"]
 
 
 def _code(number: str) -> str:
-    return f"substring('{_CODES}', cast(2 * ({number}) + 1 as integer), 2)"
+    return f"({_CODES})[cast({number} as integer) + 1]"
 
 
 _FACT = f"""
@@ -97,7 +98,7 @@ staging as (
   union all select n_nationkey, {_code('n_nationkey')}, n_name, 'state' from nation
   union all select r_regionkey, cast(r_regionkey + 1 as varchar), r_name, 'i94_mode' from region
   union all select r_regionkey, cast(r_regionkey + 1 as varchar),
-                   regexp_extract(r_name, '^[A-Za-z]+'), 'visa' from region)"""
+                   r_name, 'visa' from region)"""
 
 _CITIES = f"""
 cities as (
@@ -173,10 +174,26 @@ _DATE_CHECK = _check("dim_time", "arrival_date_not_null",
 
 
 def _dim_checks(table: str, key: str, source: str, column: str) -> str:
-    """Both checks of a label dimension whose key comes from `column` of `source`."""
+    """The checks of a label dimension whose key comes from `column` of `source`."""
     twice = f"count({column}) - count(distinct {column})"
-    return _not_empty(table, source) + " union all " + _check(
-        table, f"{key}_unique", f"{twice} = 0", twice, f"{key} occurs more than once", source)
+    missing = f"count(*) filter ({column} is null)"
+    return " union all ".join([
+        _not_empty(table, source),
+        _check(table, f"{key}_not_null", f"{missing} = 0", missing,
+               f"{key} is missing in some rows", source),
+        _check(table, f"{key}_unique", f"{twice} = 0", twice, f"{key} occurs more than once",
+               source)])
+
+
+def _no_verdict(table: str, check: str, value: str) -> str:
+    return (f"select '{table}', '{check}', cast(null as boolean), cast({value} as bigint), "
+            "'not evaluated: the table is empty'")
+
+
+# The label job's one text: the first part of each printed shape and state.
+_FIRST_PORTS = """
+first_ports as (
+  select 'P' || min(p_partkey) as code from part group by p_partkey % 20, p_partkey % 28)"""
 
 
 def _orphans(fact_key: str, dim: str, dim_key: str) -> str:
@@ -206,6 +223,24 @@ def _rejects() -> str:
     ])
 
 
+def _demographics_rejects() -> str:
+    """A broken line adds one of its own; lines that go on are broken themselves."""
+    def row(column: str, present: str = "count(*)", lost: str = "0") -> str:
+        return (f"select '{column}' as column_name, cast({present} as bigint) as present, "
+                f"cast(0 as bigint) as no_date_mark, cast({lost} as bigint) as rejected "
+                "from customer")
+    broken = ("count(*) filter (c_custkey % 41 = 0) + "
+              "count(*) filter (c_custkey % 41 <> 0 and c_custkey % 43 = 0)")
+    return " union all ".join([
+        *[row(column) for column in ("median_age", "male_population", "total_population",
+                                     "foreign_born", "average_household_size")],
+        row("female_population", lost="count(*) filter ((c_custkey // 3) % 37 = 0)"),
+        row("number_of_veterans",
+            lost="count(*) filter (c_custkey % 47 = 0 or c_custkey % 53 = 0)"),
+        row("_corrupt_record", present=broken, lost=broken),
+    ])
+
+
 ORACLES = {
     "fact_entries": _FACT_ROWS,
     "entries_parquet": _FACT_ROWS,
@@ -254,8 +289,16 @@ select 'dim_country' as table_name, cast(c_custkey as varchar) as key, c_name as
 from customer
 union all select 'dim_i94_mode', cast(r_regionkey + 1 as varchar), r_name from region
 union all select 'dim_state', {_code('n_nationkey')}, n_name from nation
-union all select 'dim_visa', cast(r_regionkey + 1 as varchar),
-                 regexp_extract(r_name, '^[A-Za-z]+') from region""",
+union all select 'dim_visa', cast(r_regionkey + 1 as varchar), r_name from region""",
+    "label_rejects": """
+select 'labels-' || (c_custkey // 1000) as source, 'country' as type,
+  cast(count(*) as bigint) as entries,
+  cast(count(*) filter (c_custkey % 97 = 0) as bigint) as rejected
+from customer group by source having count(*) filter (c_custkey % 97 = 0) > 0
+union all
+select 'labels-' || (n_nationkey // 1000), 'state', cast(count(*) as bigint),
+  cast(count(*) filter (n_nationkey % 5 = 0) as bigint)
+from nation group by all""",
     "sentinel_override": f"""
 with {_PORTS}, {_PORT_LABELS}
 select code,
@@ -284,6 +327,12 @@ with {_CITIES}
 select {_CITY_COLUMNS},
   cast(row_number() over (order by state_code, city, race) - 1 as bigint) as demo_key
 from cities""",
+    "job_demographics": f"""
+with {_CITIES}
+select {_CITY_COLUMNS},
+  cast(row_number() over (order by state_code, city, race) - 1 as bigint) as demo_key
+from cities""",
+    "demographics_rejects": _demographics_rejects(),
     "quality_fact": f"with {_FACT} {_not_empty('fact_i94', 'fact')} union all {_year_check(1999)}",
     "quality_calendar": f"""
 with {_FACT}, {_CALENDAR} {_not_empty('dim_time', 'calendar')} union all {_DATE_CHECK}""",
@@ -303,6 +352,47 @@ union all {_dim_checks('dim_state', 'state_code', 'nation', 'n_nationkey')}
 union all {_dim_checks('dim_i94_mode', 'i94mode_key', 'region', 'r_regionkey')}
 union all {_dim_checks('dim_visa', 'visa_key', 'region', 'r_regionkey')}
 union all {_dim_checks('dim_port', 'port_key', 'part', 'p_partkey')}""",
+    "quality_failures": f"""
+with {_FACT}, {_CALENDAR}, {_DIMS},
+broken_country as (select nullif(region_key, 0) as region_key from dim_country),
+broken_state as (select * from dim_state union all select * from dim_state),
+broken_time as (select arrival_date from calendar union all select null),
+no_visa as (select * from dim_visa where visa_key < 0)
+{_not_empty('fact_i94', 'fact')} union all {_year_check(1999)}
+union all {_not_empty('dim_time', 'broken_time')}
+union all {_DATE_CHECK.replace('from calendar', 'from broken_time')}
+union all {_dim_checks('dim_country', 'region_key', 'broken_country', 'region_key')}
+union all {_dim_checks('dim_state', 'state_code', 'broken_state', 'state_code')}
+union all {_not_empty('dim_visa', 'no_visa')}
+union all {_no_verdict('dim_visa', 'visa_key_not_null', '0')}
+union all {_no_verdict('dim_visa', 'visa_key_unique', '0')}
+union all {_dim_checks('dim_port', 'port_key', 'dim_port', 'port_key')}""",
+    "job_fact": _FACT_ROWS,
+    "job_fact_months": f"""
+with {_FACT}
+select i94yr, i94mon, cast(count(*) as bigint) as people, cast(count(*) as bigint) as entries
+from fact group by i94yr, i94mon""",
+    "job_calendar": _CALENDAR_ROWS,
+    "job_labels": f"""
+with {_PORTS}, {_FIRST_PORTS}
+select 'dim_country' as table_name, cast(n_nationkey as varchar) as key, n_name as label
+from nation
+union all select 'dim_i94_mode', cast(r_regionkey + 1 as varchar), r_name from region
+union all select 'dim_state', {_code('n_nationkey')}, n_name from nation
+union all select 'dim_visa', cast(r_regionkey + 1 as varchar), r_name from region
+union all select 'dim_port', code, state || ' ' || address
+from us_ports where code in (select code from first_ports)""",
+    "job_check": f"""
+with {_FACT}, {_CALENDAR}, {_PORTS}, {_FIRST_PORTS},
+job_ports as (select * from us_ports where code in (select code from first_ports))
+{_not_empty('fact_i94', 'fact')} union all {_year_check(2016)}
+union all {_not_empty('dim_time', 'calendar')} union all {_DATE_CHECK}
+union all {_not_empty('fact_demographics', 'customer')}
+union all {_dim_checks('dim_country', 'region_key', 'nation', 'n_nationkey')}
+union all {_dim_checks('dim_state', 'state_code', 'nation', 'n_nationkey')}
+union all {_dim_checks('dim_i94_mode', 'i94mode_key', 'region', 'r_regionkey')}
+union all {_dim_checks('dim_visa', 'visa_key', 'region', 'r_regionkey')}
+union all {_dim_checks('dim_port', 'port_key', 'job_ports', 'code')}""",
     "star_count": f"""
 with {_FACT}, {_DIMS}
 select f.state_code, f.visa_key, i94yr, i94mon, s.state, v.visa_broad_type,
@@ -346,7 +436,7 @@ residents as (
 select state_code, cast(people as bigint) as people,
   cast(total_population as bigint) as total_population,
   round(people * 1000.0 / cast(total_population as double), 6) as per_thousand
-from people join residents using (state_code)""",
+from people left join residents using (state_code)""",
     "unknown_member": f"""
 with {_FACT}, {_DIMS}
 select i94_key, coalesce(s.state_code, '99') as state_code

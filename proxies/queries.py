@@ -7,17 +7,21 @@ behind the queries hold real dates (see the contract tests).
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType
 
-from portolan.operators import analytics, labels, ports, star
+from portolan.operators import analytics, demographics, labels, ports, star
 from portolan.operators.calendar import build_calendar
 from portolan.operators.demographics import build_demographics, project_demographics
 from portolan.operators.fact import build_fact, reject_counts
 from portolan.operators.keys import dense_index
 from portolan.operators.quality import quality_report
 from portolan.functions.dates import file_date, leave_date, sas_date
+from portolan.functions.text import header_name
+from portolan.plans import jobs
 from portolan.schemas import CSV, LABEL_STAGING, PARTITIONS
 from portolan.scratch import new_folder
 from portolan.sinks.tables import write_flat, write_partitioned
@@ -160,15 +164,25 @@ def label_union(spark, sf_dir):
 def label_dim_split(spark, sf_dir):
     path = new_folder(spark, "staging")
     write_flat(_staging(spark, sf_dir).select(*LABEL_STAGING.fieldNames()), path, "csv")
-    dims = labels.build_dims(read_label_staging(spark, path, "csv"))
-    out = None
-    for name in ("dim_country", "dim_i94_mode", "dim_state", "dim_visa"):
-        key, label = dims[name].columns
-        rows = dims[name].select(F.lit(name).alias("table_name"),
-                                 F.col(key).cast("string").alias("key"),
-                                 F.col(label).alias("label"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _keys_and_labels(labels.build_dims(read_label_staging(spark, path, "csv")), TWO_COLUMNS)
+
+
+TWO_COLUMNS = ("dim_country", "dim_i94_mode", "dim_state", "dim_visa")
+
+
+def _keys_and_labels(dims, names):
+    """(table_name, key, label) of the dimensions named; other columns joined by a blank."""
+    return reduce(DataFrame.unionByName, [
+        dims[name].select(F.lit(name).alias("table_name"),
+                          F.col(dims[name].columns[0]).cast("string").alias("key"),
+                          F.concat_ws(" ", *dims[name].columns[1:]).alias("label"))
+        for name in names])
+
+
+def label_rejects(spark, sf_dir):
+    """Entries that are not of their list's shape are counted, list by list."""
+    broken = labels.select_blocks(standins.broken_label_blocks(spark, sf_dir))
+    return labels.label_rejects(broken).drop("example")
 
 
 def sentinel_override(spark, sf_dir):
@@ -213,6 +227,20 @@ def _demographics_file(spark, sf_dir):
     return read_demographics(spark, path)
 
 
+def _demographics_rows(spark, sf_dir):
+    """The same rows as from a file, without one."""
+    texts = standins.demographics_text(spark, sf_dir)
+    return texts.toDF(*[header_name(name) for name in texts.columns])
+
+
+def demographics_rejects(spark, sf_dir):
+    """Short and long lines, fractions and overflow are all counted."""
+    path = new_folder(spark, "cities")
+    (standins.broken_demographics_text(spark, sf_dir).write
+     .option("header", True).option("sep", ";").option("quote", "\u0000").csv(path))
+    return demographics.demographics_rejects(read_demographics(spark, path))
+
+
 def demographics_project(spark, sf_dir):
     return project_demographics(_demographics_file(spark, sf_dir))
 
@@ -240,11 +268,93 @@ def quality_all(spark, sf_dir):
     return quality_report({
         "fact_i94": fact(spark, sf_dir),
         "dim_time": calendar(spark, sf_dir),
-        "fact_demographics": project_demographics(_demographics_file(spark, sf_dir)),
+        "fact_demographics": project_demographics(_demographics_rows(spark, sf_dir)),
         **standins.dimensions(spark, sf_dir),
     }, LATE)
 
 
+def quality_failures(spark, sf_dir):
+    """Tables in which something is wrong: every verdict there is."""
+    dims, days = standins.dimensions(spark, sf_dir), calendar(spark, sf_dir)
+    no_day = days.limit(1).withColumn("arrival_date", F.lit(None).cast("date"))
+    country, state = dims["dim_country"], dims["dim_state"]
+    return quality_report({
+        "fact_i94": fact(spark, sf_dir),
+        "dim_time": days.unionByName(no_day),
+        "dim_country": country.withColumn("region_key", F.nullif("region_key", F.lit(0))),
+        "dim_state": state.unionByName(state),
+        "dim_visa": dims["dim_visa"].where("visa_key < 0"),
+        "dim_port": dims["dim_port"],
+    }, EARLY)
+
+
+# Whole jobs
+
+def _lake(spark, **paths):
+    """A job's settings in a folder of its own; paths are filled in by name."""
+    return jobs.JobConfig(lake="{root}/lake", as_of=LATE,
+                          params={"root": new_folder(spark, "job")}, **paths)
+
+
+def _entries_job(spark, sf_dir, parts):
+    """Settings of the fact job after the entries of each part were loaded in turn."""
+    cfg = _lake(spark, entries="{root}/entries-{part}")
+    raw = standins.raw_entries(spark, sf_dir)
+    for part, rows in parts.items():
+        own = replace(cfg, params={**cfg.params, "part": part})
+        raw.where(rows).write.parquet(own.path("entries"))
+        jobs.load_fact(spark, own)
+    return cfg
+
+
+def job_fact(spark, sf_dir):
+    cfg = _entries_job(spark, sf_dir, {"all": "true"})
+    return iso(jobs.open_table(spark, cfg, "fact_i94"))
+
+
+def job_fact_months(spark, sf_dir):
+    """Two loads, each with its own months: the second keeps those of the first."""
+    cfg = _entries_job(spark, sf_dir, {"early": "i94yr < 1998", "late": "i94yr >= 1998"})
+    return star.people_by(jobs.open_table(spark, cfg, "fact_i94"), ["i94yr", "i94mon"])
+
+
+def job_calendar(spark, sf_dir):
+    cfg = _entries_job(spark, sf_dir, {"all": "true"})
+    return iso(jobs.load_calendar(spark, cfg))
+
+
+def _label_text(spark, sf_dir, cfg):
+    standins.whole_label_files(spark, sf_dir).coalesce(1).write.option(
+        "lineSep", ";").text(cfg.path("labels"))
+
+
+def job_labels(spark, sf_dir):
+    cfg = _lake(spark, labels="{root}/labels")
+    _label_text(spark, sf_dir, cfg)
+    return _keys_and_labels(jobs.load_labels(spark, cfg), (*TWO_COLUMNS, "dim_port"))
+
+
+def _cities_text(spark, sf_dir, cfg):
+    (standins.demographics_text(spark, sf_dir)
+     .write.option("header", True).option("sep", ";").csv(cfg.path("demographics")))
+
+
+def job_demographics(spark, sf_dir):
+    cfg = _lake(spark, demographics="{root}/cities")
+    _cities_text(spark, sf_dir, cfg)
+    return jobs.load_demographics(spark, cfg)
+
+
+def job_check(spark, sf_dir):
+    """All jobs, then the report over what they published."""
+    cfg = _lake(spark, entries="{root}/entries", labels="{root}/labels",
+                demographics="{root}/cities", dims_fmt="csv")
+    standins.raw_entries(spark, sf_dir).write.parquet(cfg.path("entries"))
+    _label_text(spark, sf_dir, cfg)
+    _cities_text(spark, sf_dir, cfg)
+    return jobs.run_all(spark, cfg)
+
+
 # Star queries
 
 def star_count(spark, sf_dir):
@@ -272,7 +382,7 @@ def star_rollup(spark, sf_dir):
 
 def per_capita(spark, sf_dir):
     return analytics.entries_per_resident(
-        fact(spark, sf_dir), project_demographics(_demographics_file(spark, sf_dir))
+        fact(spark, sf_dir), project_demographics(_demographics_rows(spark, sf_dir))
     ).withColumn("per_thousand", F.round("per_thousand", 6))
 
 
@@ -319,6 +429,7 @@ QUERIES = {
     "label_parse": label_parse,
     "label_union": label_union,
     "label_dim_split": label_dim_split,
+    "label_rejects": label_rejects,
     "sentinel_override": sentinel_override,
     "port_us_filter": port_us_filter,
     "port_dim": port_dim,
@@ -326,10 +437,18 @@ QUERIES = {
     "surrogate_key_hot": surrogate_key_hot,
     "demographics_project": demographics_project,
     "demographics_fact": demographics_fact,
+    "demographics_rejects": demographics_rejects,
     "quality_fact": quality_fact,
     "quality_calendar": quality_calendar,
     "quality_dims": quality_dims,
     "quality_report": quality_all,
+    "quality_failures": quality_failures,
+    "job_fact": job_fact,
+    "job_fact_months": job_fact_months,
+    "job_calendar": job_calendar,
+    "job_labels": job_labels,
+    "job_demographics": job_demographics,
+    "job_check": job_check,
     "star_count": star_count,
     "port_count": port_count,
     "star_join": star_join,

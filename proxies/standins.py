@@ -13,7 +13,8 @@ from portolan.functions.dates import DAY_ZERO
 from portolan.schemas import RAW_ENTRIES
 
 # State codes by number: one per nation, then three that no dimension knows.
-CODES = "ALAKAZARCACOCTDEFLGAHIIDILINIAKSKYLAMEMDTXWANYOHPR" + "XXYYZZ"
+CODES = ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA",
+         "KS", "KY", "LA", "ME", "MD", "TX", "WA", "NY", "OH", "PR", "XX", "YY", "ZZ"]
 KNOWN = 25
 
 ENTRIES_PER_BLOCK = 1000  # label entries in one rendered block
@@ -38,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def code(number: str) -> str:
     """SQL for the state code of a number."""
-    return f"substring('{CODES}', int({number}) * 2 + 1, 2)"
+    return f"elt(int({number}) + 1, {str(CODES)[1:-1]})"
 
 
 # Raw column -> SQL over `orders`, with the blemishes real entries have.
@@ -138,18 +139,61 @@ def label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     A rendered block holds the entries of 1000 consecutive, distinct keys, so
     its size does not depend on the data.
     """
-    def render(entries: DataFrame, head: str, key: str, entry: str) -> DataFrame:
-        return entries.groupBy(
-            F.expr(f"concat('labels-', {key} div {ENTRIES_PER_BLOCK}) as source")
-        ).agg(F.concat(F.lit(head), F.concat_ws("\r\n", F.collect_list(F.expr(entry))),
-                       F.lit("\r\n")).alias("block"))
+    blocks = _rendered(port_labels(spark, sf_dir), PORT_LIST[0], "number", PORT_LIST[1])
+    for head, name, key, entry in LABEL_LISTS:
+        blocks = blocks.unionByName(_rendered(table(spark, sf_dir, name), head, key, entry))
+    return blocks
+
+
+def _rendered(entries: DataFrame, head: str, key: str, entry: str) -> DataFrame:
+    return entries.groupBy(
+        F.expr(f"concat('labels-', {key} div {ENTRIES_PER_BLOCK}) as source")
+    ).agg(F.concat(F.lit(head), F.concat_ws("\r\n", F.collect_list(F.expr(entry))),
+                   F.lit("\r\n")).alias("block"))
+
 
-    blocks = render(port_labels(spark, sf_dir), PORT_LIST[0], "number", PORT_LIST[1])
+# Entries that are not of their list's shape: a quoted country code, a state code in
+# small letters.
+BROKEN_ENTRIES = {
+    "customer": r"if(c_custkey % 97 = 0, format_string('   \'%d\' =  \'%s \'', c_custkey, c_name), {})",
+    "nation": r"if(n_nationkey % 5 = 0, format_string('\t\'%s\'=\'%s\'', lower({code}), n_name), {})",
+}
+
+
+def broken_label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`label_blocks` of the country and state lists, with entries of a wrong shape."""
+    blocks = None
     for head, name, key, entry in LABEL_LISTS:
-        blocks = blocks.unionByName(render(table(spark, sf_dir, name), head, key, entry))
+        if name in BROKEN_ENTRIES:
+            broken = BROKEN_ENTRIES[name].replace("{code}", code(key)).replace("{}", entry)
+            rendered = _rendered(table(spark, sf_dir, name), head, key, broken)
+            blocks = rendered if blocks is None else blocks.unionByName(rendered)
+    return blocks
+
+
+def whole_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block): a label text that holds every list once.
+
+    A list is one block, and so one row: its ports are the first part of each printed
+    shape and state, its other lists `nation` and `region`, whole.
+    """
+    shapes = port_labels(spark, sf_dir).groupBy(
+        F.expr("number % 20 as shape"), F.expr("number % 28 as state")).agg(
+        F.min_by(F.struct("code", "value"), "number").alias("port")).select("port.*")
+    blocks = _one_block(shapes, *PORT_LIST)
+    for head, name, _, entry in LABEL_LISTS:
+        rows = table(spark, sf_dir, "nation" if name == "customer" else name)
+        if name == "customer":
+            rows = rows.selectExpr("n_nationkey as c_custkey", "n_name as c_name")
+        blocks = blocks.unionByName(_one_block(rows, head, entry))
     return blocks
 
 
+def _one_block(entries: DataFrame, head: str, entry: str) -> DataFrame:
+    lines = F.concat_ws("\r\n", F.array_sort(F.collect_list(F.expr(entry))))
+    return entries.agg(F.concat(F.lit(head), lines, F.lit("\r\n")).alias("block"))
+
+
 # Header of the demographics text -> SQL over `customer`; `city` is its number.
 CITIES_FROM_CUSTOMER = {
     "City": "concat('City ', city)",
@@ -174,6 +218,25 @@ def demographics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{text} as `{name}`" for name, text in CITIES_FROM_CUSTOMER.items()])
 
 
+# What goes wrong in a line of demographics text, by the customer's number: the text
+# after its last field (a line end begins a line of its own), and its veterans.
+BROKEN_LINE = """
+    case when c_custkey % 41 = 0 then concat(chr(10), 'City short;State short')
+         when c_custkey % 43 = 0 then ';more;fields' else '' end"""
+BROKEN_NUMBER = """
+    case when c_custkey % 47 = 0 then '1.9' when c_custkey % 53 = 0 then '3000000000'
+         else string(city % 500) end"""
+
+
+def broken_demographics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`demographics_text` with short lines, long lines, fractions and overflow; to be
+    written without quotes."""
+    customer = table(spark, sf_dir, "customer").selectExpr("*", "c_custkey div 3 as city")
+    texts = {**CITIES_FROM_CUSTOMER, "Number of Veterans": BROKEN_NUMBER,
+             "Count": f"concat(string(c_custkey), {BROKEN_LINE})"}
+    return customer.selectExpr(*[f"{text} as `{name}`" for name, text in texts.items()])
+
+
 def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The dimensions the derived entries point to; `dim_port` grows with `part`."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

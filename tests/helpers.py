@@ -2,35 +2,39 @@
 
 from portolan.schemas import RAW_ENTRIES
 
-# A label text of our own with every printed shape.
+# Port labels that are read in a way of their own (see
+# `portolan.operators.ports`), as they are printed.
+SETTLED_LABELS = {
+    "GTF": "Collapsed into INT, MN", "PDN": "PASO DEL NORTE,TX     ",
+    "BLI": "BELLINGHAM, WASHINGTON #INTL", "888": "UNIDENTIFED AIR / SEAPORT",
+    "UNK": "UNKNOWN POE           ",
+}
+
+# A label text with every printed shape; its other names are invented.
 LABEL_TEXT = "\r\n".join([
     "libname library 'somewhere' ;",
     "proc format library=library ;",
     "",
     "/* I94CIT & I94RES - all the codes */",
     "  value cntyl",
-    "   582 =  'MEXICO Air Sea, and Not Reported (I-94, no land arrivals)'",
-    "   687 =  'ARGENTINA '",
-    "   719 =  'INVALID: BOUVET ISLAND (ANTARCTICA/NORWAY TERR.)' ",
-    "    0  =  'INVALID: STATELESS'",
-    "   996 =  'No Country Code (996)' ;",
+    "   501 =  'NORDLAND Air Sea, and Not Counted (X-1, no land)'",
+    "   502 =  'SUDLAND '",
+    "   503 =  'INVALID: FAR ISLES (NORTH/SOUTH TERR.)' ",
+    "    0  =  'INVALID: NOWHERE'",
+    "   996 =  'No Land Code (996)' ;",
     "",
     "/* I94PORT - all the codes */",
     "  value $prtl",
-    "   'ALC'\t=\t'ALCAN, AK             '",
-    "   'CLX'\t=\t'CALEXICO, CA -ARPT    '",
-    "   'LIA'\t=\t'LITTLE ROCK, AR (BPS)'",
-    "   'MAP'\t=\t'MARIPOSA AZ           '",
-    "   'GTF'\t=\t'Collapsed into INT, MN'",
-    "   'INT'\t=\t'INT''L FALLS, MN      '",
-    "   'LAG'\t=\t'LA GUARDIA, NY        '",
-    "   'RDU'\t=\t'RALEIGH/DURHAM, NC    '",
-    "   'PUT'\t=\t'PUT-IN-BAY, OH        '",
-    "   'PDN'\t=\t'PASO DEL NORTE,TX     '",
-    "   'BLI'\t=\t'BELLINGHAM, WASHINGTON #INTL'",
-    "   'TOR'\t=\t'TORONTO, CANADA       '",
-    "   '888'\t=\t'UNIDENTIFED AIR / SEAPORT'",
-    "   'UNK'\t=\t'UNKNOWN POE           '",
+    "   'AAA'\t=\t'ARDEN, AK             '",
+    "   'BBB'\t=\t'BRISK, CA -ARPT       '",
+    "   'CCC'\t=\t'LOW ROCK, AR (BPS)'",
+    "   'DDD'\t=\t'MARLOW AZ             '",
+    "   'EEE'\t=\t'MID''L FALLS, MN      '",
+    "   'FFF'\t=\t'LA GRANJA, NY         '",
+    "   'GGG'\t=\t'ELM/OAK, NC           '",
+    "   'HHH'\t=\t'UP-IN-ARMS, OH        '",
+    "   'III'\t=\t'TARN, ELSEWHERE       '",
+    *[f"   '{code}'\t=\t'{label}'" for code, label in SETTLED_LABELS.items()],
     "   'AG'\t\t=\t'No PORT Code (AG)'",
     "   'CP '\t=\t'No PORT Code (CP)'",
     "   'NK' \t=\t'No PORT Code (NK)'",
@@ -39,23 +43,21 @@ LABEL_TEXT = "\r\n".join([
     "/* ARRDATE is the arrival date. */",
     "/* I94MODE - missing values as well as not reported (9) */",
     "value model",
-    "\t1 = 'Air'",
-    "\t2 = 'Sea'",
-    "\t3 = 'Land'",
-    "\t9 = 'Not reported' ;",
+    "\t1 = 'Wings'",
+    "\t2 = 'Hull'",
+    "\t3 = 'Wheels'",
+    "\t9 = 'Not told' ;",
     "",
     "/* I94ADDR - everything else goes into 'other' */",
     "value addrl",
-    *[f"\t'{code}'='{name}'" for code, name in [
-        ("AK", "ALASKA"), ("AR", "ARKANSAS"), ("AZ", "ARIZONA"), ("CA", "CALIFORNIA"),
-        ("IN", "INDIANA"), ("LA", "LOUISIANA"), ("MN", "MINNESOTA"), ("NC", "N. CAROLINA"),
-        ("NY", "NEW YORK"), ("OH", "OHIO"), ("TX", "TEXAS"), ("WA", "WASHINGTON")]],
-    "\t'99'='All Other Codes' ;",
+    *[f"\t'{code}'='STATE OF {code}'" for code in [
+        "AK", "AR", "AZ", "CA", "IN", "LA", "MN", "NC", "NY", "OH", "TX", "WA"]],
+    "\t'99'='Any Other Code' ;",
     "",
     "/* I94VISA - Visa codes collapsed into three categories:",
-    "   1 = Business",
-    "   2 = Pleasure",
-    "   3 = Student",
+    "   1 = Trade",
+    "   2 = Leisure trip",
+    "   3 = Study",
     "*/",
     "/* BIRYEAR - 4 digit year of birth */",
     "run ;",

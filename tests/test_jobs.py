@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 from dataclasses import replace
 
 import pytest
@@ -13,10 +14,10 @@ from tests.helpers import CITY_TEXT, LABEL_TEXT, entries
 
 RAW = [
     {"cicid": 1.0, "i94yr": 2016.0, "i94mon": 4.0, "arrdate": 20573.0, "i94addr": "NY",
-     "i94visa": 1.0, "i94port": "LAG", "i94cit": 687.0, "i94mode": 1.0, "count": 1.0,
+     "i94visa": 1.0, "i94port": "FFF", "i94cit": 502.0, "i94mode": 1.0, "count": 1.0,
      "dtaddto": "D/S", "dtadfile": "20160429", "admnum": "1.0"},
     {"cicid": 2.0, "i94yr": 2016.0, "i94mon": 5.0, "arrdate": 20576.0, "i94addr": "TX",
-     "i94visa": 2.0, "i94port": "PDN", "i94cit": 582.0, "i94mode": 3.0, "count": 1.0},
+     "i94visa": 2.0, "i94port": "PDN", "i94cit": 501.0, "i94mode": 3.0, "count": 1.0},
     {"cicid": 3.0, "i94yr": 2016.0, "i94mon": 5.0, "i94addr": "ZZ", "count": 1.0},
 ]
 
@@ -46,13 +47,13 @@ def test_the_whole_lake(spark, cfg):
         assert df.schema.simpleString() == TABLES[name].simpleString()
     row = star_join(tables["fact_i94"], tables, list(LINKS)).where("i94_key = 1").first()
     assert (row.citizenship, row.port_address, row.i94mode, row.state, row.visa_broad_type,
-            row.weekday) == ("ARGENTINA", "LA GUARDIA", "Air", "NEW YORK", "Business", 6)
+            row.weekday) == ("SUDLAND", "LA GRANJA", "Wings", "STATE OF NY", "Trade", 6)
     jobs.open_views(spark, cfg)
     counted = spark.sql("""
         select s.state, t.month, sum(f.i94_count) as people
         from fact_i94 f join dim_state s using (state_code) join dim_time t using (arrival_date)
         group by s.state, t.month""")
-    assert set(map(tuple, counted.collect())) == {("NEW YORK", 4, 1), ("TEXAS", 5, 1)}
+    assert set(map(tuple, counted.collect())) == {("STATE OF NY", 4, 1), ("STATE OF TX", 5, 1)}
     assert jobs.entry_rejects(spark, cfg).where("rejected > 0").isEmpty()
 
 
@@ -63,12 +64,66 @@ def test_a_bad_load_leaves_the_table(spark, cfg):
     assert jobs.open_table(spark, cfg, "fact_i94").count() == 3
 
 
-def test_monthly_reload(spark, cfg, tmp_path):
+def test_a_load_keeps_other_months(spark, cfg, tmp_path):
     jobs.load_fact(spark, cfg)
     entries(spark, {**RAW[1], "cicid": 9.0}).write.parquet(str(tmp_path / "entries-fix"))
-    fix = replace(cfg, entries_fmt="parquet", reload=True, entries_by_month=True,
+    fix = replace(cfg, entries_fmt="parquet", entries_by_month=True,
                   params={**cfg.params, "year": "fix"})
     assert sorted(r.i94_key for r in jobs.load_fact(spark, fix).collect()) == [1, 9]
+    whole = replace(fix, replace_all=True)
+    assert [r.i94_key for r in jobs.load_fact(spark, whole).collect()] == [9]
+
+
+def test_an_empty_load_is_refused(spark, cfg, tmp_path):
+    jobs.load_fact(spark, cfg)
+    entries(spark).write.parquet(str(tmp_path / "entries-none"))
+    none = replace(cfg, entries_fmt="parquet", params={**cfg.params, "year": "none"})
+    with pytest.raises(QualityError, match="not_empty"):
+        jobs.load_fact(spark, none)
+    assert jobs.open_table(spark, cfg, "fact_i94").count() == 3
+
+
+def test_losses_come_with_the_load(spark, cfg, tmp_path):
+    entries(spark, {**RAW[0], "dtadfile": "20161301"}).write.parquet(str(tmp_path / "entries-bad"))
+    bad = replace(cfg, entries_fmt="parquet", params={**cfg.params, "year": "bad"})
+    _, losses = jobs.load_fact_and_losses(spark, bad)
+    assert [tuple(r) for r in losses.where("rejected > 0").collect()] == [
+        ("i94_file_date", 1, 0, 1)]
+
+
+def test_entries_are_read_once(spark, cfg, tmp_path):
+    """Rows of the entry files that tasks read during a load."""
+    lines = 3 + len(list((tmp_path / "entries-2016").glob("*.csv")))  # with header lines
+    tracker, group = spark.sparkContext.statusTracker(), f"once-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, group)
+    jobs.load_fact(spark, cfg)
+    spark.sparkContext._jsc.clearJobGroup()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    read = sum(store.lastStageAttempt(stage).inputRecords()
+               for job in tracker.getJobIdsForGroup(group)
+               for stage in tracker.getJobInfo(job).stageIds)
+    assert 3 <= read <= lines
+
+
+def test_dimensions_are_published_all_or_none(spark, cfg, tmp_path):
+    jobs.load_labels(spark, cfg)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "lake").rglob("part-*")}
+    bad = LABEL_TEXT.replace("   996 =", "   99999999999 =").encode()
+    (tmp_path / "labels.txt").write_bytes(bad)
+    with pytest.raises(QualityError, match="region_key is missing"):
+        jobs.load_labels(spark, cfg)
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "lake").rglob("part-*")}
+    assert after == before
+    assert not list((tmp_path / "lake").glob(".publish-*"))
+
+
+def test_scratch_goes_with_the_run(spark, cfg):
+    folder = f"{shared_folder(spark).removeprefix('file:')}/portolan"
+    made = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = made()
+    assert jobs.load_demographics(spark, cfg).count() == 3
+    assert made() == before
 
 
 def test_command_line(spark, cfg, tmp_path, capsys):
@@ -85,6 +140,17 @@ def test_command_line(spark, cfg, tmp_path, capsys):
     assert "not_empty" in capsys.readouterr().out
 
 
+def test_the_readme_command_twice(spark, tmp_path):
+    """A monthly load by parameter leaves the month loaded before."""
+    for month, raw in (("2016-04", RAW[0]), ("2016-05", RAW[1])):
+        entries(spark, raw).write.parquet(str(tmp_path / f"raw/{month}"))
+        cli.main(["fact", "--lake", str(tmp_path / "lake"), "--entries",
+                  f"{tmp_path}/raw/{{month}}", "--param", f"month={month}",
+                  "--as-of", "2020-01-01"])
+    months = spark.read.parquet(str(tmp_path / "lake/fact_i94")).select("i94mon").collect()
+    assert sorted(r.i94mon for r in months) == [4, 5]
+
+
 def test_scratch_is_the_cluster_folder(spark):
     first, second = new_folder(spark, "x"), new_folder(spark, "x")
     assert first != second

@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from portolan.operators.demographics import (
-    build_demographics, project_demographics, state_populations,
+    build_demographics, demographics_rejects, project_demographics, state_populations,
 )
 from portolan.operators.keys import dense_index
 from portolan.schemas import TABLES
@@ -46,7 +46,7 @@ def test_one_hot_row_still_spreads(spark):
         numbered = dense_index(df, ["k"], "n")
         path = numbered.inputFiles()
         sizes = [r["count"] for r in
-                 spark.read.parquet(*path).groupBy("_part").count().collect()]
+                 spark.read.parquet(*path).groupBy("part").count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 80000 and max(sizes) < 20000
@@ -54,9 +54,47 @@ def test_one_hot_row_still_spreads(spark):
     assert tuple(stats) == (0, 79999, 80000)
 
 
+def test_map_columns_and_clashing_names(spark):
+    df = spark.createDataFrame(
+        [(1, 2, {"b": 1, "a": 2}), (1, 1, {"a": 2, "b": 1}), (0, 3, None)],
+        "part int, content int, place map<string, int>")
+    got = dense_index(df, ["part"], "n")
+    assert got.columns == ["part", "content", "place", "n"]
+    assert sorted((r.n, r.part) for r in got.collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_input_from_files_is_sorted_once(spark, tmp_path, monkeypatch):
+    """One sort less than for input whose order may change."""
+    path, sorts = str(tmp_path / "in"), []
+    spark.range(2000).select((F.col("id") % 3).alias("k")).write.parquet(path)
+    frame = type(spark.range(0))
+    real = frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions",
+                        lambda self, *by: sorts.append(by) or real(self, *by))
+    for from_files, local_sorts in ((True, 0), (False, 1)):
+        numbered = dense_index(spark.read.parquet(path), ["k"], "n", from_files)
+        assert len(sorts) == local_sorts
+        stats = numbered.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+        assert tuple(stats) == (0, 1999, 2000)
+
+
+def test_lost_values_are_counted(spark, tmp_path):
+    lines = CITY_TEXT.strip().split("\n")
+    lines += ["Bend;Oregon", "Bend;Oregon;1;1.9;3000000000;1;1;1;1;OR;White;1;more;fields"]
+    (tmp_path / "c.csv").write_text("\n".join(lines) + "\n")
+    raw = read_demographics(spark, str(tmp_path))
+    lost = {r.column_name: (r.present, r.rejected) for r in demographics_rejects(raw).collect()}
+    assert lost == {
+        "median_age": (4, 0), "male_population": (4, 1), "female_population": (4, 2),
+        "total_population": (4, 0), "number_of_veterans": (4, 0), "foreign_born": (3, 0),
+        "average_household_size": (4, 0), "_corrupt_record": (2, 2)}
+    bend = project_demographics(raw).where("city = 'Bend' and race is not null").first()
+    assert (bend.male_population, bend.female_population) == (None, None)
+
+
 def test_demographics(spark, city_file):
     raw = read_demographics(spark, city_file)
-    assert "foreign_born" in raw.columns and raw.columns[-1] == "count"
+    assert "foreign_born" in raw.columns and raw.columns[-2:] == ["count", "_corrupt_record"]
     fact = build_demographics(raw)
     assert fact.schema.simpleString() == TABLES["fact_demographics"].simpleString()
     assert sorted(map(tuple, fact.collect()), key=lambda r: r[-1]) == [

@@ -7,7 +7,7 @@ from portolan.functions.text import header_name
 from portolan.operators import labels, ports
 from portolan.schemas import TABLES
 from portolan.sinks.tables import write_partitioned
-from portolan.sources.labels import read_label_blocks, read_label_staging
+from portolan.sources.labels import label_files, read_label_blocks, read_label_staging
 from tests.helpers import LABEL_TEXT, plan
 
 
@@ -38,16 +38,16 @@ def test_blocks(spark, label_file):
 
 def test_pairs(staging):
     assert pairs(staging, "country") == {
-        "582": "MEXICO Air Sea, and Not Reported (I-94, no land arrivals)",
-        "687": "ARGENTINA", "719": "INVALID: BOUVET ISLAND (ANTARCTICA/NORWAY TERR.)",
-        "0": "INVALID: STATELESS", "996": "No Country Code (996)"}
-    assert pairs(staging, "i94_mode") == {"1": "Air", "2": "Sea", "3": "Land", "9": "Not reported"}
-    assert pairs(staging, "visa") == {"1": "Business", "2": "Pleasure", "3": "Student"}
-    assert pairs(staging, "state")["99"] == "All Other Codes"
+        "501": "NORDLAND Air Sea, and Not Counted (X-1, no land)",
+        "502": "SUDLAND", "503": "INVALID: FAR ISLES (NORTH/SOUTH TERR.)",
+        "0": "INVALID: NOWHERE", "996": "No Land Code (996)"}
+    assert pairs(staging, "i94_mode") == {"1": "Wings", "2": "Hull", "3": "Wheels", "9": "Not told"}
+    assert pairs(staging, "visa") == {"1": "Trade", "2": "Leisure trip", "3": "Study"}
+    assert pairs(staging, "state")["99"] == "Any Other Code"
     assert len(pairs(staging, "state")) == 13
     found = pairs(staging, "port")
     assert len(found) == 17
-    assert found["INT"] == "INTL FALLS, MN" and found["CP"] == "No PORT Code (CP)"
+    assert found["EEE"] == "MIDL FALLS, MN" and found["CP"] == "No PORT Code (CP)"
     assert {"AG", "NK", "888"} <= found.keys()
 
 
@@ -56,20 +56,55 @@ def test_dims(staging):
     for name, dim in dims.items():
         assert dim.schema.simpleString() == TABLES[name].simpleString()
     assert {tuple(r) for r in dims["dim_visa"].collect()} == {
-        (1, "Business"), (2, "Pleasure"), (3, "Student")}
-    assert dims["dim_country"].where("region_key = 0").first().region_name == "INVALID: STATELESS"
+        (1, "Trade"), (2, "Leisure trip"), (3, "Study")}
+    assert dims["dim_country"].where("region_key = 0").first().region_name == "INVALID: NOWHERE"
 
 
 def test_ports(staging):
     assert {tuple(r) for r in labels.build_port_dim(staging).collect()} == {
-        ("ALC", "AK", "ALCAN"), ("CLX", "CA", "CALEXICO ARPT"), ("LIA", "AR", "LITTLE ROCK BPS"),
-        ("MAP", "AZ", "MARIPOSA"), ("INT", "MN", "INTL FALLS"), ("LAG", "NY", "LA GUARDIA"),
-        ("RDU", "NC", "RALEIGH DURHAM"), ("PUT", "OH", "PUT IN BAY"),
+        ("AAA", "AK", "ARDEN"), ("BBB", "CA", "BRISK ARPT"), ("CCC", "AR", "LOW ROCK BPS"),
+        ("DDD", "AZ", "MARLOW"), ("EEE", "MN", "MIDL FALLS"), ("FFF", "NY", "LA GRANJA"),
+        ("GGG", "NC", "ELM OAK"), ("HHH", "OH", "UP IN ARMS"),
         ("PDN", "TX", "PASO DEL NORTE"), ("BLI", "WA", "BELLINGHAM WASHINGTON")}
 
 
+def parsed(spark, kind, text):
+    """(pairs, rejects) of one block."""
+    selected = spark.createDataFrame([("s", kind, text)], "source string, type string, block string")
+    return ({r.code: r.value for r in labels.parse_labels(selected).collect()},
+            {(r.entries, r.rejected) for r in labels.label_rejects(selected).collect()})
+
+
+def test_an_empty_or_doubled_quote_does_not_run_on(spark):
+    text = "'DEF' = ''\r\n'GHI' = 'Z, NY'\r\n'JKL' = 'O''HARE'\r\n'MNO' = @@\r\n'P''Q' = 'x'"
+    assert parsed(spark, "port", text.replace("@@", "'" * 4)) == ({
+        "DEF": "", "GHI": "Z, NY", "JKL": "OHARE", "MNO": "", "PQ": "x"}, set())
+    assert parsed(spark, "visa", "  1 = Two words\r\n 2 =\r\n 3 = a = b\r\n*/") == (
+        {"1": "Two words", "2": "", "3": "a = b"}, set())
+
+
+def test_entries_of_another_shape_are_counted_and_refused(spark, tmp_path):
+    assert parsed(spark, "state", "'NY'='A'\r\n'ny'='B'\r\n'ABC'='C'\r\nTX='D'") == (
+        {"NY": "A"}, {(4, 3)})
+    assert parsed(spark, "country", " 1 = 'A'\r\n '2' = 'B'\r\n 3 = C") == ({"1": "A"}, {(3, 2)})
+    (tmp_path / "l.txt").write_bytes(LABEL_TEXT.replace("'AK'=", "'ak'=").encode())
+    with pytest.raises(labels.LabelBlockError, match=r"\(1 of 1\): 1 of 13 state in .*'ak'"):
+        labels.require_blocks(read_label_blocks(spark, str(tmp_path)))
+
+
+def test_an_empty_file_lacks_every_list(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(LABEL_TEXT.encode())
+    (tmp_path / "b.txt").write_bytes(b"")
+    blocks, files = read_label_blocks(spark, str(tmp_path)), label_files(spark, str(tmp_path))
+    faults = {(r.source.rpartition("/")[2], r.type): r.blocks
+              for r in labels.block_faults(blocks, files).collect()}
+    assert faults == {("b.txt", kind): 0 for kind in labels.LISTS}
+    with pytest.raises(labels.LabelBlockError, match=r"\(5 of 5\)"):
+        labels.require_blocks(blocks, files)
+
+
 def test_port_edges(spark):
-    states = spark.createDataFrame([("NY",), ("LA",), ("TOOLONG",), ("ny",)], "code string")
+    states = spark.createDataFrame([("NY",), ("LA",), (None,)], "code string")
     rows = spark.createDataFrame(
         [("A", "NY"), ("B", "NY, NY"), ("C", ""), ("D", None), ("E", "x ny"),
          ("F", "TOOLONG"), ("'G'", "'NEW' LA, NY (LA)")], "code string, value string")
@@ -77,6 +112,15 @@ def test_port_edges(spark):
     assert found == {"A": ("NY", ""), "B": ("NY", "NY"), "G": ("LA", "NEW LA NY")}
 
 
+@pytest.mark.parametrize("code", ["TOOLONG", "ny"])
+def test_a_state_code_of_another_shape_is_refused(spark, code):
+    """Left out, it would take the ports of its state with it."""
+    states = spark.createDataFrame([("NY",), (code,)], "code string")
+    rows = spark.createDataFrame([("A", "X, NY")], "code string, value string")
+    with pytest.raises(Exception, match=f"not a state code: {code}"):
+        ports.build_ports(rows, states).collect()
+
+
 def test_no_states_means_no_ports(spark):
     states = spark.createDataFrame([], "code string")
     rows = spark.createDataFrame([("A", "X, NY")], "code string, value string")
@@ -97,7 +141,7 @@ def test_block_faults(spark):
 
 
 def test_a_block_mark_inside_a_label_is_refused(spark, tmp_path):
-    cut = LABEL_TEXT.replace("TORONTO, CANADA", "TORONTO; CANADA")
+    cut = LABEL_TEXT.replace("TARN, ELSEWHERE", "TARN; ELSEWHERE")
     (tmp_path / "l.txt").write_bytes(cut.encode())
     with pytest.raises(labels.LabelBlockError, match="port in "):
         labels.require_blocks(read_label_blocks(spark, str(tmp_path)))

@@ -29,6 +29,7 @@ def test_pass(spark):
         ("dim_time", "not_empty"): (True, 1, "passed"),
         ("dim_time", "arrival_date_not_null"): (True, 0, "passed"),
         ("dim_port", "not_empty"): (True, 1, "passed"),
+        ("dim_port", "port_key_not_null"): (True, 0, "passed"),
         ("dim_port", "port_key_unique"): (True, 0, "passed")}
     gate(report)
 
@@ -38,6 +39,7 @@ def test_every_failure_is_named(spark):
         "fact_i94": table(spark, "fact_i94", {"i94yr": 2017}),
         "dim_time": table(spark, "dim_time", {}, {"arrival_date": AS_OF}),
         "dim_visa": table(spark, "dim_visa"),
+        "dim_country": table(spark, "dim_country", {"region_key": 1}, {}),
         "dim_state": table(spark, "dim_state", {"state_code": "NY"}, {"state_code": "NY"},
                            {"state_code": "TX"})}, AS_OF)
     with pytest.raises(QualityError) as error:
@@ -46,6 +48,7 @@ def test_every_failure_is_named(spark):
     assert "arrival_date is missing in some rows (value 1)" in str(error.value)
     assert "dim_visa.not_empty" in str(error.value)
     assert "state_code occurs more than once (value 1)" in str(error.value)
+    assert "region_key is missing in some rows (value 1)" in str(error.value)
 
 
 def test_empty_table_leaves_the_rest_open(spark):

@@ -1,9 +1,11 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from portolan.schemas import PARTITIONS, TABLES
-from portolan.sinks.tables import write_flat, write_partitioned
+from portolan.schemas import CSV, PARTITIONS, TABLES
+from portolan.sinks.publish import Publication
+from portolan.sinks.tables import save_flat, write_flat, write_partitioned
 from portolan.sources.tables import read_table
 from proxies.queries import fact
 from tests.helpers import plan
@@ -83,6 +85,57 @@ def test_ungathered_write_does_not_shuffle(spark, tmp_path):
     assert len(stages) == 1
 
 
+RAISES = "if(i94_key = 7, cast(raise_error('bad row') as int), i94_key)"
+
+
+@pytest.mark.parametrize("gather", [True, False])
+@pytest.mark.parametrize("reload", [True, False])
+def test_a_failed_write_leaves_the_table(spark, tmp_path, gather, reload):
+    path = str(tmp_path / "f")
+    rows = spark.range(20).select(F.col("id").cast("int").alias("i94_key"),
+                                  F.lit(2016).alias("i94yr"), (F.col("id") % 3).alias("i94mon"))
+    write_partitioned(rows, path, BY)
+    with pytest.raises(Exception, match="bad row"):
+        write_partitioned(rows.withColumn("i94_key", F.expr(RAISES)), path, BY, reload, gather)
+    with pytest.raises(Exception):  # the last stage fails: a folder name too long
+        write_partitioned(rows.withColumn("i94mon", F.lit("x" * 300)), path, BY, reload, gather)
+    assert spark.read.parquet(path).count() == 20
+    assert os.listdir(tmp_path) == ["f"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_failed_flat_write_leaves_the_table(spark, tmp_path, fmt):
+    path = str(tmp_path / "f")
+    rows = spark.range(20).select(F.col("id").cast("int").alias("i94_key"))
+    write_flat(rows, path, fmt)
+    with pytest.raises(Exception, match="bad row"):
+        write_flat(rows.withColumn("i94_key", F.expr(RAISES)), path, fmt)
+    assert spark.read.schema("i94_key int").options(**CSV).load(path, format=fmt).count() == 20
+    assert os.listdir(tmp_path) == ["f"]
+
+
+def test_a_failed_swap_moves_everything_back(spark, tmp_path, monkeypatch):
+    """The second table cannot be moved: the first keeps its old rows too."""
+    paths = [str(tmp_path / name) for name in "ab"]
+    for path in paths:
+        write_flat(spark.range(1), path)
+    moves = []
+
+    def move(self, source, target, done, really=Publication._move):
+        moves.append(target)
+        if len(moves) == 4:
+            raise OSError("no")
+        really(self, source, target, done)
+
+    monkeypatch.setattr(Publication, "_move", move)
+    with pytest.raises(OSError), Publication(spark) as publication:
+        for path in paths:
+            save_flat(spark.range(5), publication.stage(path))
+        publication.commit()
+    assert [spark.read.parquet(path).count() for path in paths] == [1, 1]
+    assert sorted(os.listdir(tmp_path)) == ["a", "b"]
+
+
 def test_flat_csv_has_no_index_column(spark, tmp_path):
     path = str(tmp_path / "d")
     rows = spark.createDataFrame(

@@ -65,7 +65,8 @@ def test_top_breaks_ties_by_key(spark, dims):
 
 
 def test_per_resident(spark):
-    rows = small_fact(spark, [("NY", 1, 2016, 1, "A", 3), ("TX", 1, 2016, 1, "A", 1)])
+    rows = small_fact(spark, [("NY", 1, 2016, 1, "A", 3), ("TX", 1, 2016, 1, "A", 1),
+                              ("XX", 1, 2016, 1, "A", 1)])
     cities = spark.createDataFrame(
         [("Albany", "NY", 1000, "White"), ("Albany", "NY", 1000, "Asian"),
          ("Troy", "NY", 500, "White"), ("Austin", "TX", 0, "White")],
@@ -74,7 +75,7 @@ def test_per_resident(spark):
         cities = cities.withColumn(column, F.lit(1))
     got = {r.state_code: (r.total_population, r.per_thousand)
            for r in analytics.entries_per_resident(rows, cities).collect()}
-    assert got == {"NY": (1500, 2.0), "TX": (0, None)}
+    assert got == {"NY": (1500, 2.0), "TX": (0, None), "XX": (None, None)}
 
 
 def final_plan(df):
@@ -125,8 +126,8 @@ def test_rollup_copies_counts_not_entries(spark, sf_dir):
     assert "HashAggregate" in physical[physical.index("Expand"):]
 
 
-def test_a_hot_key_is_split_when_both_sides_are_big(spark):
-    """Two thirds of the entries hold one port; the sort-merge join splits it."""
+@pytest.fixture
+def no_broadcast(spark):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
@@ -134,20 +135,39 @@ def test_a_hot_key_is_split_when_both_sides_are_big(spark):
     }
     for name, value in settings.items():
         spark.conf.set(name, value)
-    try:
-        entries = spark.range(0, 300000, 1, 16).select(
-            F.hash("id").alias("i94_key"),
-            F.when(F.col("id") % 3 < 2, "P7").otherwise(F.concat(F.lit("P"), F.col("id") % 5000))
-            .alias("port_key"))
-        ports = spark.range(5000).select(
-            F.concat(F.lit("P"), "id").alias("port_key"), F.lit("NY").alias("state"),
-            F.col("id").cast("string").alias("address"))
-        joined = star.star_join(entries, {"dim_port": ports}, ["port"]).agg(
-            F.count("*"), F.count("port_address"), F.sum("i94_key"))
-        total, matched, _ = joined.collect()[0]
-        physical = joined._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for name in settings:
-            spark.conf.unset(name)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+
+
+def test_a_hot_state_is_split_for_the_unknown_member(spark, no_broadcast):
+    """Nine tenths of the entries go to one state."""
+    entries = spark.range(0, 300000, 1, 16).select(
+        F.hash("id").alias("i94_key"),
+        F.when(F.col("id") % 10 < 9, "NY").otherwise(F.concat(F.lit("S"), F.col("id") % 500))
+        .alias("state_code"))
+    states = spark.range(400).select(F.concat(F.lit("S"), "id").alias("state_code")).unionByName(
+        spark.createDataFrame([("NY",)], "state_code string"))
+    settled = star.with_unknown_member(entries, states).agg(
+        F.count_if(F.col("state_code") == "NY"), F.count_if(F.col("state_code") == "99"),
+        F.count("*"), F.sum("i94_key"))
+    ny, other, total, _ = settled.collect()[0]
+    assert ny == 270000 and other == 6000 and total == 300000
+    assert "SortMergeJoin(skew=true)" in settled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_key_is_split_when_both_sides_are_big(spark, no_broadcast):
+    """Two thirds of the entries hold one port; the sort-merge join splits it."""
+    entries = spark.range(0, 300000, 1, 16).select(
+        F.hash("id").alias("i94_key"),
+        F.when(F.col("id") % 3 < 2, "P7").otherwise(F.concat(F.lit("P"), F.col("id") % 5000))
+        .alias("port_key"))
+    ports = spark.range(5000).select(
+        F.concat(F.lit("P"), "id").alias("port_key"), F.lit("NY").alias("state"),
+        F.col("id").cast("string").alias("address"))
+    joined = star.star_join(entries, {"dim_port": ports}, ["port"]).agg(
+        F.count("*"), F.count("port_address"), F.sum("i94_key"))
+    total, matched, _ = joined.collect()[0]
+    physical = joined._jdf.queryExecution().executedPlan().toString()
     assert total == matched == 300000
     assert "SortMergeJoin(skew=true)" in physical
