@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 from portolan.llm.common import written
 
 
-def spanning_links(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
-    """Places of the links (left[i], right[i]) among `n` nodes that join what no link
-    before joined: at most n - 1 links connect what all of them do."""
-    parent = list(range(n))
+def spanning_links(left: np.ndarray, right: np.ndarray, parent: list[int]) -> list[int]:
+    """Places of the links (left[i], right[i]) that join what no link before joined: at
+    most one less than there are nodes connect what all of them do.
 
+    `parent` names for each node one that it is connected to, itself to begin with; it
+    takes the links in, and can be handed on with further ones.
+    """
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = parent[parent[x]]

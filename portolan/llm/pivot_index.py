@@ -137,7 +137,8 @@ def _met(table: pa.Table, least: float) -> pa.Table:
     near = np.stack(table["near"].combine_chunks().flatten().to_numpy().reshape(len(place), -1))
     rows = unit_rows(_matrix(table["vector"].combine_chunks()))
     found = np.zeros(len(place), np.int64)
-    lefts, rights = [], []
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    parent = list(range(len(place)))
     single = near.shape[1] == 1
     seconds = [-1] if single else np.unique(near[near > pivot]).tolist()
     for second in seconds:
@@ -159,18 +160,16 @@ def _met(table: pa.Table, least: float) -> pa.Table:
                     left, right = left[here], right[here]
                 np.add.at(found, left, copies[right])
                 np.add.at(found, right, copies[left])
-                kept = spanning_links(len(place), left, right)
+                kept = spanning_links(left, right, parent)
                 lefts.append(left[kept])
                 rights.append(right[kept])
-    left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
-    right = np.concatenate(rights) if rights else np.zeros(0, np.int64)
-    kept = spanning_links(len(place), left, right)
+    left, right = np.concatenate(lefts), np.concatenate(rights)
     linked = np.flatnonzero(found)
     return pa.table({
-        "place": np.concatenate((place[linked], place[left[kept]])),
-        "links": np.concatenate((found[linked], np.zeros(len(kept), np.int64))),
-        "other": pa.array(np.concatenate((np.zeros(len(linked), np.int64), place[right[kept]])),
-                          mask=np.arange(len(linked) + len(kept)) < len(linked))})
+        "place": np.concatenate((place[linked], place[left])),
+        "links": np.concatenate((found[linked], np.zeros(len(left), np.int64))),
+        "other": pa.array(np.concatenate((np.zeros(len(linked), np.int64), place[right])),
+                          mask=np.arange(len(linked) + len(left)) < len(linked))})
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",

@@ -110,7 +110,7 @@ def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("place").alias("doc_id"),
-                        simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"),
+                        simhash.hex_digits(F.col("print")[0]).alias("fingerprint"),
                         F.col("component").alias("component_id"))
 
 
