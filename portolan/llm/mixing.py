@@ -47,8 +47,8 @@ def with_targets(sources: DataFrame) -> DataFrame:
                   - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0)))
         / F.sum("weight").over(onward))
     # The first source whose limit is not below the level sets the level for all after it.
-    first = levels.withColumn("level", F.when(F.col("level") <= F.col("reach"), F.struct(
-        "reach", "level")))
+    first = levels.withColumn("turn", F.row_number().over(ordered)).withColumn(
+        "level", F.when(F.col("level") <= F.col("reach"), F.struct("turn", "level")))
     return first.withColumn("level", F.min("level").over(everything).level).select(
         "source", "source_size",
         F.least("limit", F.col("weight") * F.col("level")).alias("target"))

@@ -10,6 +10,7 @@ from portolan.llm import (
     url_lists, warc,
 )
 from portolan.llm.common import table
+from portolan.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from portolan.scratch import new_folder
 
 WINDOW = 2048

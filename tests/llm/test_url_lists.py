@@ -1,0 +1,81 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from portolan.llm import url_lists
+
+
+def day(n, hour=0):
+    return dt.datetime(2020, 1, 1, hour) + dt.timedelta(days=n)
+
+
+def judged(spark, captures, entries):
+    seen = spark.createDataFrame(captures, "page_id bigint, url string, fetched_at timestamp_ntz")
+    listed = spark.createDataFrame(entries, "domain string, action string, at timestamp_ntz")
+    clashing = {n: F.lit("x") for n in ("row", "host", "domain", "month", "entry", "place")}
+    return url_lists.judge_captures(seen.withColumns(clashing), listed.withColumn("month", F.lit(1)))
+
+
+def verdicts(df):
+    return sorted((r.page_id, r.domain, r.action, r.kept) for r in df.collect())
+
+
+def test_entries_in_force_at_the_time(spark):
+    entries = [("bad.com", "block", day(10)), ("bad.com", "remove", day(400)),
+               ("ok.bad.com", "allow", day(20)), ("late.com", "block", day(1000))]
+    captures = [(i, url, at) for i, (url, at) in enumerate([
+        ("http://bad.com/x", day(9, 23)), ("http://bad.com/x", day(10)), ("http://bad.com", day(399, 23)),
+        ("http://bad.com", day(400)), ("http://www.bad.com/", day(100)), ("http://ok.bad.com/", day(15)),
+        ("https://user@OK.bad.com:80/", day(30)), ("http://notbad.com/", day(30)),
+        ("http://late.com/", day(999))])]
+    assert verdicts(judged(spark, captures, entries)) == [
+        (0, None, None, True), (1, "bad.com", "block", False), (2, "bad.com", "block", False),
+        (3, None, None, True), (4, "bad.com", "block", False), (5, "bad.com", "block", False),
+        (6, "ok.bad.com", "allow", True), (7, None, None, True), (8, None, None, True)]
+
+
+def test_odd_rows(spark):
+    at = day(5)
+    captures = [(1, None, at), (2, "", at), (3, "no host", at), (4, "http://a.b/", None),
+                (None, "http://a.b/", at), (5, "http://a.b./", at), (5, "http://a.b./", at),
+                (6, "http://single/", at), (7, "http://" + "x." * 30 + "a.b/", at)]
+    entries = [("A.B", "block", day(1)), ("a.b", "block", day(1)), (None, "block", day(1)),
+               ("a.b", "block", None), ("a.b", "odd", day(2)), ("single", "block", day(1))]
+    got = judged(spark, captures, entries)
+    assert sorted(((r.page_id or 0), r.kept) for r in got.collect()) == [
+        (0, False), (1, True), (2, True), (3, True), (4, True), (5, False), (5, False), (6, False),
+        (7, False)]
+    assert judged(spark, captures[:0], entries).isEmpty()
+    assert [r.kept for r in judged(spark, captures, entries[:0]).collect()] == [True] * 9
+
+
+def test_entries_of_one_time(spark):
+    entries = [("a.b", "block", day(1)), ("a.b", "remove", day(1)), ("c.d", "block", day(1)),
+               ("c.d", "allow", day(1))]
+    captures = [(1, "http://a.b", day(2)), (2, "http://c.d", day(2))]
+    assert verdicts(judged(spark, captures, entries)) == [(1, None, None, True), (2, "c.d", "allow", True)]
+
+
+def test_against_brute_force(spark):
+    import random
+    draw = random.Random(5)
+    hosts = ["a.com", "x.a.com", "y.x.a.com", "b.org", "z.b.org"]
+    entries = sorted({(draw.choice(hosts), draw.choice(url_lists.ACTIONS), day(draw.randrange(900)))
+                      for _ in range(60)}, key=str)
+    # One action a time and domain, so that ties are settled elsewhere.
+    entries = list({(d, at): (d, a, at) for d, a, at in entries}.values())
+    captures = [(i, f"http://{draw.choice(hosts)}/", day(draw.randrange(900), 12)) for i in range(300)]
+
+    def wanted(url, at):
+        host = url[7:-1]
+        labels = host.split(".")
+        for n in range(len(labels) - 1):
+            domain = ".".join(labels[n:])
+            before = [(t, a) for d, a, t in entries if d == domain and t <= at]
+            if before and max(before)[1] != "remove":
+                return domain, max(before)[1], max(before)[1] != "block"
+        return None, None, True
+
+    assert verdicts(judged(spark, captures, entries)) == sorted(
+        (i, *wanted(url, at)) for i, url, at in captures)

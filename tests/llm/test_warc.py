@@ -1,0 +1,90 @@
+import base64
+import gzip
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from portolan.llm import warc
+from portolan.scratch import new_folder
+
+
+def pages(spark, *rows):
+    made = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return made.withColumns({name: F.lit("x") for name in ("payload", "sha1", "chunk", "parts")})
+
+
+def written(spark, df, **options):
+    folder = new_folder(spark, "warc")
+    return folder, warc.write_archives(df, folder, **options)
+
+
+def back(spark, df, chunk=warc.CHUNK, **options):
+    folder, archives = written(spark, df, chunk=chunk, **options)
+    chunks = warc.read_archives(spark, folder, archives, chunk)
+    return {r.page_id: tuple(r)[1:] for r in warc.payloads(chunks).collect()}
+
+
+def digest(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def test_round_trip_and_roles(spark):
+    rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "u", None), (4, None, ""),
+            (5, "x y\r\nWARC-Type: z", "ü\r\n\r\nWARC/1.1\r\n" * 3), (9, "c", "same"),
+            (6, "l", "line\r\n" * 40000)]
+    got = back(spark, pages(spark, *rows), chunk=1000)
+    assert got == {
+        1: (4, digest("same"), "revisit", 9), 2: (4, digest("same"), "revisit", 9),
+        9: (4, digest("same"), "response", None), 3: (0, digest(""), "revisit", 4),
+        4: (0, digest(""), "response", None),
+        5: (len(rows[4][2].encode()), digest(rows[4][2]), "response", None),
+        6: (240000, digest(rows[6][2]), "response", None)}
+
+
+def test_small_payloads_are_all_responses(spark):
+    got = back(spark, pages(spark, (1, "a", "xx"), (2, "b", "xx"), (3, "c", "long"), (4, "d", "long")),
+               min_bytes=3)
+    assert {i: r[2] for i, r in got.items()} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    folder, archives = written(spark, pages(spark, (2, "a", "t"), (2, "a", "t"), (1, "a", "t"),
+                                            (None, "a", "t"), (None, "a", "alone")))
+    got = warc.payloads(warc.read_archives(spark, folder, archives)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [
+        (0, "response", 0), (0, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (2, "response", 0)]
+
+
+def test_no_pages(spark):
+    folder, archives = written(spark, pages(spark).limit(0))
+    assert archives.isEmpty() and warc.read_archives(spark, folder, archives).isEmpty()
+
+
+def test_chunks_carry_running_digests(spark):
+    text = "0123456789" * 10
+    folder, archives = written(spark, pages(spark, (1, "a", text)), chunk=16)
+    chunks = sorted(warc.read_archives(spark, folder, archives, 16).collect(), key=lambda r: r.chunk_no)
+    assert b"".join(bytes(r.chunk) for r in chunks) == text.encode()
+    assert [r.chunk_no for r in chunks] == list(range(7)) and [r.last for r in chunks] == [False] * 6 + [True]
+    for r in chunks:
+        assert r.digest_so_far == digest(text[:r.bytes_so_far])
+    assert max(len(r.chunk) for r in chunks) == 16
+
+
+def test_archives_are_gzip_members_of_plain_records(spark):
+    folder, archives = written(spark, pages(spark, (1, "http://h/p", "body"), (2, "http://h/q", "body")))
+    text = b"".join(gzip.open(f"{folder.removeprefix('file:')}/{r.archive}").read()
+                    for r in archives.collect()).decode()
+    assert text.count("WARC/1.1\r\n") == 2 and text.count("body") == 1
+    assert "WARC-Refers-To: <urn:page:2>" in text and "WARC-Target-URI: http://h/q\r\n" in text
+    assert sum(r.records for r in archives.collect()) == 2
+
+
+def test_a_cut_archive_is_refused(spark):
+    folder, archives = written(spark, pages(spark, (1, "a", "body" * 1000)))
+    path = f"{folder.removeprefix('file:')}/{archives.first().archive}"
+    whole = gzip.open(path).read()
+    open(path, "wb").write(gzip.compress(whole[:-500]))
+    with pytest.raises(Exception, match="ends within a payload"):
+        warc.read_archives(spark, folder, archives).collect()
