@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from portolan.scratch import new_folder
+from portolan.scratch import new_folder, shared_folder
 
 # The ASCII white space that separates words, and a word.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -71,14 +71,18 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     package = os.path.basename(root)
-    archive = os.path.join(tempfile.mkdtemp(), f"{package}.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(root):
+    # Not in a run's scratch: executors that join later fetch it too.
+    folder = f"{shared_folder(spark)}/portolan/lib-{uuid.uuid4().hex}"
+    files, path = shared_files(folder)
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/{package}.zip", compression=None) as target, \
+            zipfile.ZipFile(target, "w") as archive:
+        for place, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.join(package, os.path.relpath(path, root)))
-    context.addPyFile(archive)
+                    source = os.path.join(place, name)
+                    archive.write(source, os.path.join(package, os.path.relpath(source, root)))
+    context.addPyFile(f"{folder}/{package}.zip")
     _shipped.add(context)
 
 
@@ -116,3 +120,11 @@ def shared_files(folder: str) -> tuple[pafs.FileSystem, str]:
         if folder.startswith(spark_scheme):
             folder = scheme + folder.removeprefix(spark_scheme)
     return pafs.FileSystem.from_uri(folder)
+
+
+def put_in_place(files: pafs.FileSystem, begun: str, name: str) -> None:
+    """Give a file that is whole its name. One that a lost attempt of the same task has
+    left there holds the same and goes: not every store renames onto a file."""
+    if files.get_file_info(name).type != pafs.FileType.NotFound:
+        files.delete_file(name)
+    files.move(begun, name)

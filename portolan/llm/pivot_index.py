@@ -53,6 +53,16 @@ def draw_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     return {size: unit_rows(np.array(own, np.float64)) for size, own in by_size.items()}
 
 
+def _nearest(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The numbers of each row's nearest pivots, in rising order; a tile of rows at a time."""
+    k = min(NEAREST, len(points))
+    near = np.empty((len(rows), k), np.int32)
+    for at in range(0, len(rows), TILE):
+        far = -(rows[at:at + TILE] @ points.T)
+        near[at:at + TILE] = np.argsort(far, axis=1, kind="stable")[:, :k]
+    return np.sort(near, axis=1)
+
+
 def _list_entries(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """(list, place, copies, near, vector): each vector under each pivot near it but
     the last, as a pair is looked for in the list of the smallest pivot it shares.
@@ -76,11 +86,8 @@ def _list_entries(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFram
                     near = np.zeros((len(rows), 1), np.int32)
                     taken, pivot = np.arange(len(rows)), near[:, 0]
                 else:
-                    cosines = unit_rows(_matrix(own["vector"])) @ points.T
-                    k = min(NEAREST, len(points))
-                    nearest = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-                    near = np.sort(nearest, axis=1).astype(np.int32)
-                    taken = np.repeat(np.arange(len(rows)), k - 1)
+                    near = _nearest(unit_rows(_matrix(own["vector"])), points)
+                    taken = np.repeat(np.arange(len(rows)), near.shape[1] - 1)
                     pivot = near[:, :-1].ravel()
                 sent = own.take(pa.array(taken))
                 yield pa.RecordBatch.from_arrays(

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from portolan.llm.byte_bpe import byte_bpe
-from portolan.llm.common import chunked, map_arrow, shared_files, written
+from portolan.llm.common import chunked, map_arrow, put_in_place, shared_files, written
 
 NO_DOC = -(1 << 63)
 SHARD = "shard int, docs bigint, ids bigint, kind string"
@@ -87,7 +87,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             with fs.open_output_stream(shard_name(path, shard, f"{kind}.{attempt}")) as out:
                 out.write(np.array(numbers, "<i8").tobytes())
         for kind in (ids_kind, "off", "doc"):
-            fs.move(shard_name(path, shard, f"{kind}.{attempt}"), shard_name(path, shard, kind))
+            put_in_place(fs, shard_name(path, shard, f"{kind}.{attempt}"),
+                         shard_name(path, shard, kind))
         yield pa.RecordBatch.from_pylist(
             [{"shard": shard, "docs": len(doc_ids), "ids": size, "kind": ids_kind}],
             schema=_SHARD)

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from portolan.llm.common import chunked, map_arrow, shared_files, written
+from portolan.llm.common import chunked, map_arrow, put_in_place, shared_files, written
 
 CHUNK = 256 * 1024
 RECORD_DATE = "2020-01-01T00:00:00Z"  # used where a page has no date of its own
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, chunk: int
             if out is not None:
                 out.close()
         if count:
-            fs.move(begun, name)
+            put_in_place(fs, begun, name)
             yield pa.RecordBatch.from_pydict({"archive": [name.rpartition("/")[2]],
                                               "records": [count]})
 
