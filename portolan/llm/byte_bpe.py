@@ -19,7 +19,7 @@ _WORD = re.compile(
     rf"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _OUTSIDE = re.compile("[^\x00-ɏ]")
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
 
 

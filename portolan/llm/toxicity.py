@@ -5,14 +5,14 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from portolan.llm.common import chunked, map_arrow
+from portolan.llm.common import map_arrow, ship
 
 BUCKETS = 1 << 17
 FACTORS = 4
@@ -25,12 +25,9 @@ DECAY = 1e-4                # of weights and of factors, per row
 BATCH = 128
 SEED = 11
 FOLDS, HELD_OUT_FOLD = 5, 0
-CACHED_TERMS = 500_000
+CACHED_TERMS = 200_000
 
 _TERM = re.compile(r"[^\W_]+")
-_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()),
-                    ("predicted", pa.int32())])
-
 
 # Terms
 
@@ -191,44 +188,31 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Factoriz
     return fit(texts, np.asarray(rows["label"]))
 
 
-def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row: narrow, one pass, whole texts.
+def score_of(model: FactorizationMachine, spark: SparkSession) -> Callable[[Column], Column]:
+    """The model as a function on text columns. It has a fixed size and is broadcast;
+    a task holds one batch of texts, other columns do not leave the JVM."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    The model has a fixed size and is broadcast. A NULL or empty text has no terms and
-    the score of the bias. Repeated rows are scored each; other columns, and so labels,
-    language and source, are not read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(terms(t.as_py() or "")) for t in texts], pa.float64())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
+    return score
 
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, held, text in zip(batch["doc_id"].to_pylist(),
-                                              batch["held_out"].to_pylist(), batch["text"]):
-                    score = machine.score(terms(text.as_py() or ""))
-                    yield doc_id, held, score, int(score >= 0.5)
 
-        yield from chunked(rows(), _SCORE, 10_000)
+def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row: narrow, one pass, whole texts.
 
+    A NULL or empty text has no terms and the score of the bias. Repeated rows are
+    scored each; other columns, and so labels, language and source, are not read.
+    """
     doc_id = F.col("doc_id").cast("bigint")
-    return map_arrow(docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "text"),
-                     work, "doc_id bigint, held_out boolean, score double, predicted int")
+    scored = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"),
+                         score_of(model, docs.sparkSession)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_civil(docs: DataFrame, model: FactorizationMachine, most: float = 0.5) -> DataFrame:
     """The rows of `docs` that score below `most`, all columns, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch["text"]
-            keep = [shared.value.score(terms(t.as_py() or "")) < most for t in text]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    # The row's own columns under numbers: their names may be anything, or clash.
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    text = numbered[f"c{docs.columns.index('text')}"]
-    sent = numbered.select("*", text.cast("string").alias("text"))
-    return map_arrow(sent, work, sent.schema).drop("text").toDF(*docs.columns)
+    return docs.where(score_of(model, docs.sparkSession)(F.col("text")) < most)
