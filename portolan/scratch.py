@@ -53,6 +53,16 @@ def run_scratch(spark: SparkSession, label: str) -> Iterator[str]:
         remove(spark, folder)
 
 
+@contextmanager
+def scratch_in(folder: str) -> Iterator[None]:
+    """Scratch made in here lies in `folder`, which stays: whoever named it removes it."""
+    _RUNS.append(folder)
+    try:
+        yield
+    finally:
+        _RUNS.remove(folder)
+
+
 def file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path that Spark can open."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
