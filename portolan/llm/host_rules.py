@@ -111,10 +111,11 @@ def with_verdicts(measured_docs: DataFrame) -> DataFrame:
 
     `measured_docs` is read twice: for the hosts and for the join, so hand in a
     written table. A host is judged by its rate; a document is kept if it passes
-    and its host does. Hosts join without a hint: broadcast under Spark's size
-    limit, else sort-merged with hot hosts split.
+    and its host does. Hosts are written, so that Spark knows their size: under its
+    limit they are broadcast and no row is shuffled, else sort-merged with hot hosts
+    split.
     """
-    hosts = host_rates(measured_docs).select(F.col("host").alias("_host"), "rate")
+    hosts = written(host_rates(measured_docs).select(F.col("host").alias("_host"), "rate"), "hosts")
     return measured_docs.join(
         hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host").withColumn(
         "kept", ~F.col("base_failed") & (F.col("rate") <= MOST_FAILURES)).withColumnRenamed(

@@ -17,12 +17,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from portolan.llm.common import map_arrow, ship, written
+from portolan.llm.common import let, map_arrow, ship, words, written
 from portolan.llm.components import components, spanning_links
 
 SEED = 42
 LEAST_GROUPS, MOST_GROUPS = 8, 18
-VARIANTS_PER_BUCKET = 1 << 19
+VARIANTS_PER_BUCKET = 1 << 21
 
 
 class Scheme(NamedTuple):
@@ -33,6 +33,7 @@ class Scheme(NamedTuple):
     width: int          # bits of a band, 64 at most
     radius: int         # a band's bits that a pair to be found may differ in
     most: int           # bits of the whole fingerprint that linked ones may differ in
+    similarity: float = 0.0     # of the sets of shingles, that linked texts must share
 
 
 # One band of 64 bits: every pair within 4 bits is found.
@@ -41,8 +42,9 @@ CLOSE = Scheme(shingle=4, bands=1, width=64, radius=4, most=4)
 # For texts that share four fifths of their five-word shingles. Such a pair differs in
 # a bit with a chance of 0.151 (the angle between the two, over pi), so in 36 of 240
 # bits with a deviation of 5.5. A band finds it with a chance of 0.275, one of ten with
-# 0.96; 48 bits let 0.98 of them pass, and of unrelated texts (120 bits) none.
-SIMILAR = Scheme(shingle=5, bands=10, width=24, radius=2, most=48)
+# 0.96; 48 bits let 0.98 of them pass, and of unrelated texts (120 bits) none. What
+# passes is compared by its shingles.
+SIMILAR = Scheme(shingle=5, bands=10, width=24, radius=2, most=48, similarity=0.8)
 
 
 # Fingerprints
@@ -134,14 +136,14 @@ def _parities(values: np.ndarray, groups: int, width: int) -> np.ndarray:
 
 
 def _variants(own: np.ndarray, change: np.ndarray, flips: dict[int, np.ndarray]):
-    """(value, owner) of all variants in one bucket, sorted by both."""
+    """(value, owner) of all variants in one bucket, sorted by value."""
     values, owners = [], []
     for c in np.unique(change).tolist():
         those = np.flatnonzero(change == c)
         values.append((own[those][:, None] ^ flips[c][None, :]).ravel())
         owners.append(np.repeat(those, len(flips[c])))
     value, owner = np.concatenate(values), np.concatenate(owners)
-    order = np.lexsort((owner, value))
+    order = np.argsort(value, kind="stable")
     return value[order], owner[order]
 
 
@@ -214,6 +216,41 @@ def links(prints: DataFrame, scheme: Scheme = CLOSE,
     return sent.groupBy("band", "bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
+# Verification by shingles
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shingle_set(text: Column, size: int) -> Column:
+    """The distinct shingles of a text as 32-bit hashes, cut as for its fingerprint."""
+    def of(word: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(word) - size, F.lit(0)))
+        return F.array_distinct(F.transform(
+            starts, lambda i: F.hash(*[F.get(word, i + k) for k in range(size)])))
+
+    return let(words(F.translate(text, _UPPER, _LOWER)), of)
+
+
+def similar(found: DataFrame, places: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """The links (a, b) whose texts share at least `scheme.similarity` of their shingles.
+
+    `places` (id, least) gives the `place` in `texts` (place, text) of each end. Those
+    of ends are written, so that texts are not shuffled to find them while they are
+    few. Sets are written, as they are read for both ends; a hub's links join as plain
+    equi-joins, which Spark splits.
+    """
+    found = written(found.distinct(), "links")
+    ends = found.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    ends = written(places.join(ends, F.col("id") == F.col("end"), "left_semi"), "ends")
+    sets = written(texts.join(ends, F.col("place") == F.col("least")).select(
+        "id", shingle_set(F.col("text"), scheme.shingle).alias("shingles")), "sets")
+    both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    return both.where(shared >= scheme.similarity * (
+        F.size("left") + F.size("right") - shared)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE) -> DataFrame:
     """(place, print, component) of each row: `place` its number in column `key`,
     `component` the smallest one among the rows it is linked to, directly or not.
@@ -224,11 +261,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE
     without words share a fingerprint of zeros and are linked like any other. A row
     with a NULL number belongs to its component without naming it (NULL if no row of
     it has a number). Repeated rows share a component; an empty table gives no rows.
+
+    With `scheme.similarity`, links are verified by the texts of one row for each
+    fingerprint. That one is found by its number, so numbers must differ then.
     """
     prints = written(fingerprints(docs, key, scheme), "fingerprints")
     distinct = written(prints.groupBy("print").agg(F.min("place").alias("least")).withColumn(
         "id", F.monotonically_increasing_id()), "distinct")
-    found = written(components(links(distinct.select("id", "print"), scheme)), "found")
+    linking = links(distinct.select("id", "print"), scheme)
+    if scheme.similarity:
+        texts = docs.select(F.col(key).cast("bigint").alias("place"), "text")
+        linking = similar(linking, distinct.select("id", "least"), texts, scheme)
+    found = written(components(linking), "found")
     member = found.join(distinct.select("id", "least"), F.col("node") == F.col("id"))
     named = member.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("linked"))
     linked = found.join(named, F.col("root") == F.col("_root")).select("node", "linked")
