@@ -294,11 +294,13 @@ def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     Spark's broadcast limit, the texts are not shuffled to take it out.
     """
     rows = written(docs.select(F.struct("*").alias("row"),
-                               F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                                F.monotonically_increasing_id().alias("n")), "rows")
-    found = written(near_duplicates(rows.select("n", "text"), "n", scheme).select(
+    texts = rows.select("n", F.col("row.text").alias("text"))
+    found = written(near_duplicates(texts, "n", scheme).select(
         F.col("place").alias("n"), "component"), "near")
-    first = rows.select("n", "doc_id").join(found, "n").groupBy("component").agg(F.min(F.struct(
-        F.col("doc_id").isNull(), "doc_id", "n")).alias("first")).select(F.col("first.n").alias("n"))
-    gone = written(found.select("n").join(first, "n", "left_anti"), "gone")
-    return rows.select("row", "n").join(gone, "n", "left_anti").select("row.*")
+    doc_id = F.col("row.doc_id").cast("bigint")
+    first = rows.select("n", doc_id.alias("doc_id")).join(found, "n").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("first"))
+    gone = written(found.select("n").join(
+        first.select(F.col("first.n").alias("n")), "n", "left_anti"), "gone")
+    return rows.join(gone, "n", "left_anti").select("row.*")

@@ -2,7 +2,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from portolan.llm import host_rules
 from tests.llm.conftest import rows_of
