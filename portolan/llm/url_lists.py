@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LABELS = 6        # a host is looked up under itself and its parents, this many at most
-ROOT_LABELS = 2   # ... down to names of two labels
+ROOT_LABELS = 2   # a host is looked up under itself and its parents of as many labels or more
 
 ACTIONS = ("block", "allow", "remove")
 
@@ -21,15 +20,13 @@ def host(url: Column) -> Column:
 
 
 def host_and_parents(name: Column) -> Column:
-    """The host and its parent domains, the longest first."""
+    """The host and its parent domains, the longest first; a name has 127 labels at most."""
     labels = F.split(name, r"\.")
     shortest = F.least(F.size(labels), F.lit(ROOT_LABELS))
-    most = F.least(F.size(labels), shortest + LABELS - 1)
     names = F.transform(
-        F.sequence(shortest, most, F.lit(1)),
+        F.sequence(F.size(labels), shortest, F.lit(-1)),
         lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
-    every = F.array_distinct(F.concat(F.array(name), F.reverse(names)))
-    return F.when(name.isNotNull(), every).otherwise(F.array().cast("array<string>"))
+    return F.when(name.isNotNull(), names).otherwise(F.array().cast("array<string>"))
 
 
 def validity(entries: DataFrame) -> DataFrame:

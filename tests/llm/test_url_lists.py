@@ -45,6 +45,9 @@ def test_odd_rows(spark):
     assert sorted(((r.page_id or 0), r.kept) for r in got.collect()) == [
         (0, False), (1, True), (2, True), (3, True), (4, True), (5, False), (5, False), (6, False),
         (7, False)]
+    deep = "l." * 20 + "a.b"  # an entry far up, and far down, a long name
+    assert verdicts(judged(spark, [(1, f"http://x.x.{deep}/", at)], [(deep, "allow", day(1)), *entries])) == [
+        (1, deep, "allow", True)]
     assert judged(spark, captures[:0], entries).isEmpty()
     assert [r.kept for r in judged(spark, captures, entries[:0]).collect()] == [True] * 9
 
