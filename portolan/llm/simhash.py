@@ -23,6 +23,7 @@ from portolan.llm.components import components, spanning_links
 SEED = 42
 LEAST_GROUPS, MOST_GROUPS = 8, 18
 VARIANTS_PER_BUCKET = 1 << 21
+SHINGLES_PER_CELL = 1 << 18     # that a task compares; a larger group is compared in pairs of blocks
 
 
 class Scheme(NamedTuple):
@@ -231,24 +232,128 @@ def shingle_set(text: Column, size: int) -> Column:
     return let(words(F.translate(text, _UPPER, _LOWER)), of)
 
 
-def similar(found: DataFrame, places: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """The links (a, b) whose texts share at least `scheme.similarity` of their shingles.
+def _near_groups(units: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id, least, group) of the `units` (id, print, least) that share a group with
+    others: `group` is common to all that are connected by near prints.
 
-    `places` (id, least) gives the `place` in `texts` (place, text) of each end. Those
-    of ends are written, so that texts are not shuffled to find them while they are
-    few. Sets are written, as they are read for both ends; a hub's links join as plain
-    equi-joins, which Spark splits.
+    Links of prints are thinned to what connects, which is sound for these groups
+    alone: two units that are near are in one, whatever links were left out.
     """
-    found = written(found.distinct(), "links")
-    ends = found.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    ends = written(places.join(ends, F.col("id") == F.col("end"), "left_semi"), "ends")
-    sets = written(texts.join(ends, F.col("place") == F.col("least")).select(
-        "id", shingle_set(F.col("text"), scheme.shingle).alias("shingles")), "sets")
-    both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    return both.where(shared >= scheme.similarity * (
-        F.size("left") + F.size("right") - shared)).select("a", "b")
+    prints = written(units.groupBy("print").agg(F.count("*").alias("n")).withColumn(
+        "id", F.monotonically_increasing_id()), "prints")
+    near = written(components(links(prints.select("id", "print"), scheme)), "near_prints")
+    grouped = prints.join(near, F.col("id") == F.col("node"), "left").select(
+        F.col("print").alias("_print"), "n", F.coalesce("root", "id").alias("group"))
+    shared = grouped.groupBy(F.col("group").alias("_group")).agg(
+        F.sum("n").alias("units")).where("units > 1")
+    shared = written(grouped.join(shared, F.col("group") == F.col("_group")).select(
+        "_print", "group"), "groups")
+    return units.join(shared, F.col("print") == F.col("_print")).select("id", "least", "group")
+
+
+def _in_cells(sets: DataFrame, most: int) -> DataFrame:
+    """(cell, lower, upper, block, id, group, shingles): which sets a task compares.
+
+    Groups of up to `most` shingles are dealt to cells whole. A larger one is cut into
+    blocks by hash, and a set sent to every pair of blocks with its own, so all pairs
+    are still met, by many tasks. Only large groups are in the table that joins: one
+    row for `most` shingles or more, so it is small enough to broadcast.
+    """
+    totals = written(sets.groupBy(F.col("group").alias("_group")).agg(
+        F.sum(F.size("shingles")).alias("total")), "totals")
+    cells = (totals.agg(F.sum("total")).first()[0] or 0) // most + 1
+    large = totals.where(F.col("total") > most).select(
+        "_group", F.ceil(F.col("total") / most).cast("int").alias("blocks"))
+    joined = sets.join(F.broadcast(large), F.col("group") == F.col("_group"), "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    cell = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("group"), F.lit(cells))).otherwise(
+        -1 - F.col("group"))
+    return joined.select(
+        cell.alias("cell"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id",
+        "group", "shingles", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+        "cell", F.least("block", "other").alias("lower"),
+        F.greatest("block", "other").alias("upper"), "block", "id", "group", "shingles")
+
+
+def _alike(sets: list[np.ndarray], upper: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Pairs of places in `sets` that share at least `least`: enough to connect all that
+    do. With `upper`, only pairs of one that is in it and one that is not.
+
+    What a set shares with all others is counted over lists of who holds a shingle.
+    Only sets that are not yet connected by such pairs are looked at, and first the
+    one that was found last, so near copies of one text cost one comparison each.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    if n == 2:
+        if upper is not None and upper[0] == upper[1]:
+            return []
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if shared >= least * (sizes.sum() - shared) else []
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(n), sizes)[np.argsort(shingle, kind="stable")]
+    held = np.bincount(shingle)
+    begin, at = np.cumsum(held) - held, np.cumsum(sizes) - sizes
+    found, root, last = [], np.arange(n), -1
+    for i in range(n) if upper is None else np.flatnonzero(~upper).tolist():
+        open_ = root != root[i]
+        open_ &= np.arange(n) > i if upper is None else upper
+        if not open_.any():
+            continue
+        if last >= 0 and open_[last]:
+            shared = len(np.intersect1d(sets[i], sets[last], assume_unique=True))
+            if shared >= least * (sizes[i] + sizes[last] - shared):
+                found.append((i, last))
+                root[root == root[last]] = root[i]
+                open_ &= root != root[i]
+                if not open_.any():
+                    continue
+        own = shingle[at[i]:at[i] + sizes[i]]
+        many = held[own]
+        place = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(holder[place], minlength=n)
+        linked = np.flatnonzero(open_ & (shared >= least * (sizes[i] + sizes - shared)))
+        roots, first = np.unique(root[linked], return_index=True)
+        found += [(i, j) for j in linked[first].tolist()]
+        root[np.isin(root, roots)] = root[i]
+        if len(linked):
+            last = int(linked[-1])
+    return found
+
+
+def similar(units: DataFrame, texts: DataFrame, scheme: Scheme,
+            most: int = SHINGLES_PER_CELL) -> DataFrame:
+    """(a, b) links of `units` (id, print, least) whose texts share at least
+    `scheme.similarity` of their shingles: enough to connect all that do within a
+    group of near prints. No link is left out for one that has not been verified.
+
+    `least` is the `place` in `texts` (place, text) of a unit's text. Units that share a
+    group are written, so that texts are not shuffled to find them while they are few.
+    """
+    members = written(_near_groups(units, scheme), "members")
+    sets = written(texts.join(members, F.col("place") == F.col("least")).select(
+        "id", "group", shingle_set(F.col("text"), scheme.shingle).alias("shingles")), "sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lower, upper = table["lower"][0].as_py(), table["upper"][0].as_py()
+        ids, group, block = (table[c].to_numpy() for c in ("id", "group", "block"))
+        lists = table["shingles"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(sizes)[:-1])
+        order = np.argsort(group, kind="stable")
+        pairs = [np.zeros((0, 2), np.int64)]
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if len(own) > 1:
+                found = _alike([sets[i] for i in own],
+                               None if lower == upper else block[own] == upper, scheme.similarity)
+                pairs.append(ids[own[np.array(found, np.int64).reshape(-1, 2)]])
+        pairs = np.concatenate(pairs)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    ship(units.sparkSession)
+    return _in_cells(sets, most).groupBy("cell", "lower", "upper").applyInArrow(
+        compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE) -> DataFrame:
@@ -262,16 +367,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE
     with a NULL number belongs to its component without naming it (NULL if no row of
     it has a number). Repeated rows share a component; an empty table gives no rows.
 
-    With `scheme.similarity`, links are verified by the texts of one row for each
-    fingerprint. That one is found by its number, so numbers must differ then.
+    With `scheme.similarity`, near fingerprints only say which texts are compared; links
+    are those of texts whose shingles were. A text is found by its number, so numbers
+    must differ then.
     """
     prints = written(fingerprints(docs, key, scheme), "fingerprints")
     distinct = written(prints.groupBy("print").agg(F.min("place").alias("least")).withColumn(
         "id", F.monotonically_increasing_id()), "distinct")
-    linking = links(distinct.select("id", "print"), scheme)
     if scheme.similarity:
         texts = docs.select(F.col(key).cast("bigint").alias("place"), "text")
-        linking = similar(linking, distinct.select("id", "least"), texts, scheme)
+        linking = similar(distinct, texts, scheme)
+    else:
+        linking = links(distinct.select("id", "print"), scheme)
     found = written(components(linking), "found")
     member = found.join(distinct.select("id", "least"), F.col("node") == F.col("id"))
     named = member.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("linked"))

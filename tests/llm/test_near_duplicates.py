@@ -146,6 +146,47 @@ def test_texts_that_share_four_fifths_of_their_shingles(spark, documents):
     assert not any(found[a] == found[b] for a, b in unlike)
 
 
+def drawn(draw, n):
+    return [f"w{draw.randrange(10**6)}" for _ in range(n)]
+
+
+def crowd(pairs, seed):
+    """Texts on one template, unlike each other (0.75), and an edited copy of each (0.9)."""
+    draw, texts = random.Random(seed), []
+    template = drawn(draw, 430)
+    for _ in range(pairs):
+        words = template + drawn(draw, 70)
+        edited = list(words)
+        for at in range(440, 490, 10):
+            edited[at] = "edit"
+        texts += [" ".join(words), " ".join(edited)]
+    return texts
+
+
+@pytest.mark.parametrize("most", [simhash.SHINGLES_PER_CELL, 5000])
+def test_copies_in_a_crowd_of_texts_that_are_not(spark, documents, monkeypatch, most):
+    """Near fingerprints of unlike texts do not stand in for links; in one cell and in many."""
+    monkeypatch.setattr(simhash.similar, "__defaults__", (most,))
+    texts = crowd(60, 5)
+    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
+                         "place", "component"))
+    assert sum(found[i + 1] == found[i] for i in range(0, len(texts), 2)) >= 57
+    assert all(found[i] in (i, i - i % 2) for i in found)
+
+
+@given(st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=2, max_size=12), st.data())
+def test_sets_alike_against_brute_force(sets, data):
+    """All sets, or those of one block with those of another."""
+    upper = data.draw(st.none() | st.lists(st.booleans(), min_size=len(sets), max_size=len(sets)))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+             if (upper is None or upper[i] != upper[j])
+             and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])]
+    found = simhash._alike([np.array(sorted(s), np.int32) for s in sets],
+                           None if upper is None else np.array(upper), 0.6)
+    assert set(map(frozenset, found)) <= set(map(frozenset, pairs))
+    assert groups(range(len(sets)), found) == groups(range(len(sets)), pairs)
+
+
 def test_one_row_of_each_group(documents):
     text = " ".join(f"w{i}" for i in range(100))
     docs = documents((5, text, "a"), (3, text, "b"), (3, text, "c"), (None, text, "d"), (9, "other", "e"),
