@@ -50,25 +50,41 @@ SIMILAR = Scheme(shingle=5, bands=10, width=24, radius=2, most=48, similarity=0.
 
 # Fingerprints
 
-def fingerprint(text: str, scheme: Scheme = CLOSE) -> list[int]:
-    """The bands of a text. A bit is set if it is set in over half of the shingles'
-    hashes; a text with fewer words than a shingle is one, one without words all zero."""
+def shingles(text: str, scheme: Scheme = CLOSE) -> list[bytes]:
+    """The shingles of a text, in order; one with fewer words than a shingle is one, one
+    without words has none."""
     words = text.encode().lower().split()  # on bytes: A-Z and ASCII white space only
     if not words:
-        return [0] * scheme.bands
+        return []
     joined, count = b" ".join(words), max(1, len(words) - scheme.shingle + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:count].tolist()
-    ends = ends[-count:].tolist()
-    bits = scheme.bands * scheme.width
+    return [joined[s:e] for s, e in zip(starts, ends[-count:].tolist())]
+
+
+def set_digest(found: list[bytes]) -> bytes:
+    """Tells sets of shingles apart, whatever their order and repeats."""
+    return xxhash.xxh3_128_digest(b"\n".join(sorted(set(found))), SEED)
+
+
+def fingerprint(text: str, scheme: Scheme = CLOSE) -> list[int]:
+    """The bands of a text. A bit is set if it is set in over half of the shingles'
+    hashes; without words, none is."""
+    return _bands(shingles(text, scheme), scheme)
+
+
+def _bands(found: list[bytes], scheme: Scheme) -> list[int]:
+    if not found:
+        return [0] * scheme.bands
+    count, bits = len(found), scheme.bands * scheme.width
     if bits <= 64:
-        digest = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED)
-                           for s, e in zip(starts, ends)], "<u8").view(np.uint8).reshape(count, -1)
+        digest = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found],
+                          "<u8").view(np.uint8).reshape(count, -1)
     else:
         digest = np.concatenate([
-            np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[s:e], SEED + part)
-                                    for s, e in zip(starts, ends)]), np.uint8).reshape(count, -1)
+            np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED + part) for s in found]),
+                          np.uint8).reshape(count, -1)
             for part in range(-(-bits // 128))], axis=1)
     ones = np.zeros(digest.shape[1] * 8, np.int64)
     for at in range(0, count, 1 << 14):
@@ -82,17 +98,29 @@ def fingerprint(text: str, scheme: Scheme = CLOSE) -> list[int]:
 
 def fingerprints(docs: DataFrame, key: str, scheme: Scheme = CLOSE) -> DataFrame:
     """(place, print) of each row's text under its number in column `key`: the bands as
-    signed numbers. A NULL text is an empty one."""
-    schema = pa.schema([("place", pa.int64()), ("print", pa.list_(pa.int64()))])
+    signed numbers. With `scheme.similarity`, `set` too: the digest of its shingles. A
+    NULL text is an empty one."""
+    fields = [("place", pa.int64()), ("print", pa.list_(pa.int64()))]
+    ddl = "place bigint, print array<bigint>"
+    if scheme.similarity:
+        fields.append(("set", pa.binary()))
+        ddl += ", set binary"
+    schema = pa.schema(fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_py() or "", scheme) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays(
-                [batch["place"], pa.array(prints, pa.list_(pa.int64()))], schema=schema)
+            prints, sets = [], []
+            for text in batch["text"]:
+                found = shingles(text.as_py() or "", scheme)
+                prints.append(_bands(found, scheme))
+                if scheme.similarity:
+                    sets.append(set_digest(found))
+            columns = [batch["place"], pa.array(prints, pa.list_(pa.int64()))]
+            if scheme.similarity:
+                columns.append(pa.array(sets, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return map_arrow(docs.select(F.col(key).cast("bigint").alias("place"), "text"), work,
-                     "place bigint, print array<bigint>")
+    return map_arrow(docs.select(F.col(key).cast("bigint").alias("place"), "text"), work, ddl)
 
 
 # Buckets
@@ -367,12 +395,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE
     with a NULL number belongs to its component without naming it (NULL if no row of
     it has a number). Repeated rows share a component; an empty table gives no rows.
 
-    With `scheme.similarity`, near fingerprints only say which texts are compared; links
-    are those of texts whose shingles were. A text is found by its number, so numbers
-    must differ then.
+    With `scheme.similarity`, the work is on distinct sets of shingles instead, and near
+    or equal fingerprints only say which of them are compared; links are those of texts
+    whose shingles were. A text is found by its number, so numbers must differ then.
     """
     prints = written(fingerprints(docs, key, scheme), "fingerprints")
-    distinct = written(prints.groupBy("print").agg(F.min("place").alias("least")).withColumn(
+    unit, other = ("set", ["print"]) if scheme.similarity else ("print", [])
+    distinct = written(prints.groupBy(unit).agg(
+        F.min("place").alias("least"), *[F.first(c).alias(c) for c in other]).withColumn(
         "id", F.monotonically_increasing_id()), "distinct")
     if scheme.similarity:
         texts = docs.select(F.col(key).cast("bigint").alias("place"), "text")
@@ -384,8 +414,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE
     named = member.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("linked"))
     linked = found.join(named, F.col("root") == F.col("_root")).select("node", "linked")
     known = distinct.join(linked, F.col("id") == F.col("node"), "left").select(
-        F.col("print").alias("_print"), F.coalesce("linked", "least").alias("component"))
-    return prints.join(known, F.col("print") == F.col("_print")).drop("_print")
+        F.col(unit).alias("_unit"), F.coalesce("linked", "least").alias("component"))
+    return prints.join(known, F.col(unit) == F.col("_unit")).select("place", "print", "component")
 
 
 def hex_digits(band: Column) -> Column:

@@ -187,6 +187,24 @@ def test_sets_alike_against_brute_force(sets, data):
     assert groups(range(len(sets)), found) == groups(range(len(sets)), pairs)
 
 
+def test_unlike_texts_of_one_fingerprint_stay_apart(documents):
+    """Whatever gives them the same one; the texts of equal sets are still one."""
+    draw = random.Random(6)
+    texts = [" ".join(drawn(draw, 50)) for _ in range(12)]
+    near = texts[0].split()
+    near[25] = "edit"  # 5 of 46 changed: 0.8 is shared
+    line = " ".join(drawn(draw, 5))
+    hot = [" ".join(drawn(draw, 520) + [line] * 99) for _ in range(6)]
+    texts += [" ".join(near), texts[1].upper(), *hot]
+    apart = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
+                         "place", "component"))
+    assert [apart[i] for i in range(14, 20)] == [14, 15, 16, 17, 18, 19]
+    crowded = simhash.SIMILAR._replace(bands=10, width=1, radius=0, most=10)
+    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", crowded),
+                         "place", "component"))
+    assert found == {i: {12: 0, 13: 1}.get(i, i) for i in range(20)}
+
+
 def test_one_row_of_each_group(documents):
     text = " ".join(f"w{i}" for i in range(100))
     docs = documents((5, text, "a"), (3, text, "b"), (3, text, "c"), (None, text, "d"), (9, "other", "e"),
