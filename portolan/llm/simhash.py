@@ -70,13 +70,16 @@ def set_digest(found: list[bytes]) -> bytes:
 
 def fingerprint(text: str, scheme: Scheme = CLOSE) -> list[int]:
     """The bands of a text. A bit is set if it is set in over half of the shingles'
-    hashes; without words, none is."""
+    hashes; without words, none is. Repeats count, but not with `scheme.similarity`,
+    which is one of sets."""
     return _bands(shingles(text, scheme), scheme)
 
 
 def _bands(found: list[bytes], scheme: Scheme) -> list[int]:
     if not found:
         return [0] * scheme.bands
+    if scheme.similarity:
+        found = list(dict.fromkeys(found))
     count, bits = len(found), scheme.bands * scheme.width
     if bits <= 64:
         digest = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found],

@@ -205,6 +205,22 @@ def test_unlike_texts_of_one_fingerprint_stay_apart(documents):
     assert found == {i: {12: 0, 13: 1}.get(i, i) for i in range(20)}
 
 
+def test_repeats_do_not_move_the_fingerprint_of_a_set(documents):
+    """A ten-word sentence ten times more: nearly the same set of shingles."""
+    draw, texts = random.Random(8), []
+    for _ in range(20):
+        words = drawn(draw, 500)
+        texts += [" ".join(words), " ".join(words[:210] + words[200:210] * 10 + words[210:])]
+    for a, b in zip(texts[::2], texts[1::2]):
+        one, two = (simhash.fingerprint(t, simhash.SIMILAR) for t in (a, b))
+        assert sum((x ^ y).bit_count() for x, y in zip(one, two)) <= simhash.SIMILAR.most
+        close = [simhash.fingerprint(t)[0] for t in (a, b)]
+        assert (close[0] ^ close[1]).bit_count() > simhash.CLOSE.most  # repeats count there
+    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
+                         "place", "component"))
+    assert found == {i: i - i % 2 for i in found}
+
+
 def test_one_row_of_each_group(documents):
     text = " ".join(f"w{i}" for i in range(100))
     docs = documents((5, text, "a"), (3, text, "b"), (3, text, "c"), (None, text, "d"), (9, "other", "e"),
