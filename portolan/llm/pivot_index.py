@@ -20,6 +20,8 @@ from portolan.llm.components import components, spanning_links
 COSINE = 0.95
 NEAREST = 6                # pivots that describe a vector; two shared ones make a candidate
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+APART = 0.7                # cosine that two pivots stay below
+DRAWN = 4                  # vectors drawn for each pivot wanted
 MOST_LIST = 20_000         # a longer list is worked on in blocks of this many
 TILE = 1024
 
@@ -41,16 +43,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _spread(points: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` unit rows that have a cosine below `APART` with all before them."""
+    kept, n = np.empty((min(most, len(points)), points.shape[1])), 0
+    for point in points:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ point).max() < APART:
+            kept[n], n = point, n + 1
+    return kept[:n]
+
+
 def draw_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Dimension -> pivots as unit rows: the vectors with the smallest hashes, twice the
-    square root of the number of vectors, `MOST_PIVOTS` at most."""
+    """Dimension -> pivots as unit rows, twice the square root of the number of vectors
+    in all, `MOST_PIVOTS` at most.
+
+    They come from `DRAWN` times as many vectors, those with the smallest hashes. One
+    that is near another pivot is passed over: a dense cluster would get pivots in
+    proportion to its rows, in an order about its vectors that only noise decides. So it
+    shares one and the stable rest. Where the draw runs out, there are fewer pivots.
+    """
     n = classes.count()
     most = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(2 * n ** 0.5)))
-    drawn = classes.orderBy(F.xxhash64("vector"), "place").limit(most).select("vector").collect()
-    by_size: dict[int, list] = {}
-    for row in drawn:
-        by_size.setdefault(len(row.vector), []).append(row.vector)
-    return {size: unit_rows(np.array(own, np.float64)) for size, own in by_size.items()}
+    drawn = classes.orderBy(F.xxhash64("vector"), "place").limit(DRAWN * most).select(
+        F.size("vector").alias("size"), "vector").toArrow()
+    sizes, vectors = drawn["size"].to_numpy(), drawn["vector"].combine_chunks()
+    pivots = {}
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        wanted = -(-most * len(own) // len(sizes))  # a dimension's share of the draw
+        pivots[size] = _spread(unit_rows(_matrix(vectors.take(pa.array(own)))), wanted)
+    return pivots
 
 
 def _nearest(rows: np.ndarray, points: np.ndarray) -> np.ndarray:

@@ -283,6 +283,24 @@ def test_recall_against_brute_force(spark, most_list):
     assert sum(got[i][1] == whole[i] for i in got) >= 0.95 * 3000
 
 
+@pytest.mark.parametrize("least_pivots", [pivot_index.LEAST_PIVOTS, 700])
+def test_recall_in_a_hot_cluster(spark, monkeypatch, least_pivots):
+    """A third of the distinct vectors about one centre, any two just above the limit."""
+    monkeypatch.setattr(pivot_index, "LEAST_PIVOTS", least_pivots)
+    random_, n = np.random.default_rng(7), 3600
+    hot = random_.normal(size=64) + 0.21 * random_.normal(size=(n // 3, 64))
+    cold = random_.normal(size=(n // 3, 64))
+    near = cold + 0.25 * random_.normal(size=cold.shape)
+    vectors = np.concatenate((hot, cold, near)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                               "vec_id bigint, embedding array<float>")
+    got = {r.place: r.n_links for r in pivot_index.near_duplicates(df).collect()}
+    links = np.bincount(np.array(brute(vectors)).ravel(), minlength=n)
+    assert all(got[i] <= links[i] for i in got)
+    for part in (slice(0, n // 3), slice(n // 3, n)):
+        assert sum(got[i] for i in range(n)[part]) >= 0.95 * links[part].sum() > 1000
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]),
