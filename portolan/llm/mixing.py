@@ -101,10 +101,27 @@ def _fold(held: DataFrame, *by: Column) -> DataFrame:
         "source", _rounded(F.col("items")).alias("out"))
 
 
+def _repeated(items: DataFrame) -> DataFrame:
+    """`items` with `again`: whether source, `doc_id` and size are those of other items
+    too. Counted before the shuffle; the equi-join is one that Spark splits where a key
+    is common."""
+    known = written(items.where("doc_id IS NOT NULL").groupBy("source", "doc_id", "size").agg(
+        F.count("*").alias("n")).where("n > 1").select(
+        F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"),
+        F.col("size").alias("_size"), F.lit(True).alias("_again")), "repeated")
+    same = (F.col("source").eqNullSafe(F.col("_source")) & (F.col("doc_id") == F.col("_doc_id"))
+            & (F.col("size") == F.col("_size")))
+    return items.join(known, same, "left").select(
+        *items.columns, F.coalesce("_again", F.lit(False)).alias("again"))
+
+
 def _as_items(items: DataFrame) -> DataFrame:
-    """(source, held) for (source, item, doc_id, size, p). The draw depends on
-    `doc_id` and `size` alone (`item` stands in for a NULL id), so reruns agree."""
-    draw = unit_hash(F.lit(SEED), F.coalesce("doc_id", "item"), F.col("doc_id").isNull(), "size")
+    """(source, held) for (source, item, doc_id, size, p, again). The draw depends on
+    `doc_id` and `size` alone, so reruns agree. `item` stands in for a NULL id, and tells
+    items apart that are repeated (`again`), so that they spread over the blocks."""
+    alone = F.col("doc_id").isNull() | F.col("again")
+    draw = F.when(alone, unit_hash(F.lit(SEED), F.coalesce("doc_id", "item"), alone, "size", "item")).otherwise(
+        unit_hash(F.lit(SEED), F.col("doc_id"), F.lit(False), "size"))
     return items.select("source", F.struct(
         -F.col("size"), draw, "item", "doc_id", "size", F.col("p")).cast(ITEM).alias("held"))
 
@@ -124,7 +141,7 @@ def round_chances(items: DataFrame) -> DataFrame:
     Every level has one block for `BLOCK` blocks of the level before and is written.
     Sizes must be above 0 and chances in [0, 1].
     """
-    held = _as_items(items)
+    held = _as_items(_repeated(items))
     n = max(1, held.count())
     decided = []
     while True:
@@ -161,8 +178,8 @@ def copies(sized: DataFrame) -> DataFrame:
 
     heavy = F.col("size") * HEAVY > F.col("source_size")
     first = written(_fold(_as_items(with_source.where(heavy).select(
-        "source", "item", "doc_id", "size", "p"))).select("source", F.concat(
-            "out.done", F.array(_last(F.col("out.held")))).alias("done")), "heavy")
+        "source", "item", "doc_id", "size", "p", F.lit(False).alias("again")))).select(
+        "source", F.concat("out.done", F.array(_last(F.col("out.held")))).alias("done")), "heavy")
     done = F.col("done")
     missed = first.select(
         F.col("source").alias("_source"),

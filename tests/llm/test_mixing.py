@@ -92,6 +92,22 @@ def test_each_document_is_taken_as_often_as_its_chance(spark):
     assert max(abs(w - 0.4 * 125) for w in words.values()) <= 80
 
 
+def test_repeated_ids_spread_over_the_blocks(spark):
+    """A third of all rows are one document's, in one source: no block gathers them."""
+    n = 30 * mixing.BLOCK
+    items = spark.range(n).select(
+        F.lit("s").alias("source"), F.col("id").alias("item"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).cast("bigint").alias("doc_id"),
+        F.lit(20).cast("bigint").alias("size"), F.lit(0.4).alias("p"))
+    held = mixing._as_items(mixing._repeated(items))
+    blocks = held.groupBy(F.floor(F.col("held.draw") * 30)).count().collect()
+    assert len(blocks) == 30 and max(r["count"] for r in blocks) < 2 * mixing.BLOCK
+    rows = mixing.round_chances(items).collect()
+    assert sorted(r["item"] for r in rows) == list(range(n))
+    assert abs(sum(r.up for r in rows) - 0.4 * n) <= 1
+    assert sum(r.up for r in rows if r.doc_id == 7) / (n / 3) == pytest.approx(0.4, abs=0.06)
+
+
 def test_odd_documents(documents):
     rows = mixed(documents((1, None, "a"), (2, "", "a"), (3, "one two", None), (None, "x", "a"),
                            (5, "y z", "a"), (5, "y z", "a"), (6, "w " * 30000, "b")))
