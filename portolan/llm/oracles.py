@@ -128,9 +128,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
 
+AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good,
+         bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT texts.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(
+           CASE WHEN len(words) < 200 THEN 'A' END,
+           CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+           CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)
+             THEN 'C' END,
+           CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+           CASE WHEN texts.doc_id > min(texts.doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails
+  FROM texts LEFT JOIN marks ON texts.doc_id = marks.doc_id),
+counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f,
+         left(filter_order, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+met AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails,
+         contains(fails, f) AS failing,
+         fails <> '' AND before <> ''
+           AND len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AS gone
+  FROM steps, counted),
+summed AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (failing AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (failing AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost,
+       toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM summed
+"""
+
 ORACLES = {
     "op2_warc_chunks": WARC,
     "op4_temporal_lists": URL_LISTS,
     "op6_pivot_index": VECTORS,
     "op7_host_rules": HOSTS,
+    "op12_filter_audit": AUDIT,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portolan.llm import (
-    host_rules, mixing, packing, pivot_index, simhash, token_counts, token_files, toxicity,
+    filter_audit, host_rules, mixing, packing, pivot_index, simhash, token_counts, token_files, toxicity,
     url_lists, warc,
 )
 from portolan.llm.common import table
@@ -115,6 +115,11 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_kk_packing, op2_warc_chunks, op3_fm_toxicity, op4_temporal_lists, op5_pivotal_mix,
-    op6_pivot_index, op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball)}
+    op6_pivot_index, op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball,
+    op12_filter_audit)}
