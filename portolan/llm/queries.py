@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portolan.llm import (
-    filter_audit, host_rules, mixing, packing, pivot_index, simhash, token_counts, token_files, toxicity,
-    url_lists, warc,
+    dimension_scan, filter_audit, host_rules, mixing, packing, pivot_index, simhash, token_counts,
+    token_files, toxicity, url_lists, warc,
 )
 from portolan.llm.common import table
 from portolan.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
@@ -15,6 +15,7 @@ from portolan.scratch import new_folder
 
 WINDOW = 2048
 TOKEN_LIMIT = 4096
+SEARCHED = 100
 
 
 def op1_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return dimension_scan.nearest(
+        dimension_scan.build(vectors), vectors.where(F.col("vec_id") % SEARCHED == 0))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_kk_packing, op2_warc_chunks, op3_fm_toxicity, op4_temporal_lists, op5_pivotal_mix,
     op6_pivot_index, op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball,
-    op12_filter_audit)}
+    op12_filter_audit, op13_dimension_scan)}
