@@ -128,6 +128,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
 
+TRIE = r"""
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(
+    list_prepend(n, range(0, 8)),
+    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+           length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+    lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]))) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc),
+rebuilt AS (
+  SELECT v.c, b.pos, b.role, b.text FROM convs v JOIN turns b ON b.c = v.c - v.c % 20 AND b.pos <= v.h
+  UNION ALL
+  SELECT v.c, o.pos - v.h + least(v.h, coalesce(b.n, 0)), o.role, o.text
+  FROM convs v JOIN turns o ON o.c = v.c AND o.pos > v.h LEFT JOIN convs b ON b.c = v.c - v.c % 20),
+members AS (
+  SELECT c, 0 AS depth, [] AS path, 0 AS words FROM convs
+  UNION ALL
+  SELECT c, pos, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY pos),
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+  FROM rebuilt),
+lengths AS (SELECT c, max(depth) AS length FROM members GROUP BY c),
+grouped AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = length) AS ends
+  FROM members JOIN lengths USING (c) GROUP BY path, depth),
+placed AS (SELECT m.c, m.depth, g.conv_id FROM members m JOIN grouped g USING (path, depth)),
+nodes AS (
+  SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, n_convs, words, ends
+  FROM grouped g LEFT JOIN placed p ON p.c = g.conv_id AND p.depth = g.depth - 1),
+kids AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (conv_id, depth)),
+below AS (
+  SELECT p.conv_id, p.depth, count(*) FILTER (k.n_children = 0) AS n_leaves,
+         sum((k.n_convs - 1) * k.words) AS saved_tokens
+  FROM counted k JOIN placed p ON p.c = k.conv_id AND p.depth <= k.depth GROUP BY ALL)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM counted JOIN below USING (conv_id, depth)
+"""
+
 AUDIT = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
@@ -184,5 +232,6 @@ ORACLES = {
     "op4_temporal_lists": URL_LISTS,
     "op6_pivot_index": VECTORS,
     "op7_host_rules": HOSTS,
+    "op11_prefix_trie": TRIE,
     "op12_filter_audit": AUDIT,
 }

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portolan.llm import (
-    dimension_scan, filter_audit, host_rules, mixing, packing, pivot_index, simhash, token_counts,
-    token_files, toxicity, url_lists, warc,
+    dimension_scan, filter_audit, host_rules, mixing, packing, pivot_index, prefix_trie, simhash,
+    token_counts, token_files, toxicity, url_lists, warc,
 )
 from portolan.llm.common import table
 from portolan.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
@@ -116,6 +116,10 @@ def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -129,4 +133,4 @@ def op13_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {query.__name__: query for query in (
     op1_kk_packing, op2_warc_chunks, op3_fm_toxicity, op4_temporal_lists, op5_pivotal_mix,
     op6_pivot_index, op7_host_rules, op8_token_files, op9_prefix_counts, op10_simhash_ball,
-    op12_filter_audit, op13_dimension_scan)}
+    op11_prefix_trie, op12_filter_audit, op13_dimension_scan)}
