@@ -58,8 +58,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles."""
-    return simhash.one_of_each(docs, simhash.SIMILAR)
+    """One document of each group that fingerprints of four-word shingles link at four
+    differing bits or fewer."""
+    return simhash.one_of_each(docs, simhash.CLOSE)
 
 
 @_tidy
