@@ -17,13 +17,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from portolan.llm.common import let, map_arrow, ship, words, written
+from portolan.llm.common import map_arrow, ship, written
 from portolan.llm.components import components, spanning_links
 
 SEED = 42
-LEAST_GROUPS, MOST_GROUPS = 8, 18
+LEAST_GROUPS, MOST_GROUPS = 8, 30
 VARIANTS_PER_BUCKET = 1 << 21
-SHINGLES_PER_CELL = 1 << 18     # that a task compares; a larger group is compared in pairs of blocks
 
 
 class Scheme(NamedTuple):
@@ -34,19 +33,11 @@ class Scheme(NamedTuple):
     width: int          # bits of a band, 64 at most
     radius: int         # a band's bits that a pair to be found may differ in
     most: int           # bits of the whole fingerprint that linked ones may differ in
-    similarity: float = 0.0     # of the sets of shingles, that linked texts must share
 
 
 # One band of 64 bits: every pair within 4 bits is found.
 CLOSE = Scheme(shingle=4, bands=1, width=64, radius=4, most=4)
 
-# For texts that share four fifths of their five-word shingles. Such a pair differs in
-# a bit with a chance of 0.151 (the angle between the two, over pi), so in 36 of 240
-# bits with a deviation of 5.5. A band finds it with a chance of 0.275, one of ten with
-# 0.96; 48 bits let 0.98 of them pass, and of unrelated texts (120 bits) none. What
-# passes is compared by its shingles.
-SIMILAR = Scheme(shingle=5, bands=10, width=24, radius=2, most=48, similarity=0.8)
-
 
 # Fingerprints
 
@@ -63,23 +54,12 @@ def shingles(text: str, scheme: Scheme = CLOSE) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts, ends[-count:].tolist())]
 
 
-def set_digest(found: list[bytes]) -> bytes:
-    """Tells sets of shingles apart, whatever their order and repeats."""
-    return xxhash.xxh3_128_digest(b"\n".join(sorted(set(found))), SEED)
-
-
 def fingerprint(text: str, scheme: Scheme = CLOSE) -> list[int]:
     """The bands of a text. A bit is set if it is set in over half of the shingles'
-    hashes; without words, none is. Repeats count, but not with `scheme.similarity`,
-    which is one of sets."""
-    return _bands(shingles(text, scheme), scheme)
-
-
-def _bands(found: list[bytes], scheme: Scheme) -> list[int]:
+    hashes, repeats included; without words, none is."""
+    found = shingles(text, scheme)
     if not found:
         return [0] * scheme.bands
-    if scheme.similarity:
-        found = list(dict.fromkeys(found))
     count, bits = len(found), scheme.bands * scheme.width
     if bits <= 64:
         digest = np.array([xxhash.xxh64_intdigest(s, SEED) for s in found],
@@ -101,29 +81,17 @@ def _bands(found: list[bytes], scheme: Scheme) -> list[int]:
 
 def fingerprints(docs: DataFrame, key: str, scheme: Scheme = CLOSE) -> DataFrame:
     """(place, print) of each row's text under its number in column `key`: the bands as
-    signed numbers. With `scheme.similarity`, `set` too: the digest of its shingles. A
-    NULL text is an empty one."""
-    fields = [("place", pa.int64()), ("print", pa.list_(pa.int64()))]
-    ddl = "place bigint, print array<bigint>"
-    if scheme.similarity:
-        fields.append(("set", pa.binary()))
-        ddl += ", set binary"
-    schema = pa.schema(fields)
+    signed numbers. A NULL text is an empty one."""
+    schema = pa.schema([("place", pa.int64()), ("print", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sets = [], []
-            for text in batch["text"]:
-                found = shingles(text.as_py() or "", scheme)
-                prints.append(_bands(found, scheme))
-                if scheme.similarity:
-                    sets.append(set_digest(found))
-            columns = [batch["place"], pa.array(prints, pa.list_(pa.int64()))]
-            if scheme.similarity:
-                columns.append(pa.array(sets, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            prints = [fingerprint(text.as_py() or "", scheme) for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays(
+                [batch["place"], pa.array(prints, pa.list_(pa.int64()))], schema=schema)
 
-    return map_arrow(docs.select(F.col(key).cast("bigint").alias("place"), "text"), work, ddl)
+    return map_arrow(docs.select(F.col(key).cast("bigint").alias("place"), "text"), work,
+                     "place bigint, print array<bigint>")
 
 
 # Buckets
@@ -248,145 +216,6 @@ def links(prints: DataFrame, scheme: Scheme = CLOSE,
     return sent.groupBy("band", "bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
-# Verification by shingles
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shingle_set(text: Column, size: int) -> Column:
-    """The distinct shingles of a text as 32-bit hashes, cut as for its fingerprint."""
-    def of(word: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(word) - size, F.lit(0)))
-        return F.array_distinct(F.transform(
-            starts, lambda i: F.hash(*[F.get(word, i + k) for k in range(size)])))
-
-    return let(words(F.translate(text, _UPPER, _LOWER)), of)
-
-
-def _near_groups(units: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, least, group) of the `units` (id, print, least) that share a group with
-    others: `group` is common to all that are connected by near prints.
-
-    Links of prints are thinned to what connects, which is sound for these groups
-    alone: two units that are near are in one, whatever links were left out.
-    """
-    prints = written(units.groupBy("print").agg(F.count("*").alias("n")).withColumn(
-        "id", F.monotonically_increasing_id()), "prints")
-    near = written(components(links(prints.select("id", "print"), scheme)), "near_prints")
-    grouped = prints.join(near, F.col("id") == F.col("node"), "left").select(
-        F.col("print").alias("_print"), "n", F.coalesce("root", "id").alias("group"))
-    shared = grouped.groupBy(F.col("group").alias("_group")).agg(
-        F.sum("n").alias("units")).where("units > 1")
-    shared = written(grouped.join(shared, F.col("group") == F.col("_group")).select(
-        "_print", "group"), "groups")
-    return units.join(shared, F.col("print") == F.col("_print")).select("id", "least", "group")
-
-
-def _in_cells(sets: DataFrame, most: int) -> DataFrame:
-    """(cell, lower, upper, block, id, group, shingles): which sets a task compares.
-
-    Groups of up to `most` shingles are dealt to cells whole. A larger one is cut into
-    blocks by hash, and a set sent to every pair of blocks with its own, so all pairs
-    are still met, by many tasks. Only large groups are in the table that joins: one
-    row for `most` shingles or more, so it is small enough to broadcast.
-    """
-    totals = written(sets.groupBy(F.col("group").alias("_group")).agg(
-        F.sum(F.size("shingles")).alias("total")), "totals")
-    cells = (totals.agg(F.sum("total")).first()[0] or 0) // most + 1
-    large = totals.where(F.col("total") > most).select(
-        "_group", F.ceil(F.col("total") / most).cast("int").alias("blocks"))
-    joined = sets.join(F.broadcast(large), F.col("group") == F.col("_group"), "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    cell = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("group"), F.lit(cells))).otherwise(
-        -1 - F.col("group"))
-    return joined.select(
-        cell.alias("cell"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id",
-        "group", "shingles", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
-        "cell", F.least("block", "other").alias("lower"),
-        F.greatest("block", "other").alias("upper"), "block", "id", "group", "shingles")
-
-
-def _alike(sets: list[np.ndarray], upper: np.ndarray | None, least: float) -> list[tuple[int, int]]:
-    """Pairs of places in `sets` that share at least `least`: enough to connect all that
-    do. With `upper`, only pairs of one that is in it and one that is not.
-
-    What a set shares with all others is counted over lists of who holds a shingle.
-    Only sets that are not yet connected by such pairs are looked at, and first the
-    one that was found last, so near copies of one text cost one comparison each.
-    """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    if n == 2:
-        if upper is not None and upper[0] == upper[1]:
-            return []
-        shared = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if shared >= least * (sizes.sum() - shared) else []
-    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-    holder = np.repeat(np.arange(n), sizes)[np.argsort(shingle, kind="stable")]
-    held = np.bincount(shingle)
-    begin, at = np.cumsum(held) - held, np.cumsum(sizes) - sizes
-    found, root, last = [], np.arange(n), -1
-    for i in range(n) if upper is None else np.flatnonzero(~upper).tolist():
-        open_ = root != root[i]
-        open_ &= np.arange(n) > i if upper is None else upper
-        if not open_.any():
-            continue
-        if last >= 0 and open_[last]:
-            shared = len(np.intersect1d(sets[i], sets[last], assume_unique=True))
-            if shared >= least * (sizes[i] + sizes[last] - shared):
-                found.append((i, last))
-                root[root == root[last]] = root[i]
-                open_ &= root != root[i]
-                if not open_.any():
-                    continue
-        own = shingle[at[i]:at[i] + sizes[i]]
-        many = held[own]
-        place = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        shared = np.bincount(holder[place], minlength=n)
-        linked = np.flatnonzero(open_ & (shared >= least * (sizes[i] + sizes - shared)))
-        roots, first = np.unique(root[linked], return_index=True)
-        found += [(i, j) for j in linked[first].tolist()]
-        root[np.isin(root, roots)] = root[i]
-        if len(linked):
-            last = int(linked[-1])
-    return found
-
-
-def similar(units: DataFrame, texts: DataFrame, scheme: Scheme,
-            most: int = SHINGLES_PER_CELL) -> DataFrame:
-    """(a, b) links of `units` (id, print, least) whose texts share at least
-    `scheme.similarity` of their shingles: enough to connect all that do within a
-    group of near prints. No link is left out for one that has not been verified.
-
-    `least` is the `place` in `texts` (place, text) of a unit's text. Units that share a
-    group are written, so that texts are not shuffled to find them while they are few.
-    """
-    members = written(_near_groups(units, scheme), "members")
-    sets = written(texts.join(members, F.col("place") == F.col("least")).select(
-        "id", "group", shingle_set(F.col("text"), scheme.shingle).alias("shingles")), "sets")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        lower, upper = table["lower"][0].as_py(), table["upper"][0].as_py()
-        ids, group, block = (table[c].to_numpy() for c in ("id", "group", "block"))
-        lists = table["shingles"].combine_chunks()
-        sizes = lists.value_lengths().to_numpy()
-        sets = np.split(lists.flatten().to_numpy(), np.cumsum(sizes)[:-1])
-        order = np.argsort(group, kind="stable")
-        pairs = [np.zeros((0, 2), np.int64)]
-        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            if len(own) > 1:
-                found = _alike([sets[i] for i in own],
-                               None if lower == upper else block[own] == upper, scheme.similarity)
-                pairs.append(ids[own[np.array(found, np.int64).reshape(-1, 2)]])
-        pairs = np.concatenate(pairs)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    ship(units.sparkSession)
-    return _in_cells(sets, most).groupBy("cell", "lower", "upper").applyInArrow(
-        compare, "a bigint, b bigint")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE) -> DataFrame:
     """(place, print, component) of each row: `place` its number in column `key`,
     `component` the smallest one among the rows it is linked to, directly or not.
@@ -397,35 +226,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", scheme: Scheme = CLOSE
     without words share a fingerprint of zeros and are linked like any other. A row
     with a NULL number belongs to its component without naming it (NULL if no row of
     it has a number). Repeated rows share a component; an empty table gives no rows.
-
-    With `scheme.similarity`, the work is on distinct sets of shingles instead, and near
-    or equal fingerprints only say which of them are compared; links are those of texts
-    whose shingles were. A text is found by its number, so numbers must differ then.
     """
     prints = written(fingerprints(docs, key, scheme), "fingerprints")
-    unit, other = ("set", ["print"]) if scheme.similarity else ("print", [])
-    distinct = written(prints.groupBy(unit).agg(
-        F.min("place").alias("least"), *[F.first(c).alias(c) for c in other]).withColumn(
+    distinct = written(prints.groupBy("print").agg(F.min("place").alias("least")).withColumn(
         "id", F.monotonically_increasing_id()), "distinct")
-    if scheme.similarity:
-        texts = docs.select(F.col(key).cast("bigint").alias("place"), "text")
-        linking = similar(distinct, texts, scheme)
-    else:
-        linking = links(distinct.select("id", "print"), scheme)
-    found = written(components(linking), "found")
+    found = written(components(links(distinct.select("id", "print"), scheme)), "found")
     member = found.join(distinct.select("id", "least"), F.col("node") == F.col("id"))
     named = member.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("linked"))
     linked = found.join(named, F.col("root") == F.col("_root")).select("node", "linked")
     known = distinct.join(linked, F.col("id") == F.col("node"), "left").select(
-        F.col(unit).alias("_unit"), F.coalesce("linked", "least").alias("component"))
-    return prints.join(known, F.col(unit) == F.col("_unit")).select("place", "print", "component")
+        F.col("print").alias("_print"), F.coalesce("linked", "least").alias("component"))
+    return prints.join(known, F.col("print") == F.col("_print")).select("place", "print", "component")
 
 
 def hex_digits(band: Column) -> Column:
     return F.lower(F.lpad(F.hex(band), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     """The rows of `docs` with one row per component, all columns: the one with the
     smallest `doc_id`, or the first in the input of those that share it.
 

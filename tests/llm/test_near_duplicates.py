@@ -125,102 +125,6 @@ def test_a_cluster_sends_few_links_from_many_buckets(spark):
     assert found.count() < 40 * len(prints)
 
 
-def test_texts_that_share_four_fifths_of_their_shingles(spark, documents):
-    draw, texts, similar, unlike = random.Random(3), [], [], []
-    for _ in range(120):
-        words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
-        edited = list(words)
-        for at in range(10, 190, 60):  # 3 edits change 15 of 196 shingles: similarity 0.86
-            edited[at] = "edit"
-        texts += [" ".join(words), " ".join(edited), " ".join(words[:70]) + " " + " ".join(
-            f"x{draw.randrange(10**6)}" for _ in range(130))]
-        similar.append((len(texts) - 3, len(texts) - 2))
-        unlike.append((len(texts) - 3, len(texts) - 1))
-        words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
-        edited = [w if at % 40 != 20 else "edit" for at, w in enumerate(words)]
-        texts += [" ".join(words), " ".join(edited)]  # 25 of 196 changed: 0.77
-        unlike.append((len(texts) - 2, len(texts) - 1))
-    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
-                         "place", "component"))
-    assert sum(found[a] == found[b] for a, b in similar) >= 0.95 * len(similar)
-    assert not any(found[a] == found[b] for a, b in unlike)
-
-
-def drawn(draw, n):
-    return [f"w{draw.randrange(10**6)}" for _ in range(n)]
-
-
-def crowd(pairs, seed):
-    """Texts on one template, unlike each other (0.75), and an edited copy of each (0.9)."""
-    draw, texts = random.Random(seed), []
-    template = drawn(draw, 430)
-    for _ in range(pairs):
-        words = template + drawn(draw, 70)
-        edited = list(words)
-        for at in range(440, 490, 10):
-            edited[at] = "edit"
-        texts += [" ".join(words), " ".join(edited)]
-    return texts
-
-
-@pytest.mark.parametrize("most", [simhash.SHINGLES_PER_CELL, 5000])
-def test_copies_in_a_crowd_of_texts_that_are_not(spark, documents, monkeypatch, most):
-    """Near fingerprints of unlike texts do not stand in for links; in one cell and in many."""
-    monkeypatch.setattr(simhash.similar, "__defaults__", (most,))
-    texts = crowd(60, 5)
-    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
-                         "place", "component"))
-    assert sum(found[i + 1] == found[i] for i in range(0, len(texts), 2)) >= 57
-    assert all(found[i] in (i, i - i % 2) for i in found)
-
-
-@given(st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=2, max_size=12), st.data())
-def test_sets_alike_against_brute_force(sets, data):
-    """All sets, or those of one block with those of another."""
-    upper = data.draw(st.none() | st.lists(st.booleans(), min_size=len(sets), max_size=len(sets)))
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
-             if (upper is None or upper[i] != upper[j])
-             and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])]
-    found = simhash._alike([np.array(sorted(s), np.int32) for s in sets],
-                           None if upper is None else np.array(upper), 0.6)
-    assert set(map(frozenset, found)) <= set(map(frozenset, pairs))
-    assert groups(range(len(sets)), found) == groups(range(len(sets)), pairs)
-
-
-def test_unlike_texts_of_one_fingerprint_stay_apart(documents):
-    """Whatever gives them the same one; the texts of equal sets are still one."""
-    draw = random.Random(6)
-    texts = [" ".join(drawn(draw, 50)) for _ in range(12)]
-    near = texts[0].split()
-    near[25] = "edit"  # 5 of 46 changed: 0.8 is shared
-    line = " ".join(drawn(draw, 5))
-    hot = [" ".join(drawn(draw, 520) + [line] * 99) for _ in range(6)]
-    texts += [" ".join(near), texts[1].upper(), *hot]
-    apart = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
-                         "place", "component"))
-    assert [apart[i] for i in range(14, 20)] == [14, 15, 16, 17, 18, 19]
-    crowded = simhash.SIMILAR._replace(bands=10, width=1, radius=0, most=10)
-    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", crowded),
-                         "place", "component"))
-    assert found == {i: {12: 0, 13: 1}.get(i, i) for i in range(20)}
-
-
-def test_repeats_do_not_move_the_fingerprint_of_a_set(documents):
-    """A ten-word sentence ten times more: nearly the same set of shingles."""
-    draw, texts = random.Random(8), []
-    for _ in range(20):
-        words = drawn(draw, 500)
-        texts += [" ".join(words), " ".join(words[:210] + words[200:210] * 10 + words[210:])]
-    for a, b in zip(texts[::2], texts[1::2]):
-        one, two = (simhash.fingerprint(t, simhash.SIMILAR) for t in (a, b))
-        assert sum((x ^ y).bit_count() for x, y in zip(one, two)) <= simhash.SIMILAR.most
-        close = [simhash.fingerprint(t)[0] for t in (a, b)]
-        assert (close[0] ^ close[1]).bit_count() > simhash.CLOSE.most  # repeats count there
-    found = dict(rows_of(simhash.near_duplicates(documents(*texts), "doc_id", simhash.SIMILAR),
-                         "place", "component"))
-    assert found == {i: i - i % 2 for i in found}
-
-
 def test_one_row_of_each_group(documents):
     text = " ".join(f"w{i}" for i in range(100))
     docs = documents((5, text, "a"), (3, text, "b"), (3, text, "c"), (None, text, "d"), (9, "other", "e"),
