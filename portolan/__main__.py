@@ -39,6 +39,7 @@ JOBS = {
     "demographics": partial(load_and_show_losses, jobs.load_demographics_and_losses),
     "rejects": lambda spark, cfg: show(jobs.entry_rejects(spark, cfg).collect()),
     "check": lambda spark, cfg: show_and_gate(jobs.check_lake(spark, cfg)),
+    "tidy": lambda spark, cfg: print(f"removed={jobs.tidy_lake(spark, cfg)}"),
     "all": lambda spark, cfg: show_and_gate(jobs.run_all(spark, cfg)),
 }
 
@@ -56,6 +57,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--dims-fmt", default="parquet", choices=["parquet", "csv"])
     parser.add_argument("--replace-all", action="store_true",
                         help="the input is the whole table: drop the months it lacks")
+    parser.add_argument("--abandoned-hours", type=float, default=72,
+                        help="age at which `tidy` removes what a killed load left")
     parser.add_argument("--as-of", type=datetime.date.fromisoformat)
     parser.add_argument("--param", action="append", default=[], metavar="NAME=VALUE",
                         help="fills {NAME} in the paths")

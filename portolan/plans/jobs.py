@@ -20,7 +20,7 @@ from portolan.operators.quality import (
 )
 from portolan.schemas import PARTITIONS, TABLES
 from portolan.scratch import run_scratch
-from portolan.sinks.publish import Publication
+from portolan.sinks.publish import Publication, recover, remove_abandoned
 from portolan.sinks.tables import save_flat, save_partitioned
 from portolan.sources.demographics import read_demographics
 from portolan.sources.entries import read_entries
@@ -41,6 +41,7 @@ class JobConfig:
     demographics: str = ""
     dims_fmt: str = "parquet"
     replace_all: bool = False           # drop the months that are not in the input
+    abandoned_hours: float = 72         # after which `tidy_lake` removes what a killed load staged
     as_of: datetime.date | None = None
     params: dict[str, str] = field(default_factory=dict)
 
@@ -167,6 +168,8 @@ def load_demographics_and_losses(spark: SparkSession,
 
 
 def open_table(spark: SparkSession, cfg: JobConfig, name: str) -> DataFrame:
+    """A published table, whole: what a killed load had decided is finished first."""
+    recover(spark, cfg.path("lake"))
     fmt = "parquet" if name in PARTITIONS else cfg.dims_fmt
     return read_table(spark, name, cfg.table(name), fmt)
 
@@ -177,6 +180,11 @@ def open_views(spark: SparkSession, cfg: JobConfig) -> None:
         open_table(spark, cfg, name).createOrReplaceTempView(name)
 
 
+def tidy_lake(spark: SparkSession, cfg: JobConfig) -> int:
+    """Remove what killed loads left beside the tables; how many there were."""
+    return remove_abandoned(spark, cfg.path("lake"), cfg.abandoned_hours)
+
+
 def check_lake(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     """Report over every published table."""
     return quality_report(

@@ -10,6 +10,7 @@ from portolan.operators.star import LINKS, star_join
 from portolan.plans import jobs
 from portolan.schemas import TABLES
 from portolan.scratch import new_folder, shared_folder
+from portolan.sinks import publish
 from tests.helpers import CITY_TEXT, LABEL_TEXT, entries
 
 RAW = [
@@ -74,6 +75,24 @@ def test_a_load_keeps_other_months(spark, cfg, tmp_path):
     assert [r.i94_key for r in jobs.load_fact(spark, whole).collect()] == [9]
 
 
+def test_a_load_killed_in_its_commit_is_whole_when_it_is_opened(spark, cfg, monkeypatch, capsys):
+    """The driver dies with the old month aside and the new one not yet in its place."""
+    jobs.load_fact(spark, cfg)
+    with monkeypatch.context() as dying:
+        def move(spark, source, target, really=publish._move):
+            if "/new/" in source:
+                raise KeyboardInterrupt
+            really(spark, source, target)
+
+        dying.setattr(publish, "_move", move)
+        dying.setattr(publish.Publication, "_give_up", lambda *_: None)
+        with pytest.raises(KeyboardInterrupt):
+            jobs.load_fact(spark, cfg)
+    assert sorted(r.i94_key for r in jobs.open_table(spark, cfg, "fact_i94").collect()) == [1, 2, 3]
+    cli.main(["tidy", "--lake", cfg.path("lake"), "--abandoned-hours", "0"])
+    assert "removed=0" in capsys.readouterr().out
+
+
 def test_an_empty_load_is_refused(spark, cfg, tmp_path):
     jobs.load_fact(spark, cfg)
     entries(spark).write.parquet(str(tmp_path / "entries-none"))

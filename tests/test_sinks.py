@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from portolan.schemas import CSV, PARTITIONS, TABLES
+from portolan.sinks import publish
 from portolan.sinks.publish import Publication
-from portolan.sinks.tables import save_flat, write_flat, write_partitioned
+from portolan.sinks.tables import save_flat, save_partitioned, write_flat, write_partitioned
 from portolan.sources.tables import read_table
 from proxies.queries import fact
 from tests.helpers import plan
@@ -114,26 +115,117 @@ def test_a_failed_flat_write_leaves_the_table(spark, tmp_path, fmt):
     assert os.listdir(tmp_path) == ["f"]
 
 
-def test_a_failed_swap_moves_everything_back(spark, tmp_path, monkeypatch):
-    """The second table cannot be moved: the first keeps its old rows too."""
-    paths = [str(tmp_path / name) for name in "ab"]
-    for path in paths:
-        write_flat(spark.range(1), path)
-    moves = []
+class Killed(BaseException):
+    """A driver that is gone: nothing runs after it."""
 
-    def move(self, source, target, done, really=Publication._move):
-        moves.append(target)
-        if len(moves) == 4:
-            raise OSError("no")
-        really(self, source, target, done)
 
-    monkeypatch.setattr(Publication, "_move", move)
-    with pytest.raises(OSError), Publication(spark) as publication:
-        for path in paths:
-            save_flat(spark.range(5), publication.stage(path))
+def swap_two(spark, folders, rows):
+    """Publish the numbers below `rows` to a flat table in the first folder and, where
+    they are odd or even, to partitions of one in the second."""
+    with Publication(spark) as publication:
+        numbers = spark.range(rows)
+        save_flat(numbers, publication.stage(f"{folders[0]}/flat"))
+        save_partitioned(numbers.select("id", (F.col("id") % 2).alias("odd")),
+                         publication.stage(f"{folders[1]}/parts", parts_only=True), ["odd"])
         publication.commit()
-    assert [spark.read.parquet(path).count() for path in paths] == [1, 1]
-    assert sorted(os.listdir(tmp_path)) == ["a", "b"]
+
+
+def contents(spark, folders):
+    return [sorted(r.id for r in spark.read.schema("id bigint").parquet(f"{folder}/{name}").collect())
+            for folder, name in zip(folders, ("flat", "parts"))]
+
+
+def failing_moves(monkeypatch, fails):
+    """Moves of table folders that raise what `fails` gives for their number, from 1."""
+    moves = []
+
+    def move(spark, source, target, really=publish._move):
+        if "journal" not in source and "home" not in source:
+            moves.append(target)
+            if fails(len(moves)):
+                raise fails(len(moves))
+        really(spark, source, target)
+
+    monkeypatch.setattr(publish, "_move", move)
+    return moves
+
+
+@pytest.mark.parametrize("together", [True, False])
+@pytest.mark.parametrize("killed_at", range(1, 7))
+def test_a_killed_commit_is_finished_by_whoever_comes_next(spark, tmp_path, monkeypatch, killed_at, together):
+    """Six moves: two folders in and out of each table's place. The driver dies at each."""
+    folders = [str(tmp_path / name) for name in ("lake", "lake" if together else "other")]
+    swap_two(spark, folders, 4)
+    with monkeypatch.context() as dying:
+        failing_moves(dying, lambda n: Killed() if n == killed_at else None)
+        dying.setattr(Publication, "_give_up", lambda *_: None)
+        with pytest.raises(Killed):
+            swap_two(spark, folders, 6)
+    assert any(name.startswith(".publish-") for name in os.listdir(folders[0]))
+    folder = folders[killed_at % 2]
+    assert publish.recover(spark, folder) == 1  # from either folder
+    assert contents(spark, folders) == [list(range(6))] * 2
+    assert sorted(os.listdir(folders[0]) + os.listdir(folders[1])) == sorted(
+        ["flat", "parts"] * 2 if together else ["flat", "parts"])
+    assert publish.recover(spark, folder) == 0
+
+
+def test_a_commit_killed_before_its_journal_published_nothing(spark, tmp_path, monkeypatch):
+    folders = [str(tmp_path)] * 2
+    swap_two(spark, folders, 4)
+    with monkeypatch.context() as dying:
+        dying.setattr(publish, "_write", lambda *_: (_ for _ in ()).throw(Killed()))
+        dying.setattr(Publication, "__exit__", lambda *_: None)
+        with pytest.raises(Killed):
+            swap_two(spark, folders, 6)
+    assert publish.recover(spark, str(tmp_path)) == 0
+    assert contents(spark, folders) == [list(range(4))] * 2
+    assert publish.remove_abandoned(spark, str(tmp_path)) == 0  # too young
+    assert publish.remove_abandoned(spark, str(tmp_path), hours=-1) == 1
+    assert sorted(os.listdir(tmp_path)) == ["flat", "parts"]
+
+
+@pytest.mark.parametrize("failed_at", range(1, 7))
+def test_a_move_that_fails_moves_everything_back(spark, tmp_path, monkeypatch, failed_at):
+    folders = [str(tmp_path)] * 2
+    swap_two(spark, folders, 4)
+    with monkeypatch.context() as failing:
+        failing_moves(failing, lambda n: OSError("no") if n == failed_at else None)
+        with pytest.raises(OSError):
+            swap_two(spark, folders, 6)
+    assert contents(spark, folders) == [list(range(4))] * 2
+    assert sorted(os.listdir(tmp_path)) == ["flat", "parts"]
+
+
+@pytest.mark.parametrize("undone", [0, 1, 2])
+@pytest.mark.parametrize("failed_at", [2, 4, 6])
+def test_a_rollback_that_fails_loses_nothing(spark, tmp_path, monkeypatch, failed_at, undone):
+    """The move and, after some are undone, a move back: the old tables are still there."""
+    folders = [str(tmp_path)] * 2
+    swap_two(spark, folders, 4)
+    with monkeypatch.context() as failing:
+        moves = failing_moves(failing, lambda n: OSError("no") if n == failed_at or n > failed_at + undone
+                              else None)
+        with pytest.raises(OSError):
+            swap_two(spark, folders, 6)
+        assert len(moves) > failed_at
+    swapped = publish.recover(spark, str(tmp_path))
+    assert contents(spark, folders) == [list(range(4))] * 2
+    assert sorted(os.listdir(tmp_path)) == ["flat", "parts"]
+    assert swapped == 1 or undone
+
+
+def test_the_next_write_recovers_first(spark, tmp_path, monkeypatch):
+    folders = [str(tmp_path)] * 2
+    swap_two(spark, folders, 4)
+    with monkeypatch.context() as dying:
+        failing_moves(dying, lambda n: Killed() if n == 2 else None)
+        dying.setattr(Publication, "_give_up", lambda *_: None)
+        with pytest.raises(Killed):
+            swap_two(spark, folders, 6)
+    assert not os.path.exists(tmp_path / "flat")
+    write_flat(spark.range(1), str(tmp_path / "another"))
+    assert contents(spark, folders) == [list(range(6))] * 2
 
 
 def test_flat_csv_has_no_index_column(spark, tmp_path):
