@@ -53,6 +53,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--entries-by-month", action="store_true",
                         help="each input file holds one month: write without a shuffle")
     parser.add_argument("--labels", default="")
+    parser.add_argument("--labels-one-text", action="store_true",
+                        help="the label files are one text, in the order of their names")
     parser.add_argument("--demographics", default="")
     parser.add_argument("--dims-fmt", default="parquet", choices=["parquet", "csv"])
     parser.add_argument("--replace-all", action="store_true",

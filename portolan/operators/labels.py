@@ -1,11 +1,12 @@
-"""Label blocks to staging rows to dimensions."""
+"""Label blocks or lines to staging rows to dimensions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from portolan.functions.text import plain_text
 from portolan.operators.ports import build_ports
@@ -50,6 +51,76 @@ def select_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("source", F.explode(types).alias("type"), "block")
 
 
+# Line by line
+
+# What a line holds before a `;` that is not in a quoted text. A quote without a partner
+# is a character like any other.
+_BEFORE_END = r"^((?:'[^']*'|[^;']+|')*)"
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """`lines` with `text`, what comes before an end mark, and `list`: the list that the
+    line opens, '' where it ends one, NULL where it does neither. The last keyword of a
+    line counts; what stands on its line is no entry."""
+    line = F.col("line")
+    opened = F.array_max(F.array(*[
+        F.struct(F.locate(of.keyword, line).alias("place"), F.lit(kind).alias("kind"),
+                 F.lit(of.keyword).alias("keyword")) for kind, of in LISTS.items()]))
+    marked = lines.withColumn("text", F.regexp_extract(line, _BEFORE_END, 1)).withColumn(
+        "opened", F.when(opened.place > 0, opened))
+    after = F.substr(line, F.col("opened.place"))
+    ends = F.length("text") < F.length(line)
+    return marked.withColumn("list", F.when(
+        F.col("opened").isNotNull(), F.when(after.contains(";"), "").otherwise(F.col("opened.kind"))
+    ).when(ends, "")).withColumn("opens", F.col("opened").isNotNull()).drop("opened")
+
+
+def listed_lines(lines: DataFrame) -> DataFrame:
+    """(source, type, block) of the lines within a list, for lines as they are read: a
+    `block` is a line, up to an end mark.
+
+    The list that was opened last is filled forward in two steps: along the lines of a
+    split of a file (which is bounded by how Spark cuts files), and along the splits of a
+    source, of which there is one row each, taken before the shuffle. So a list may be of
+    any length and go on from file to file, and no row is larger than a line.
+    """
+    marked = _marked(lines)
+    split = ["source", "file", "split"]
+    last = F.max_by("list", F.when(F.col("list").isNotNull(), F.col("at")))
+    carried = marked.groupBy(*split).agg(last.alias("last")).select(
+        *[F.col(c).alias(f"_{c}") for c in split],
+        F.last("last", ignorenulls=True).over(Window.partitionBy("source").orderBy(
+            "file", "split").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    before = F.last("list", ignorenulls=True).over(Window.partitionBy(*split).orderBy("at").rowsBetween(
+        Window.unboundedPreceding, -1))
+    filled = marked.withColumn("own", before)
+    joined = filled.join(carried, reduce(Column.__and__, [
+        F.col(c) == F.col(f"_{c}") for c in split]))
+    return joined.withColumn("type", F.coalesce("own", "before", F.lit(""))).where(
+        (F.col("type") != "") & ~F.col("opens")).select("source", "type", F.col("text").alias("block"))
+
+
+def open_labels(selected: DataFrame) -> DataFrame:
+    """(source, type, block) of lines of quoted lists whose quotes do not pair up: a label
+    that runs over its line."""
+    quotes = F.length("block") - F.length(F.replace("block", F.lit("'"), F.lit("")))
+    return selected.where((F.col("type") != "visa") & (quotes % 2 == 1))
+
+
+def require_lists(lines: DataFrame, selected: DataFrame, sources: DataFrame | None = None) -> None:
+    """Raise for texts with faults, as `require_blocks` does for blocks; `selected` are
+    the `listed_lines`. `;` may stand in a quoted label here."""
+    _refuse(block_faults(lines.select("source", F.col("line").alias("block")), sources),
+            "each list must occur once per label text",
+            lambda f: f"{f.type} x{f.blocks} in {f.source}")
+    _refuse(open_labels(selected), "a label runs over its line",
+            lambda f: f"{f.type} in {f.source}, {f.block!r}")
+    _refuse(label_rejects(selected), "entries are not of their list's shape",
+            lambda f: f"{f.rejected} of {f.entries} {f.type} in {f.source}, {f.example!r}")
+
+
+# Faults
+
 def block_faults(blocks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(source, type, blocks) where a file does not hold a list exactly once.
 

@@ -14,7 +14,7 @@ from portolan.operators.demographics import build_demographics, demographics_rej
 from portolan.operators.fact import (
     Loss, build_fact, loss_measures, losses_of, named_measures, reject_counts,
 )
-from portolan.operators.labels import build_dims, parse_labels, require_blocks, select_blocks
+from portolan.operators.labels import build_dims, listed_lines, parse_labels, require_lists
 from portolan.operators.quality import (
     checks_for, gate, measures, quality_report, report_of, today,
 )
@@ -24,7 +24,7 @@ from portolan.sinks.publish import Publication, recover, remove_abandoned
 from portolan.sinks.tables import save_flat, save_partitioned
 from portolan.sources.demographics import read_demographics
 from portolan.sources.entries import read_entries
-from portolan.sources.labels import label_files, read_label_blocks, read_label_staging
+from portolan.sources.labels import label_files, read_label_lines, read_label_staging
 from portolan.sources.tables import read_table
 
 
@@ -38,6 +38,7 @@ class JobConfig:
     entries_fmt: str = "parquet"
     entries_by_month: bool = False      # each input file holds one month only
     labels: str = ""
+    labels_one_text: bool = False       # the label files are one text, in the order of their names
     demographics: str = ""
     dims_fmt: str = "parquet"
     replace_all: bool = False           # drop the months that are not in the input
@@ -122,11 +123,13 @@ def load_calendar(spark: SparkSession, cfg: JobConfig) -> DataFrame:
 
 
 def load_labels(spark: SparkSession, cfg: JobConfig) -> dict[str, DataFrame]:
-    """Label text to staging to the five label dimensions, published all or none."""
+    """Label text to staging to the five label dimensions, published all or none. The
+    text is read line by line, so a list may be of any length."""
     path = cfg.path("labels")
-    blocks = read_label_blocks(spark, path)
-    require_blocks(blocks, label_files(spark, path))
-    staging = parse_labels(select_blocks(blocks)).select("code", "value", "type")
+    lines = read_label_lines(spark, path, cfg.labels_one_text)
+    selected = listed_lines(lines)
+    require_lists(lines, selected, label_files(spark, path, cfg.labels_one_text))
+    staging = parse_labels(selected).select("code", "value", "type")
     with Publication(spark) as publication:
         staged = publication.stage(cfg.table("label_staging"))
         if cfg.dims_fmt == "csv":

@@ -324,12 +324,15 @@ def job_calendar(spark, sf_dir):
 
 
 def _label_text(spark, sf_dir, cfg):
-    standins.whole_label_files(spark, sf_dir).coalesce(1).write.option(
-        "lineSep", ";").text(cfg.path("labels"))
+    """One text in many files, the lists cut anywhere."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (standins.label_lines(spark, sf_dir).repartitionByRange(files, "section", "number")
+     .sortWithinPartitions("section", "number").select("line")
+     .write.option("lineSep", "\r\n").text(cfg.path("labels")))
 
 
 def job_labels(spark, sf_dir):
-    cfg = _lake(spark, labels="{root}/labels")
+    cfg = _lake(spark, labels="{root}/labels", labels_one_text=True)
     _label_text(spark, sf_dir, cfg)
     return _keys_and_labels(jobs.load_labels(spark, cfg), (*TWO_COLUMNS, "dim_port"))
 
@@ -348,7 +351,7 @@ def job_demographics(spark, sf_dir):
 def job_check(spark, sf_dir):
     """All jobs, then the report over what they published."""
     cfg = _lake(spark, entries="{root}/entries", labels="{root}/labels",
-                demographics="{root}/cities", dims_fmt="csv")
+                labels_one_text=True, demographics="{root}/cities", dims_fmt="csv")
     standins.raw_entries(spark, sf_dir).write.parquet(cfg.path("entries"))
     _label_text(spark, sf_dir, cfg)
     _cities_text(spark, sf_dir, cfg)

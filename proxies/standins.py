@@ -171,27 +171,21 @@ def broken_label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks
 
 
-def whole_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block): a label text that holds every list once.
-
-    A list is one block, and so one row: its ports are the first part of each printed
-    shape and state, its other lists `nation` and `region`, whole.
-    """
-    shapes = port_labels(spark, sf_dir).groupBy(
-        F.expr("number % 20 as shape"), F.expr("number % 28 as state")).agg(
-        F.min_by(F.struct("code", "value"), "number").alias("port")).select("port.*")
-    blocks = _one_block(shapes, *PORT_LIST)
-    for head, name, _, entry in LABEL_LISTS:
-        rows = table(spark, sf_dir, "nation" if name == "customer" else name)
-        if name == "customer":
-            rows = rows.selectExpr("n_nationkey as c_custkey", "n_name as c_name")
-        blocks = blocks.unionByName(_one_block(rows, head, entry))
-    return blocks
-
-
-def _one_block(entries: DataFrame, head: str, entry: str) -> DataFrame:
-    lines = F.concat_ws("\r\n", F.array_sort(F.collect_list(F.expr(entry))))
-    return entries.agg(F.concat(F.lit(head), lines, F.lit("\r\n")).alias("block"))
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section, number, line): a label text that holds every list once, with all of
+    `part`, `customer`, `nation` and `region`; its lines are in order by both numbers."""
+    lists = [(PORT_LIST[0], port_labels(spark, sf_dir), "number", PORT_LIST[1])]
+    lists += [(head, table(spark, sf_dir, name), key, entry) for head, name, key, entry in LABEL_LISTS]
+    lines = None
+    for section, (head, rows, key, entry) in enumerate(lists):
+        around = [(section, place - 1000, line) for place, line in enumerate(head.strip().split("\r\n"))]
+        fixed = spark.createDataFrame([*around, (section, (1 << 62), ";")],
+                                      "section int, number bigint, line string")
+        entries = rows.selectExpr(f"{section} as section", f"cast({key} as bigint) as number",
+                                  f"{entry} as line")
+        lines = fixed.unionByName(entries) if lines is None else lines.unionByName(
+            fixed).unionByName(entries)
+    return lines
 
 
 # Header of the demographics text -> SQL over `customer`; `city` is its number.

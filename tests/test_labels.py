@@ -7,7 +7,9 @@ from portolan.functions.text import header_name
 from portolan.operators import labels, ports
 from portolan.schemas import TABLES
 from portolan.sinks.tables import write_partitioned
-from portolan.sources.labels import label_files, read_label_blocks, read_label_staging
+from portolan.sources.labels import (
+    label_files, read_label_blocks, read_label_lines, read_label_staging,
+)
 from tests.helpers import LABEL_TEXT, plan
 
 
@@ -187,6 +189,93 @@ def test_each_dim_reads_its_own_list(spark, staging, tmp_path):
     assert dims["dim_port"].count() == 10
 
 
+# Line by line
+
+def of_lines(spark, path, one_text=False):
+    lines = read_label_lines(spark, str(path), one_text)
+    selected = labels.listed_lines(lines)
+    labels.require_lists(lines, selected, label_files(spark, str(path), one_text))
+    return labels.parse_labels(selected)
+
+
+def test_lines_give_what_blocks_give(spark, label_file, staging):
+    got = of_lines(spark, label_file).drop("source")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, staging.collect()))
+
+
+@pytest.mark.parametrize("files,split", [(1, 60), (7, 10**9), (40, 200)])
+def test_a_list_goes_on_over_splits_and_files(spark, staging, tmp_path, files, split):
+    """The text cut between lines into files, and files into splits, anywhere."""
+    text = LABEL_TEXT.split("\r\n")
+    step = -(-len(text) // files)
+    for at in range(0, len(text), step):
+        (tmp_path / f"part-{at // step:05}.txt").write_bytes(
+            "".join(f"{line}\r\n" for line in text[at:at + step]).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = sorted(map(tuple, of_lines(spark, tmp_path, one_text=True).drop("source").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(map(tuple, staging.collect()))
+
+
+def test_files_of_their_own_stay_apart_line_by_line(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"l{i}.txt").write_bytes(LABEL_TEXT.encode())
+    counts = of_lines(spark, tmp_path).groupBy("source").count().collect()
+    assert [r["count"] for r in counts] == [42, 42, 42]
+    with pytest.raises(labels.LabelBlockError, match="port x3 in all files"):
+        of_lines(spark, tmp_path, one_text=True)
+
+
+def selected_lines(spark, *texts):
+    lines = spark.createDataFrame([("s", "f", 0, i, t) for i, t in enumerate(texts)],
+                                  "source string, file string, split bigint, at bigint, line string")
+    return [(r.type, r.block) for r in labels.listed_lines(lines).collect()]
+
+
+def test_where_a_list_begins_and_ends(spark):
+    assert selected_lines(
+        spark, "x", "/* I94PORT */ 'NO' = 'ENTRY'", " 'A' = 'B; C' ", " 'D'='E' ; 'F'='G'", "'H'='I'",
+        "I94MODE", "1 = 'a'", "I94VISA x", "1 = it's", "2 = b;3 = c", "I94ADDR; gone", "'NY'='N'") == [
+        ("port", " 'A' = 'B; C' "), ("port", " 'D'='E' "), ("i94_mode", "1 = 'a'"), ("visa", "1 = it's"),
+        ("visa", "2 = b")]
+    assert selected_lines(spark, "a", "b") == []
+
+
+@pytest.mark.parametrize("old,new,message", [
+    ("/* I94PORT -", "/* PORTS -", "port x0"), ("value model", "/* I94MODE */", "i94_mode x2"),
+    ("BRISK, CA -ARPT", "BRISK, CA '-ARPT", "a label runs over its line .*port"),
+    ("'AK'=", "'ak'=", r"1 of 13 state in .*'ak'")])
+def test_faults_of_lines_are_refused(spark, tmp_path, old, new, message):
+    assert old in LABEL_TEXT
+    (tmp_path / "l.txt").write_bytes(LABEL_TEXT.replace(old, new).encode())
+    with pytest.raises(labels.LabelBlockError, match=message):
+        of_lines(spark, tmp_path)
+
+
+def test_an_empty_text_lacks_every_list(spark, tmp_path):
+    (tmp_path / "b.txt").write_bytes(b"")
+    for one_text in (True, False):
+        with pytest.raises(labels.LabelBlockError, match=r"\(5 of 5\)"):
+            of_lines(spark, tmp_path, one_text)
+
+
+def test_a_long_list_is_spread_over_tasks(spark, tmp_path):
+    """No group by list: rows of one list come out of many tasks."""
+    spark.range(60_000).selectExpr("concat('   ', char(39), id, char(39), '=', char(39), 'P', id, char(39))").coalesce(
+        1).write.text(str(tmp_path / "body"))
+    body = "".join(p.read_text() for p in sorted((tmp_path / "body").glob("part-*")))
+    (tmp_path / "l.txt").write_text("/* I94PORT */\n" + body + ";\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        selected = labels.listed_lines(read_label_lines(spark, str(tmp_path / "l.txt")))
+        parsed = labels.parse_labels(selected)
+        assert (parsed.count(), parsed.select("code").distinct().count()) == (60_000, 60_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 NAMES = st.text("ABC xyz,.-/()#", min_size=1, max_size=20).filter(lambda s: s.strip())
 
 
