@@ -59,6 +59,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--dims-fmt", default="parquet", choices=["parquet", "csv"])
     parser.add_argument("--replace-all", action="store_true",
                         help="the input is the whole table: drop the months it lacks")
+    parser.add_argument("--again", action="store_true",
+                        help="load entries again that the ledger has as they are")
     parser.add_argument("--abandoned-hours", type=float, default=72,
                         help="age at which `tidy` removes what a killed load left")
     parser.add_argument("--as-of", type=datetime.date.fromisoformat)

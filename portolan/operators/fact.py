@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from portolan.functions.dates import NO_LEAVE_DATE, file_date, leave_date, sas_date
 from portolan.functions.numbers import to_int
 from portolan.functions.text import whole_id
-from portolan.schemas import CORRUPT, FACT_COLUMNS
+from portolan.schemas import CORRUPT, FACT_COLUMNS, LOST_VALUES
 
 CONVERSIONS = {
     "int": to_int,
@@ -27,6 +27,37 @@ def build_fact(raw: DataFrame) -> DataFrame:
         *[CONVERSIONS[kind](F.col(source)).alias(name) for name, source, kind in FACT_COLUMNS])
 
 
+def build_fact_and_rejects(raw: DataFrame) -> DataFrame:
+    """`build_fact` plus `rejected`: (column_name, raw) of the values that typing lost, in
+    column order, NULL where it lost none. The whole line counts, if it did not parse."""
+    lost = [F.when(_rejected(F.col(source), kind), _lost(name, source))
+            for name, source, kind in FACT_COLUMNS if kind not in ("text", "whole_id")]
+    if CORRUPT in raw.columns:
+        lost.append(F.when(F.col(CORRUPT).isNotNull(), _lost(CORRUPT, CORRUPT)))
+    found = F.array_compact(F.array(*lost))
+    return raw.select(
+        *[CONVERSIONS[kind](F.col(source)).alias(name) for name, source, kind in FACT_COLUMNS],
+        F.when(F.size(found) > 0, found).cast(LOST_VALUES).alias("rejected"))
+
+
+def _lost(name: str, source: str) -> Column:
+    return F.struct(F.lit(name).alias("column_name"), F.col(source).cast("string").alias("raw"))
+
+
+def side_by_side(fact_and_rejects: DataFrame) -> DataFrame:
+    """Each row under `table` = fact_i94 and, if it lost values, under entry_rejects once
+    more: what one write deals to two tables. Only the latter carry `rejected`."""
+    both = F.when(F.col("rejected").isNotNull(), F.array(F.lit("fact_i94"), F.lit("entry_rejects"))).otherwise(
+        F.array(F.lit("fact_i94")))
+    return fact_and_rejects.withColumn("table", F.explode(both)).withColumn(
+        "rejected", F.when(F.col("table") == "entry_rejects", F.col("rejected")))
+
+
+def reject_rows(rejects: DataFrame) -> DataFrame:
+    """(i94_key, i94yr, i94mon, column_name, raw): a row per lost value."""
+    return rejects.select("i94_key", "i94yr", "i94mon", F.inline("rejected"))
+
+
 class Loss(NamedTuple):
     """What typing a column can lose: aggregates over the raw rows."""
 
@@ -76,7 +107,13 @@ def reject_counts(raw: DataFrame) -> DataFrame:
 
 
 def _loss(name: str, source: Column, kind: str) -> Loss:
-    mark = source == NO_LEAVE_DATE if kind == "leave_date" else F.lit(False)
-    typed = CONVERSIONS[kind](source)
-    return Loss(name, F.count(source), F.count_if(mark),
-                F.count_if(source.isNotNull() & typed.isNull() & ~mark))
+    return Loss(name, F.count(source), F.count_if(_mark(source, kind)),
+                F.count_if(_rejected(source, kind)))
+
+
+def _mark(source: Column, kind: str) -> Column:
+    return source == NO_LEAVE_DATE if kind == "leave_date" else F.lit(False)
+
+
+def _rejected(source: Column, kind: str) -> Column:
+    return source.isNotNull() & CONVERSIONS[kind](source).isNull() & ~_mark(source, kind)

@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from portolan.operators.calendar import build_calendar
-from portolan.operators.demographics import build_demographics, demographics_rejects
+from portolan.operators.calendar import build_calendar, changed_years
+from portolan.operators.demographics import (
+    build_demographics, flag_losses, flagged_losses, without_flags,
+)
 from portolan.operators.fact import (
-    Loss, build_fact, loss_measures, losses_of, named_measures, reject_counts,
+    Loss, build_fact_and_rejects, loss_measures, losses_of, named_measures, reject_counts,
+    side_by_side,
 )
 from portolan.operators.labels import build_dims, listed_lines, parse_labels, require_lists
 from portolan.operators.quality import (
     checks_for, gate, measures, quality_report, report_of, today,
 )
-from portolan.schemas import PARTITIONS, TABLES
+from portolan.operators.star import counts_of
+from portolan.schemas import LOSSES, MONTH, PARTITIONS, SIDE_TABLES, TABLES
 from portolan.scratch import run_scratch
-from portolan.sinks.publish import Publication, recover, remove_abandoned
+from portolan.sinks.publish import Publication, is_published, recover, remove_abandoned
 from portolan.sinks.tables import save_flat, save_partitioned
 from portolan.sources.demographics import read_demographics
-from portolan.sources.entries import read_entries
+from portolan.sources.entries import entry_files, read_entries
 from portolan.sources.labels import label_files, read_label_lines, read_label_staging
 from portolan.sources.tables import read_table
 
@@ -42,6 +47,7 @@ class JobConfig:
     demographics: str = ""
     dims_fmt: str = "parquet"
     replace_all: bool = False           # drop the months that are not in the input
+    again: bool = False                 # load entries that the ledger has as they are, too
     abandoned_hours: float = 72         # after which `tidy_lake` removes what a killed load staged
     as_of: datetime.date | None = None
     params: dict[str, str] = field(default_factory=dict)
@@ -80,25 +86,68 @@ def load_fact(spark: SparkSession, cfg: JobConfig) -> DataFrame:
 
     With `replace_all` the input is the whole table. Entries without a year or month
     are a month of their own. The entries are read once: checks and losses are taken
-    while the rows are written beside the table. A load that fails, or fails its
-    checks, leaves the table as it was.
+    while the rows are written beside the table, and entries that lose values are written
+    in the same pass to `entry_rejects`. `fact_counts` and `load_ledger` are replaced
+    month by month with the fact, all or none. A load that fails, or fails its checks,
+    leaves all of them as they were.
+
+    Files that are the last ones loaded for all their months, unchanged, are not read
+    again (`again` does read them).
     """
     return load_fact_and_losses(spark, cfg)[0]
 
 
 def load_fact_and_losses(spark: SparkSession, cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
     """`load_fact`, and what typing the entries lost, column by column."""
-    name = "fact_i94"
-    raw = read_entries(spark, cfg.path("entries"), cfg.entries_fmt)
-    losses, checks = loss_measures(raw), checks_for(name, cfg.as_of or today())
+    name, as_of = "fact_i94", cfg.as_of or today()
+    source = cfg.path("entries")
+    files = entry_files(spark, source)
+    mark = f"{files.fingerprint} {cfg.entries_fmt} {as_of.year}"
+    loaded = None if cfg.again else last_load(spark, cfg, mark)
+    if loaded is not None:
+        return open_table(spark, cfg, name), spark.createDataFrame(loaded, LOSSES)
+    raw = read_entries(spark, source, cfg.entries_fmt)
+    losses, checks = loss_measures(raw), checks_for(name, as_of)
     typed = Watched(raw, named_measures(losses))
-    fact = Watched(build_fact(typed.df), measures(checks))
+    fact = Watched(build_fact_and_rejects(typed.df), measures(checks))
     with Publication(spark) as publication:
-        save_partitioned(fact.df, publication.stage(cfg.table(name), parts_only=not cfg.replace_all),
-                         PARTITIONS[name], gather=not cfg.entries_by_month)
+        path = cfg.table(name)
+        staged = publication.stage(path, parts_only=not cfg.replace_all)
+        side = {n: publication.stage(cfg.table(n), like=path) for n in SIDE_TABLES}
+        both = publication.beside(path, "entries")
+        save_partitioned(side_by_side(fact.df), both, ["table", *MONTH], gather=not cfg.entries_by_month)
         gate(report_of(fact.measured(), name, checks))
+        publication.take(f"{both}/table={name}", staged)
+        publication.take(f"{both}/table=entry_rejects", side["entry_rejects"])
+        save_partitioned(counts_of(read_table(spark, name, staged)), side["fact_counts"], MONTH)
+        lost = _lost(typed, losses)
+        months = read_table(spark, "fact_counts", side["fact_counts"]).select(*MONTH).distinct()
+        save_partitioned(_ledger(months, lost.collect(), files, source, mark), side["load_ledger"], MONTH)
         publication.commit()
-    return open_table(spark, cfg, name), _lost(typed, losses)
+    return open_table(spark, cfg, name), lost
+
+
+def _ledger(months: DataFrame, losses: list[Row], files: Row, source: str, mark: str) -> DataFrame:
+    """A row per month that a load replaces: the load, what it read and what it lost."""
+    lost = F.array(*[F.struct(*[F.lit(r[c]).cast(LOSSES[c].dataType).alias(c) for c in LOSSES.names])
+                     for r in losses])
+    return months.select(
+        *MONTH, F.lit(uuid.uuid4().hex).alias("run"), F.current_timestamp().alias("loaded_at"),
+        F.lit(source).alias("source"), F.lit(files.files).alias("files"), F.lit(files.bytes).alias("bytes"),
+        F.lit(mark).alias("fingerprint"), F.lit(months.count()).alias("months"), lost.alias("losses"))
+
+
+def last_load(spark: SparkSession, cfg: JobConfig, mark: str) -> list[Row] | None:
+    """The losses of the load with this fingerprint, if all months that it wrote are still
+    its own (and, with `replace_all`, the table holds no others); else None."""
+    ledger = open_table(spark, cfg, "load_ledger")
+    runs = ledger.groupBy("run").agg(
+        F.count("*").alias("own"), F.first("months").alias("months"),
+        F.first("fingerprint").alias("fingerprint"), F.first("losses").alias("losses"))
+    found = runs.where((F.col("fingerprint") == mark) & (F.col("own") == F.col("months"))).first()
+    if found is None or (cfg.replace_all and ledger.count() != found.months):
+        return None
+    return found.losses
 
 
 def _lost(typed: Watched, losses: list[Loss]) -> DataFrame:
@@ -111,13 +160,23 @@ def entry_rejects(spark: SparkSession, cfg: JobConfig) -> DataFrame:
 
 
 def load_calendar(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    """`dim_time` from the published fact: reads its arrival dates only, once."""
+    """`dim_time` from the published counts, which hold every arrival date.
+
+    Only years in which dates came or went since the calendar was last published are
+    written; the others stay. Both sides of that comparison have a row per date.
+    """
     name = "dim_time"
-    calendar = build_calendar(open_table(spark, cfg, "fact_i94"))
+    calendar = build_calendar(open_table(spark, cfg, "fact_counts"))
+    gate(quality_report({name: calendar}, cfg.as_of))
+    path, years = cfg.table(name), None
+    if is_published(spark, path):
+        years = changed_years(open_table(spark, cfg, name), calendar)
+        if not years:
+            return open_table(spark, cfg, name)
+        calendar = calendar.where(F.col("year").isin(years))
     with Publication(spark) as publication:
-        staged = publication.stage(cfg.table(name))
-        save_partitioned(calendar, staged, PARTITIONS[name])
-        gate(quality_report({name: read_table(spark, name, staged)}, cfg.as_of))
+        parts = None if years is None else [f"/year={year}" for year in years]
+        save_partitioned(calendar, publication.stage(path, parts=parts), PARTITIONS[name])
         publication.commit()
     return open_table(spark, cfg, name)
 
@@ -156,18 +215,20 @@ def load_demographics_and_losses(spark: SparkSession,
                                  cfg: JobConfig) -> tuple[DataFrame, DataFrame]:
     """`load_demographics`, and what typing the texts lost, column by column.
 
-    The numbering samples its input before it sorts it, so losses are not taken on
-    the way: they are a pass of their own over the text.
+    What a row lost goes through the numbering with it, as one number, so the text is
+    read twice: to sample it for the sort, and to sort it.
     """
     name = "fact_demographics"
-    raw = read_demographics(spark, cfg.path("demographics"))
-    checks = checks_for(name, cfg.as_of or today())
+    raw = flag_losses(read_demographics(spark, cfg.path("demographics")))
+    losses, checks = flagged_losses(raw), checks_for(name, cfg.as_of or today())
     with run_scratch(spark, name), Publication(spark) as publication:
-        rows = Watched(build_demographics(raw), measures(checks))
+        typed = Watched(build_demographics(raw), named_measures(losses))
+        rows = Watched(without_flags(typed.df), measures(checks))
         save_flat(rows.df, publication.stage(cfg.table(name)), cfg.dims_fmt)
         gate(report_of(rows.measured(), name, checks))
+        lost = spark.createDataFrame(_lost(typed, losses).collect(), LOSSES)
         publication.commit()
-    return open_table(spark, cfg, name), demographics_rejects(raw)
+    return open_table(spark, cfg, name), lost
 
 
 def open_table(spark: SparkSession, cfg: JobConfig, name: str) -> DataFrame:
@@ -181,6 +242,8 @@ def open_views(spark: SparkSession, cfg: JobConfig) -> None:
     """Every published table as a temporary view of its name, for `spark.sql`."""
     for name in TABLES:
         open_table(spark, cfg, name).createOrReplaceTempView(name)
+    for name in SIDE_TABLES:
+        open_table(spark, cfg, name).createOrReplaceTempView(name)
 
 
 def tidy_lake(spark: SparkSession, cfg: JobConfig) -> int:

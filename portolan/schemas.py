@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    ArrayType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    TimestampType,
 )
 
 _TYPES = {"string": StringType(), "int": IntegerType(), "bigint": LongType(),
-          "double": DoubleType(), "date": DateType()}
+          "double": DoubleType(), "date": DateType(), "timestamp": TimestampType()}
 
 
 def columns(listing: str) -> StructType:
@@ -90,5 +91,24 @@ TABLES = {
     "dim_visa": columns("visa_key int, visa_broad_type string"),
 }
 
-# How the two large tables are laid out on disk.
-PARTITIONS = {"fact_i94": ["i94yr", "i94mon"], "dim_time": ["year"]}
+MONTH = ["i94yr", "i94mon"]
+LOST_VALUES = ArrayType(columns("column_name string, raw string"))
+LOSSES = columns("column_name string, present bigint, no_date_mark bigint, rejected bigint")
+
+# What is published with the fact, month by month, and may be empty: the entries that lost
+# values in typing, the counts that most questions are answered from, and what each month
+# was loaded from.
+SIDE_TABLES = {
+    "entry_rejects": StructType([
+        *columns("i94_key int, i94yr int, i94mon int").fields, StructField("rejected", LOST_VALUES)]),
+    "fact_counts": columns(
+        "i94yr int, i94mon int, arrival_date date, state_code string, visa_key int, "
+        "people bigint, entries bigint"),
+    "load_ledger": StructType([
+        *columns("i94yr int, i94mon int, run string, loaded_at timestamp, source string, "
+                 "files bigint, bytes bigint, fingerprint string, months bigint").fields,
+        StructField("losses", ArrayType(LOSSES))]),
+}
+
+# How the large tables are laid out on disk.
+PARTITIONS = {"fact_i94": MONTH, "dim_time": ["year"], **{name: MONTH for name in SIDE_TABLES}}

@@ -21,12 +21,14 @@ class Staged(NamedTuple):
     written: str        # folder of the new contents
     path: str           # the published table
     parts_only: bool    # replace only the partition folders that were written
+    parts: tuple[str, ...] | None   # or these, with nothing where they were not
+    like: str | None                # or those that are replaced of another staged table
 
 
 class Swap(NamedTuple):
     """One folder to be replaced. `new` is there until it is in its place."""
 
-    new: str
+    new: str            # "": nothing comes into the place
     place: str
     old: str            # where what was in the place goes
 
@@ -69,18 +71,32 @@ class Publication:
     def _aside(self, path: str) -> str:
         return f"{_parent(path)}/{_ASIDE}{self.run}"
 
-    def stage(self, path: str, parts_only: bool = False) -> str:
-        """Where to write the new contents of the table at `path`. What a killed
-        publication beside it has decided is finished first."""
+    def stage(self, path: str, parts_only: bool = False, parts: list[str] | None = None,
+              like: str | None = None) -> str:
+        """Where to write the new contents of the table at `path`: the whole table, the
+        partition folders that are written (`parts_only`), the folders named (`parts`,
+        each as "/a=1/b=2"), or those that are replaced of the staged table at `like`.
+        What a killed publication beside it has decided is finished first."""
         path = path.rstrip("/")
         if self._aside(path) not in self._asides():
             recover(self.spark, _parent(path))
         written = f"{self._aside(path)}/new/{path.rpartition('/')[2]}"
-        self.staged.append(Staged(written, path, parts_only))
+        self.staged.append(Staged(written, path, parts_only, None if parts is None else tuple(parts),
+                                  like and like.rstrip("/")))
         return written
 
+    def beside(self, path: str, name: str) -> str:
+        """A folder beside the table at `path` that goes with the publication."""
+        return f"{self._aside(path)}/{name}"
+
+    def take(self, folder: str, written: str) -> None:
+        """Let a folder that was written `beside` be what is staged, if it is there."""
+        if _exists(self.spark, folder):
+            _move(self.spark, folder, written)
+
     def commit(self) -> None:
-        swaps = [Swap(s.written + part, s.path + part, f"{self._aside(s.path)}/old/{number}{part}")
+        swaps = [Swap(s.written + part if _exists(self.spark, s.written + part) else "", s.path + part,
+                      f"{self._aside(s.path)}/old/{number}{part}")
                  for number, s in enumerate(self.staged) for part in self._parts(s)]
         asides = self._asides()
         if not asides:
@@ -104,8 +120,16 @@ class Publication:
         self.unsettled = False
 
     def _parts(self, staged: Staged) -> list[str]:
-        """What moves: the whole table (""), or its written partition folders."""
-        if not staged.parts_only or not _exists(self.spark, staged.path):
+        """What moves: the whole table (""), or partition folders of it."""
+        if staged.like:
+            model = next(s for s in self.staged if s.path == staged.like)
+            whole = self._parts(model) == [""]
+            return [""] if whole or not _exists(self.spark, staged.path) else self._parts(model)
+        if not _exists(self.spark, staged.path):
+            return [""]
+        if staged.parts is not None:
+            return sorted(staged.parts)
+        if not staged.parts_only:
             return [""]
         files, place = file_system(self.spark, staged.written)
         found, open_folders = [], [(place, "")]
@@ -142,6 +166,12 @@ def recover(spark: SparkSession, folder: str) -> int:
     return found
 
 
+def is_published(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at `path`, after `recover`."""
+    recover(spark, _parent(path))
+    return _exists(spark, path)
+
+
 def remove_abandoned(spark: SparkSession, folder: str, hours: float = 72) -> int:
     """Remove what publications staged beside the tables of `folder` and have not touched
     for `hours`, after `recover`; how many there were."""
@@ -170,14 +200,17 @@ def _publications(spark: SparkSession, folder: str) -> list[str]:
 
 
 def _make(spark: SparkSession, swap: Swap) -> None:
-    if _exists(spark, swap.new):
+    if not swap.new:
+        if _exists(spark, swap.place):
+            _move(spark, swap.place, swap.old)
+    elif _exists(spark, swap.new):
         if _exists(spark, swap.place):
             _move(spark, swap.place, swap.old)
         _move(spark, swap.new, swap.place)
 
 
 def _undo(spark: SparkSession, swap: Swap) -> None:
-    if not _exists(spark, swap.new) and _exists(spark, swap.place):
+    if swap.new and not _exists(spark, swap.new) and _exists(spark, swap.place):
         _move(spark, swap.place, swap.new)
     if _exists(spark, swap.old):
         _move(spark, swap.old, swap.place)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from portolan.schemas import CORRUPT, CSV, RAW_ENTRIES
@@ -29,5 +29,16 @@ def read_entries(spark: SparkSession, path: str | list[str], fmt: str = "parquet
     raise ValueError(f"entries are parquet or csv, not {fmt!r}")
 
 
+def entry_files(spark: SparkSession, path: str | list[str]) -> Row:
+    """(files, bytes, fingerprint) of what `read_entries` reads, from the listing alone:
+    the fingerprint changes if a file comes, goes, grows or is written anew."""
+    listed = spark.read.format("binaryFile").load(_paths(path))
+    mark = F.xxhash64("path", "length", "modificationTime")
+    return listed.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.concat_ws("-", F.count("*").cast("string"), F.hex(F.bit_xor(mark)),
+                    F.sum(F.xxhash64(mark).cast("decimal(20,0)")).cast("string")).alias("fingerprint")).first()
+
+
 def _paths(path: str | list[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)

@@ -45,6 +45,13 @@ fact as (
     'B' || left(o_orderpriority, 1) as visatype
   from orders)"""
 
+# The fact after its reloaded month was corrected.
+_CORRECTED = """
+corrected as (
+  select state_code, visa_key, i94yr, i94mon,
+    case when i94yr = 1998 and i94mon = 5 then 2 else 1 end as people
+  from fact where not (i94yr = 1998 and i94mon = 5) or i94_key % 2 = 0)"""
+
 _CALENDAR = """
 calendar as (
   select distinct arrival_date,
@@ -367,6 +374,43 @@ with {_FACT}
 select i94yr, i94mon, cast(count(*) as bigint) as people, cast(count(*) as bigint) as entries
 from fact group by i94yr, i94mon""",
     "job_calendar": _CALENDAR_ROWS,
+    "job_calendar_reload": f"""
+with {_FACT}, {_CALENDAR}, kept as (
+  select distinct arrival_date from fact
+  where not (i94yr = 1998 and i94mon = 5)
+    or (i94_key % 4 = 0 and (arrival_date - date '1960-01-01') % 5 = 0))
+select cast(arrival_date as varchar) as arrival_date, day, week, month, year, weekday
+from calendar where arrival_date in (select arrival_date from kept)""",
+    "rollup_by_month_counts": f"""
+with {_FACT}, {_CORRECTED}
+select state_code, visa_key, i94yr, cast(sum(people) as bigint) as people,
+  cast(count(*) as bigint) as entries,
+  cast(grouping(state_code, visa_key, i94yr) as integer) as level
+from corrected group by rollup (state_code, visa_key, i94yr)""",
+    "growth_by_month_counts": f"""
+with {_FACT}, {_CORRECTED},
+monthly as (select state_code, i94yr, i94mon, cast(sum(people) as bigint) as people
+            from corrected group by state_code, i94yr, i94mon)
+select a.state_code, a.i94yr, a.i94mon, a.people, b.people as people_before,
+  a.people - b.people as change
+from monthly a left join monthly b on a.state_code = b.state_code
+  and a.i94yr * 12 + a.i94mon = b.i94yr * 12 + b.i94mon + 1""",
+    "entry_reject_rows": f"""
+with {_FACT}
+select i94_key, i94yr, i94mon, 'i94_file_date' as column_name, '20161301' as raw
+from fact where i94_key % 13 = 0
+union all
+select i94_key, i94yr, i94mon, 'i94_leave_date', '1232016'
+from fact where i94_key % 10 <> 0 and i94_key % 17 = 0""",
+    "load_ledger": f"""
+with {_FACT}, months as (
+  select i94yr, i94mon, case when i94yr < 1998 then 'early' else 'late' end as part,
+    sum(cast(i94_key % 13 = 0 as integer)
+        + cast(i94_key % 10 <> 0 and i94_key % 17 = 0 as integer)) as own
+  from fact group by i94yr, i94mon)
+select i94yr, i94mon, part, cast(count(*) over (partition by part) as bigint) as months,
+  cast(sum(own) over (partition by part) as bigint) as lost
+from months""",
     "job_labels": f"""
 with {_PORTS}
 select 'dim_country' as table_name, cast(c_custkey as varchar) as key, c_name as label

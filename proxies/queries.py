@@ -16,7 +16,7 @@ from pyspark.sql.types import DateType
 from portolan.operators import analytics, demographics, labels, ports, star
 from portolan.operators.calendar import build_calendar
 from portolan.operators.demographics import build_demographics, project_demographics
-from portolan.operators.fact import build_fact, reject_counts
+from portolan.operators.fact import build_fact, reject_counts, reject_rows
 from portolan.operators.keys import dense_index
 from portolan.operators.quality import quality_report
 from portolan.functions.dates import file_date, leave_date, sas_date
@@ -331,6 +331,59 @@ def _label_text(spark, sf_dir, cfg):
      .write.option("lineSep", "\r\n").text(cfg.path("labels")))
 
 
+def _corrected_lake(spark, sf_dir):
+    """All entries loaded, and then a corrected month: its people count twice and its
+    entries with an odd number are gone."""
+    cfg = _entries_job(spark, sf_dir, {"all": "true"})
+    year, month = RELOADED
+    own = replace(cfg, params={**cfg.params, "part": "corrected"})
+    standins.raw_entries(spark, sf_dir).where(
+        f"i94yr = {year} and i94mon = {month} and cicid % 2 = 0").withColumn("count", F.lit(2.0)).write.parquet(
+        own.path("entries"))
+    jobs.load_fact(spark, own)
+    return own
+
+
+def job_calendar_reload(spark, sf_dir):
+    """The calendar after a month lost most of its days: only its year is written again."""
+    cfg = _entries_job(spark, sf_dir, {"all": "true"})
+    jobs.load_calendar(spark, cfg)
+    year, month = RELOADED
+    own = replace(cfg, params={**cfg.params, "part": "corrected"})
+    standins.raw_entries(spark, sf_dir).where(
+        f"i94yr = {year} and i94mon = {month} and arrdate % 1 = 0 and cast(arrdate as int) % 5 = 0").write.parquet(
+        own.path("entries"))
+    jobs.load_fact(spark, own)
+    return iso(jobs.load_calendar(spark, own))
+
+
+def rollup_by_month_counts(spark, sf_dir):
+    """Subtotals from the counts kept by month, after a month was loaded again."""
+    cfg = _corrected_lake(spark, sf_dir)
+    return analytics.star_rollup(jobs.open_table(spark, cfg, "fact_counts"))
+
+
+def growth_by_month_counts(spark, sf_dir):
+    cfg = _corrected_lake(spark, sf_dir)
+    return analytics.month_on_month(jobs.open_table(spark, cfg, "fact_counts"))
+
+
+def entry_reject_rows(spark, sf_dir):
+    """Every value that typing lost, as the fact load leaves it beside the fact."""
+    cfg = _entries_job(spark, sf_dir, {"all": "true"})
+    return reject_rows(jobs.open_table(spark, cfg, "entry_rejects"))
+
+
+def load_ledger(spark, sf_dir):
+    """Two loads of the same files and one of others: months by the load they are from."""
+    cfg = _entries_job(spark, sf_dir, {"early": "i94yr < 1998", "late": "i94yr >= 1998"})
+    again = replace(cfg, params={**cfg.params, "part": "early"})
+    jobs.load_fact(spark, again)
+    ledger = jobs.open_table(spark, cfg, "load_ledger")
+    return ledger.select("i94yr", "i94mon", F.regexp_extract("source", "entries-(.*)$", 1).alias("part"),
+                         "months", F.expr("aggregate(losses, 0L, (t, l) -> t + l.rejected)").alias("lost"))
+
+
 def job_labels(spark, sf_dir):
     cfg = _lake(spark, labels="{root}/labels", labels_one_text=True)
     _label_text(spark, sf_dir, cfg)
@@ -449,6 +502,11 @@ QUERIES = {
     "job_fact": job_fact,
     "job_fact_months": job_fact_months,
     "job_calendar": job_calendar,
+    "job_calendar_reload": job_calendar_reload,
+    "rollup_by_month_counts": rollup_by_month_counts,
+    "growth_by_month_counts": growth_by_month_counts,
+    "entry_reject_rows": entry_reject_rows,
+    "load_ledger": load_ledger,
     "job_labels": job_labels,
     "job_demographics": job_demographics,
     "job_check": job_check,

@@ -5,12 +5,17 @@ from dataclasses import replace
 import pytest
 
 from portolan import __main__ as cli
+from portolan.operators import analytics, star
+from portolan.operators.calendar import build_calendar
+from portolan.operators.demographics import demographics_rejects
+from portolan.operators.fact import reject_rows
 from portolan.operators.quality import QualityError
 from portolan.operators.star import LINKS, star_join
 from portolan.plans import jobs
-from portolan.schemas import TABLES
+from portolan.schemas import CORRUPT, RAW_ENTRIES, TABLES
 from portolan.scratch import new_folder, shared_folder
 from portolan.sinks import publish
+from portolan.sources.demographics import read_demographics
 from tests.helpers import CITY_TEXT, LABEL_TEXT, entries
 
 RAW = [
@@ -87,12 +92,148 @@ def test_a_load_killed_in_its_commit_is_whole_when_it_is_opened(spark, cfg, monk
         dying.setattr(publish, "_move", move)
         dying.setattr(publish.Publication, "_give_up", lambda *_: None)
         with pytest.raises(KeyboardInterrupt):
-            jobs.load_fact(spark, cfg)
+            jobs.load_fact(spark, replace(cfg, again=True))
     assert sorted(r.i94_key for r in jobs.open_table(spark, cfg, "fact_i94").collect()) == [1, 2, 3]
     cli.main(["tidy", "--lake", cfg.path("lake"), "--abandoned-hours", "0"])
     assert "removed=0" in capsys.readouterr().out
 
 
+def side(spark, cfg, name, *columns):
+    return sorted(map(tuple, jobs.open_table(spark, cfg, name).select(*columns).collect()), key=str)
+
+
+def test_rejected_entries_are_published_month_by_month(spark, cfg, tmp_path):
+    bad = [{**RAW[0], "dtadfile": "20161301", "i94bir": 3e9}, {**RAW[1], "arrdate": -1e9, "dtaddto": "soon"},
+           {**RAW[0], "cicid": 4.0}]
+    entries(spark, *bad).write.parquet(str(tmp_path / "entries-bad"))
+    bad_cfg = replace(cfg, entries_fmt="parquet", params={**cfg.params, "year": "bad"})
+    _, losses = jobs.load_fact_and_losses(spark, bad_cfg)
+    rows = reject_rows(jobs.open_table(spark, cfg, "entry_rejects"))
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+        (1, 2016, 4, "age", "3.0E9"), (1, 2016, 4, "i94_file_date", "20161301"),
+        (2, 2016, 5, "arrival_date", "-1.0E9"), (2, 2016, 5, "i94_leave_date", "soon")], key=str)
+    counted = {r.column_name: r["count"] for r in rows.groupBy("column_name").count().collect()}
+    assert counted == {r.column_name: r.rejected for r in losses.collect() if r.rejected}
+    fact = jobs.open_table(spark, cfg, "fact_i94")
+    assert (fact.count(), len(fact.columns)) == (3, 23)
+    # A month that comes again without losses has none; the other keeps its own.
+    entries(spark, RAW[0]).write.parquet(str(tmp_path / "entries-fix"))
+    jobs.load_fact(spark, replace(bad_cfg, params={**cfg.params, "year": "fix"}))
+    assert side(spark, cfg, "entry_rejects", "i94_key") == [(2,)]
+    jobs.load_fact(spark, replace(cfg, replace_all=True))
+    assert side(spark, cfg, "entry_rejects", "i94_key") == []
+
+
+def test_lines_that_do_not_parse_are_rejected_entries(spark, tmp_path):
+    row = [None] * 29
+    row[0], row[1], row[2], row[3], row[13] = "0", "1.0", "2016.0", "4.0", "one"
+    (tmp_path / "e.csv").write_text(
+        ",".join(RAW_ENTRIES.fieldNames()) + "\n" + ",".join(v or "" for v in row) + "\n")
+    cfg = jobs.JobConfig(lake=str(tmp_path / "lake"), entries=str(tmp_path / "e.csv"), entries_fmt="csv",
+                         as_of=dt.date(2020, 1, 1))
+    jobs.load_fact(spark, cfg)
+    (found,) = reject_rows(jobs.open_table(spark, cfg, "entry_rejects")).collect()
+    assert found.column_name == CORRUPT and found.raw.startswith("0,1.0,2016.0")
+
+
+def rows_read(spark, name, work):
+    """Rows of input that the tasks of `work` read."""
+    tracker, group = spark.sparkContext.statusTracker(), name
+    spark.sparkContext.setJobGroup(group, group)
+    work()
+    spark.sparkContext._jsc.clearJobGroup()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    return sum(store.lastStageAttempt(stage).inputRecords()
+               for job in tracker.getJobIdsForGroup(group)
+               for stage in tracker.getJobInfo(job).stageIds)
+
+
+def test_the_same_files_are_not_loaded_twice(spark, cfg, tmp_path, monkeypatch):
+    first, losses = jobs.load_fact_and_losses(spark, cfg)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "lake").rglob("part-*")}
+    with monkeypatch.context() as unread:
+        unread.setattr(jobs, "read_entries", lambda *_: pytest.fail("the entries were read"))
+        again, same = jobs.load_fact_and_losses(spark, cfg)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "lake").rglob("part-*")} == before
+    assert same.collect() == losses.collect() and again.count() == first.count()
+    assert side(spark, cfg, "load_ledger", "i94yr", "i94mon", "months", "source") == [
+        (2016, 4, 2, cfg.path("entries")), (2016, 5, 2, cfg.path("entries"))]
+    # Asked to; a file that changed; a month that another load has replaced since.
+    run = set(side(spark, cfg, "load_ledger", "run"))
+    jobs.load_fact(spark, replace(cfg, again=True))
+    assert run.isdisjoint(side(spark, cfg, "load_ledger", "run"))
+    entries(spark, {**RAW[1], "cicid": 9.0}).write.parquet(str(tmp_path / "entries-fix"))
+    fix = replace(cfg, entries_fmt="parquet", params={**cfg.params, "year": "fix"})
+    jobs.load_fact(spark, fix)
+    assert sorted(r.i94_key for r in jobs.load_fact(spark, fix).collect()) == [1, 9]
+    assert sorted(r.i94_key for r in jobs.load_fact(spark, cfg).collect()) == [1, 2, 3]
+    jobs.load_fact(spark, fix)
+    assert [r.i94_key for r in jobs.load_fact(spark, replace(fix, replace_all=True)).collect()] == [9]
+    entries(spark, *RAW[:2]).write.mode("append").parquet(str(tmp_path / "entries-fix"))
+    assert jobs.load_fact(spark, fix).count() == 3
+
+
+def test_a_failed_load_is_not_in_the_ledger(spark, cfg):
+    with pytest.raises(QualityError):
+        jobs.load_fact(spark, replace(cfg, as_of=dt.date(2015, 1, 1)))
+    assert side(spark, cfg, "load_ledger", "run") == []
+    assert jobs.load_fact(spark, cfg).count() == 3
+
+
+def test_counts_by_month_answer_what_the_fact_does(spark, cfg, tmp_path):
+    jobs.load_fact(spark, cfg)
+    entries(spark, *[{**RAW[1], "cicid": float(i), "count": 2.0} for i in range(20, 25)]).write.parquet(
+        str(tmp_path / "entries-fix"))
+    jobs.load_fact(spark, replace(cfg, entries_fmt="parquet", params={**cfg.params, "year": "fix"}))
+    fact, counts = (jobs.open_table(spark, cfg, n) for n in ("fact_i94", "fact_counts"))
+    assert counts.count() == 2
+    for ask in (analytics.star_rollup, analytics.month_on_month,
+                lambda f: star.people_by(f, ["state_code", "i94yr"]), build_calendar):
+        assert sorted(map(tuple, ask(counts).collect()), key=str) == sorted(
+            map(tuple, ask(fact).collect()), key=str)
+
+
+def test_only_changed_years_of_the_calendar_are_written(spark, cfg, tmp_path):
+    def load(*rows):
+        name = f"{len(list(tmp_path.iterdir()))}"
+        entries(spark, *rows).write.parquet(str(tmp_path / f"entries-{name}"))
+        jobs.load_fact(spark, replace(cfg, entries_fmt="parquet", params={**cfg.params, "year": name}))
+        return sorted(str(r.arrival_date) for r in jobs.load_calendar(spark, cfg).collect())
+
+    def files():
+        return {str(p.parent.name): p.stat().st_mtime_ns for p in (tmp_path / "lake/dim_time").rglob("part-*.parquet")}
+
+    old = {**RAW[0], "i94yr": 2014.0, "arrdate": 19800.0}
+    both = [{**RAW[0], "i94mon": 4.0}, {**RAW[0], "i94mon": 5.0, "arrdate": 20580.0}]
+    assert load(old, *both) == ["2014-03-18", "2016-04-29", "2016-05-06"]
+    before = files()
+    # A date comes and one goes in 2016; 2014 stays as it is.
+    assert load({**both[1], "arrdate": 20581.0}) == ["2014-03-18", "2016-04-29", "2016-05-07"]
+    after = files()
+    assert after["year=2014"] == before["year=2014"] and after["year=2016"] != before["year=2016"]
+    assert load({**both[1], "arrdate": 20581.0, "cicid": 8.0}) == ["2014-03-18", "2016-04-29", "2016-05-07"]
+    assert files() == after  # no date changed
+    assert load({**old, "arrdate": 20573.0, "i94mon": 4.0}) == ["2016-04-29", "2016-05-07"]
+    assert set(files()) == {"year=2016"}  # the only date of 2014 went
+
+
+def test_demographics_are_read_twice_and_losses_agree(spark, cfg, tmp_path):
+    text = CITY_TEXT + "Short;line\nA;B;1;2;3;4;5;6;7;C;D;8;more\nX;Y;z;1.5;3000000000;;;;;TX;r;9\n"
+    (tmp_path / "cities.csv").write_text(text)
+    raw = read_demographics(spark, cfg.path("demographics"))
+    wanted = demographics_rejects(raw).collect()
+    held = []
+    read = rows_read(spark, f"demographics-{tmp_path.name}", lambda: held.append(
+        jobs.load_demographics_and_losses(spark, cfg)))
+    loaded, losses = held[0]
+    assert losses.collect() == wanted and sum(r.rejected for r in wanted) == 6
+    assert loaded.count() == 6 and "_lost" not in loaded.columns
+    lines = 7
+    # The text twice (some with its header line), the numbered rows, and no more.
+    assert read <= 3 * (lines + 1) + 2 * 6
+
+
 def test_an_empty_load_is_refused(spark, cfg, tmp_path):
     jobs.load_fact(spark, cfg)
     entries(spark).write.parquet(str(tmp_path / "entries-none"))
@@ -110,19 +251,13 @@ def test_losses_come_with_the_load(spark, cfg, tmp_path):
         ("i94_file_date", 1, 0, 1)]
 
 
-def test_entries_are_read_once(spark, cfg, tmp_path):
-    """Rows of the entry files that tasks read during a load."""
-    lines = 3 + len(list((tmp_path / "entries-2016").glob("*.csv")))  # with header lines
-    tracker, group = spark.sparkContext.statusTracker(), f"once-{tmp_path.name}"
-    spark.sparkContext.setJobGroup(group, group)
-    jobs.load_fact(spark, cfg)
-    spark.sparkContext._jsc.clearJobGroup()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    store = spark.sparkContext._jsc.sc().statusStore()
-    read = sum(store.lastStageAttempt(stage).inputRecords()
-               for job in tracker.getJobIdsForGroup(group)
-               for stage in tracker.getJobInfo(job).stageIds)
-    assert 3 <= read <= lines
+def test_entries_are_read_once(spark, tmp_path):
+    """A load reads the entries once, and of what it wrote the few columns it counts by."""
+    raw = entries(spark, RAW[0]).drop("cicid").join(spark.range(1000).selectExpr("double(id) as cicid"))
+    raw.select(*RAW_ENTRIES.fieldNames()).write.parquet(str(tmp_path / "entries"))
+    cfg = jobs.JobConfig(lake=str(tmp_path / "lake"), entries=str(tmp_path / "entries"),
+                         as_of=dt.date(2020, 1, 1))
+    assert 2000 <= rows_read(spark, f"once-{tmp_path.name}", lambda: jobs.load_fact(spark, cfg)) < 2050
 
 
 def test_dimensions_are_published_all_or_none(spark, cfg, tmp_path):
