@@ -13,17 +13,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from portolan.llm.common import unit_hash, words, written
+from portolan.operators.keys import dense_index
 
 MOST_COPIES = 3
-BLOCK = 128  # documents that one fold rounds; the tree's fan-in
+BLOCK = 128  # items that one fold rounds; the tree's fan-in
+RANKED = 1 << 16  # equal rows that are ranked together
 SEED = 7
 
 HEAVY = 100  # a document with over a HEAVYth of its source's words is decided first
 
 # An item, in the order in which a block is folded: large ones first, so that the one
 # left over is a small one.
-ITEM = "struct<less: bigint, draw: double, item: bigint, doc_id: bigint, size: bigint, p: double>"
-DECISION = "struct<item: bigint, doc_id: bigint, size: bigint, up: int>"
+ITEM = "struct<less: bigint, draw: double, item: bigint, size: bigint, p: double>"
+DECISION = "struct<less: bigint, draw: double, item: bigint, size: bigint, up: int>"
 
 
 def with_targets(sources: DataFrame) -> DataFrame:
@@ -31,31 +33,31 @@ def with_targets(sources: DataFrame) -> DataFrame:
 
     Weights are 1, 2, 3, repeating, by code point, NULL last. A target is the least
     of `MOST_COPIES` times the size and the weight times a level that makes targets
-    add up to all sizes; the level follows from the sources in the order in which
-    they reach their limit. One row per source: the two windows run over those.
+    add up to all sizes. The level rises from even shares: what sources cannot take is
+    shared anew among the others, until none is above its limit. Each round is one sum
+    over the sources, of which the driver gets one row; no window runs over all of them.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    limit = (F.col("source_size") * MOST_COPIES).cast("double")
-    weighted = sources.withColumn("weight", (place - 1) % 3 + 1).withColumn("limit", limit)
-    reach = F.col("limit") / F.col("weight")
-    ordered = Window.orderBy("reach", F.col("source").asc_nulls_last())
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    onward = ordered.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    levels = weighted.withColumn("reach", reach).withColumn(
-        "level", (F.sum("source_size").over(everything)
-                  - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0)))
-        / F.sum("weight").over(onward))
-    # The first source whose limit is not below the level sets the level for all after it.
-    first = levels.withColumn("turn", F.row_number().over(ordered)).withColumn(
-        "level", F.when(F.col("level") <= F.col("reach"), F.struct("turn", "level")))
-    return first.withColumn("level", F.min("level").over(everything).level).select(
-        "source", "source_size",
-        F.least("limit", F.col("weight") * F.col("level")).alias("target"))
+    numbered = dense_index(sources.withColumn("absent", F.col("source").isNull()),
+                           ["absent", "source"], "place")
+    weighted = written(numbered.select(
+        "source", "source_size", (F.col("place") % 3 + 1).alias("weight"),
+        (F.col("source_size") * MOST_COPIES).cast("double").alias("limit")), "sources")
+    level, full = 0.0, -1
+    while True:
+        over = F.col("limit") < F.col("weight") * level
+        found = weighted.agg(
+            F.count_if(over), F.sum("source_size"), F.sum(F.when(over, F.col("limit"))),
+            F.sum(F.when(~over, F.col("weight")))).first()
+        if found[0] == full or not found[3]:
+            break
+        full = found[0]
+        level = (found[1] - (found[2] or 0.0)) / found[3]
+    return weighted.select("source", "source_size",
+                           F.least("limit", F.col("weight") * level).alias("target"))
 
 
 def _settle(item: Column, up: Column) -> Column:
-    return F.struct(item["item"].alias("item"), item.doc_id.alias("doc_id"),
+    return F.struct(item.less.alias("less"), item.draw.alias("draw"), item["item"].alias("item"),
                     item["size"].alias("size"), up.alias("up")).cast(DECISION)
 
 
@@ -69,8 +71,7 @@ def _rounded(items: Column) -> Column:
     """
     def hold(item: Column, p: Column) -> Column:
         return F.struct(item.less.alias("less"), item.draw.alias("draw"),
-                        item["item"].alias("item"), item.doc_id.alias("doc_id"),
-                        item["size"].alias("size"),
+                        item["item"].alias("item"), item["size"].alias("size"),
                         F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p")).cast(ITEM)
 
     def step(state: Column, other: Column) -> Column:
@@ -94,6 +95,23 @@ def _rounded(items: Column) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.size(items)), start, step)
 
 
+def _evened(done: Column, expected: Column) -> Column:
+    """Decisions, the largest first, with those turned round that bring the words taken
+    nearer to those expected. The last item of a fold can be its largest, and with it a
+    block be off by as much; items that small ones cannot make up for are evened here."""
+    words = F.aggregate(done, F.lit(0.0), lambda t, d: t + d["size"] * d.up)
+
+    def step(state: Column, item: Column) -> Column:
+        turned = state.excess + (1 - 2 * item.up) * item["size"]
+        nearer = F.abs(turned) < F.abs(state.excess)
+        return F.struct(
+            F.when(nearer, turned).otherwise(state.excess).alias("excess"), F.concat(state.done, F.array(
+                _settle(item, F.when(nearer, 1 - item.up).otherwise(item.up)))).alias("done"))
+
+    start = F.struct((words - expected).alias("excess"), F.array().cast(f"array<{DECISION}>").alias("done"))
+    return F.aggregate(F.array_sort(done), start, step).done
+
+
 def _fold(held: DataFrame, *by: Column) -> DataFrame:
     """(source, out) of each block of (source, held)."""
     return held.groupBy("source", *by).agg(
@@ -101,29 +119,10 @@ def _fold(held: DataFrame, *by: Column) -> DataFrame:
         "source", _rounded(F.col("items")).alias("out"))
 
 
-def _repeated(items: DataFrame) -> DataFrame:
-    """`items` with `again`: whether source, `doc_id` and size are those of other items
-    too. Counted before the shuffle; the equi-join is one that Spark splits where a key
-    is common."""
-    known = written(items.where("doc_id IS NOT NULL").groupBy("source", "doc_id", "size").agg(
-        F.count("*").alias("n")).where("n > 1").select(
-        F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"),
-        F.col("size").alias("_size"), F.lit(True).alias("_again")), "repeated")
-    same = (F.col("source").eqNullSafe(F.col("_source")) & (F.col("doc_id") == F.col("_doc_id"))
-            & (F.col("size") == F.col("_size")))
-    return items.join(known, same, "left").select(
-        *items.columns, F.coalesce("_again", F.lit(False)).alias("again"))
-
-
 def _as_items(items: DataFrame) -> DataFrame:
-    """(source, held) for (source, item, doc_id, size, p, again). The draw depends on
-    `doc_id` and `size` alone, so reruns agree. `item` stands in for a NULL id, and tells
-    items apart that are repeated (`again`), so that they spread over the blocks."""
-    alone = F.col("doc_id").isNull() | F.col("again")
-    draw = F.when(alone, unit_hash(F.lit(SEED), F.coalesce("doc_id", "item"), alone, "size", "item")).otherwise(
-        unit_hash(F.lit(SEED), F.col("doc_id"), F.lit(False), "size"))
+    """(source, held) for (source, item, draw, size, p)."""
     return items.select("source", F.struct(
-        -F.col("size"), draw, "item", "doc_id", "size", F.col("p")).cast(ITEM).alias("held"))
+        -F.col("size"), "draw", "item", "size", "p").cast(ITEM).alias("held"))
 
 
 def _last(held: Column) -> Column:
@@ -132,16 +131,16 @@ def _last(held: Column) -> Column:
 
 
 def round_chances(items: DataFrame) -> DataFrame:
-    """(source, item, doc_id, size, up) for (source, item, doc_id, size, p): `up` is 1
-    for the items taken, so that a source's taken words are those expected, to within
-    the last, small document.
-
-    A reduction tree: items are dealt to blocks by hash, so that a hot source spreads
-    over many; a block decides all but one of its items; those meet in the next level.
-    Every level has one block for `BLOCK` blocks of the level before and is written.
-    Sizes must be above 0 and chances in [0, 1].
+    """(source, item, size, up, ...) for (source, item, draw, size, p): `up` is 1 for the items
+    taken, so that a source's taken words are those expected, to within the last, small
+    item. `draw` tells items apart and is an even number from [0, 1).
+
+    A reduction tree: items are dealt to blocks by their draw, so that a hot source
+    spreads over many; a block decides all but one of its items; those meet in the next
+    level. Every level has one block for `BLOCK` blocks of the level before and is
+    written. Sizes must be above 0 and chances in [0, 1].
     """
-    held = _as_items(_repeated(items))
+    held = _as_items(items)
     n = max(1, held.count())
     decided = []
     while True:
@@ -155,31 +154,42 @@ def round_chances(items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [*decided, last])
 
 
-def copies(sized: DataFrame) -> DataFrame:
-    """(item, doc_id, size, source_size, target, copies) for a written table of
-    (item, doc_id, source, size), `item` unique.
+def decide(groups: DataFrame) -> DataFrame:
+    """(item, source_size, target, whole, ups) for a written table of groups of equal rows
+    (item, source, doc_id, size, content, rows): each row of a group is taken `whole`
+    times, `ups` of them once more.
+
+    Of a group's rows as many are taken as its chance gives in full; only the fraction
+    that is left meets others in the tree, as one item. So rows that repeat, however many,
+    are one item, and its draw depends on what the rows hold alone: reruns agree.
 
     Documents with more than a `HEAVY`th of their source's words, fewer than `HEAVY`
     in a source, are rounded first, in one block; by how many words they miss what is
-    expected of them changes the chance of the source's other documents, which the
-    tree rounds. So one very long document leaves no gap of its size.
+    expected of them changes how often the source's other documents are taken, which the
+    tree rounds. So one very long document leaves no gap of its size, unless the others
+    together are too short to fill it.
 
     Sources join without a hint; a few sources are broadcast under Spark's limit.
     A document without words is taken the whole part of its source's share.
     """
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     targets = written(with_targets(sizes).withColumn("whole", F.floor(share).cast("int"))
                       .withColumn("p", share - F.floor(share)), "targets")
     known = targets.withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
-    with_source = sized.join(known, same)
-    columns = ["item", "doc_id", "size", "source_size", "target", "whole"]
+    drawn = groups.withColumn("draw", unit_hash(
+        F.lit(SEED), F.col("doc_id").isNull(), "doc_id", "size", "content"))
 
     heavy = F.col("size") * HEAVY > F.col("source_size")
-    first = written(_fold(_as_items(with_source.where(heavy).select(
-        "source", "item", "doc_id", "size", "p", F.lit(False).alias("again")))).select(
-        "source", F.concat("out.done", F.array(_last(F.col("out.held")))).alias("done")), "heavy")
+    single = drawn.join(known, same).where(heavy).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))  # fewer than HEAVY
+    blocks = _as_items(single.withColumn("draw", unit_hash("draw", "copy"))).groupBy("source").agg(
+        F.array_sort(F.collect_list("held")).alias("items"))
+    expected = F.aggregate("items", F.lit(0.0), lambda t, i: t + i["size"] * i.p)
+    first = written(blocks.select("source", _rounded(F.col("items")).alias("out"), expected.alias(
+        "expected")).select("source", _evened(F.concat(
+            "out.done", F.array(_last(F.col("out.held")))), F.col("expected")).alias("done")), "heavy")
     done = F.col("done")
     missed = first.select(
         F.col("source").alias("_source"),
@@ -187,33 +197,77 @@ def copies(sized: DataFrame) -> DataFrame:
         F.aggregate(done, F.lit(0).cast("bigint"), lambda t, d: t + d["size"] * d.up).alias("up"))
     light = F.col("source_size") - F.coalesce("heavy", F.lit(0))
     chance = F.try_divide(F.col("p") * F.col("source_size") - F.coalesce("up", F.lit(0)), light)
+    times = F.coalesce(F.greatest(F.lit(0.0), F.least(
+        F.lit(float(MOST_COPIES)), F.col("whole") + chance)), F.lit(0.0))
     rest = written(targets.join(
         missed, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "whole",
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance)), F.lit(0.0)).alias("p")),
-        "targets")
-    others = sized.join(rest, same).where(~heavy)
-    drawn = (F.col("size") > 0) & (F.col("p") > 0)
-    up = first.select("source", F.inline("done")).unionByName(
-        round_chances(others.where(drawn).select("source", "item", "doc_id", "size", "p")))
-    return up.join(known, same).select(
-        *columns[:-1], (F.col("whole") + F.col("up")).alias("copies")).unionByName(
-        others.where(~drawn).select(*columns[:-1], F.col("whole").alias("copies")))
+        F.col("source").alias("_source"), "source_size", "target", times.alias("times")).select(
+        "_source", "source_size", "target", F.floor("times").cast("int").alias("whole"),
+        (F.col("times") - F.floor("times")).alias("p")), "targets")
+
+    expected = F.col("rows") * F.col("p")
+    others = drawn.join(rest, same).where(~heavy).withColumn(
+        "full", F.when(F.col("size") > 0, F.floor(expected)).otherwise(0))
+    left = others.withColumn("p", expected - F.col("full")).where((F.col("size") > 0) & (F.col("p") > 0))
+    ups = first.select(F.inline("done")).select("item", "up").unionByName(
+        round_chances(left.select("source", "item", "draw", "size", "p")).select("item", "up"))
+    more = ups.groupBy(F.col("item").alias("_item")).agg(F.sum("up").alias("up"))
+    base = others.select("item", "source_size", "target", "whole", "full").unionByName(
+        drawn.join(known, same).where(heavy).select(
+            "item", "source_size", "target", "whole", F.lit(0).cast("bigint").alias("full")))
+    return base.join(more, F.col("item") == F.col("_item"), "left").select(
+        "item", "source_size", "target", "whole",
+        (F.col("full") + F.coalesce("up", F.lit(0))).alias("ups"))
+
+
+def copies(sized: DataFrame) -> DataFrame:
+    """(item, doc_id, size, source_size, target, copies) for a written table of
+    (item, doc_id, source, size, content), `item` unique.
+
+    `content` tells rows apart that share source, id and size; rows that share it too are
+    equal, so which of them are taken once more makes no difference. They are counted off
+    in parts of `RANKED`, so that no task gathers them.
+    """
+    key = ["source", "doc_id", "size", "content"]
+    groups = written(sized.groupBy(*key).agg(F.count("*").alias("rows")).withColumn(
+        "item", F.monotonically_increasing_id()), "groups")
+    decided = written(groups.join(decide(groups).withColumnRenamed("item", "_item"),
+                                  F.col("item") == F.col("_item")).select(
+        *[F.col(c).alias(f"_{c}") for c in key], F.col("item").alias("group"), "rows", "source_size",
+        "target", "whole", "ups"), "decided")
+    rows = sized.join(decided, reduce(Column.__and__, [
+        F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]))
+    columns = ["item", "doc_id", "size", "source_size", "target"]
+    some = (F.col("ups") > 0) & (F.col("ups") < F.col("rows"))
+    alike = rows.where(~some).select(*columns, (
+        F.col("whole") + F.when(F.col("ups") > 0, 1).otherwise(0)).alias("copies"))
+    parted = rows.where(some).withColumn("part", F.floor(
+        unit_hash(F.lit(SEED), "item") * F.ceil(F.col("rows") / RANKED)))
+    before = parted.groupBy("group", "part").agg(F.count("*").alias("n")).select(
+        F.col("group").alias("_group"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(
+            Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("group", "part").orderBy("item"))
+    counted = parted.withColumn("place", place).join(
+        before, (F.col("group") == F.col("_group")) & (F.col("part") == F.col("_part")))
+    return alike.unionByName(counted.select(*columns, (F.col("whole") + F.when(
+        F.col("before") + F.col("place") <= F.col("ups"), 1).otherwise(0)).alias("copies")))
 
 
 def mix_documents(docs: DataFrame, source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken): `taken` the words that the mix takes
     of a document, repeats counted.
 
-    Texts are read once, for their sizes (words; none for a NULL text). Rows are told
-    apart by their place in the input, so repeated rows are drawn each. An empty
-    table gives no rows; other columns are not touched.
+    Texts are read once, for their sizes (words; none for a NULL text) and a hash. Rows
+    that repeat are drawn each; equal input, in whatever order and parts, gives equal
+    rows. An empty table gives no rows; other columns are not touched.
     """
     sized = written(docs.select(
         F.monotonically_increasing_id().alias("item"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
-        F.size(words(F.col("text"))).cast("bigint").alias("size")), "sizes")
+        F.size(words(F.col("text"))).cast("bigint").alias("size"),
+        F.xxhash64("text").alias("content")), "sizes")
     return copies(sized).select("doc_id", "size", "source_size", "target",
                                 (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -228,7 +282,8 @@ def take_mix(docs: DataFrame, source: str = "source") -> DataFrame:
         F.struct("*").alias("row"), F.monotonically_increasing_id().alias("item"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
-        F.size(words(F.col("text"))).cast("bigint").alias("size")), "rows")
-    taken = copies(rows.select("item", "doc_id", "source", "size")).where("copies > 0")
+        F.size(words(F.col("text"))).cast("bigint").alias("size"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("content")), "rows")
+    taken = copies(rows.select("item", "doc_id", "source", "size", "content")).where("copies > 0")
     return rows.select("row", "item").join(taken.select("item", "copies"), "item").select(
         "row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

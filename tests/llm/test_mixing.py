@@ -1,11 +1,12 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from portolan.llm import mixing
-from portolan.llm.common import table
+from portolan.llm.common import table, unit_hash, written
 
 
 def targets_by_hand(sizes):
@@ -64,7 +65,8 @@ def test_a_hot_source_and_a_huge_document(spark):
     sized = spark.range(n).select(
         F.col("id").alias("item"), F.col("id").alias("doc_id"),
         F.when(F.col("id") % 10 == 0, F.concat(F.lit("s"), F.col("id") % 7)).otherwise("hot").alias("source"),
-        F.when(F.col("id") == 1, 300000).otherwise(F.col("id") % 50 + 1).alias("size"))
+        F.when(F.col("id") == 1, 300000).otherwise(F.col("id") % 50 + 1).alias("size"),
+        F.col("id").alias("content"))
     rows = mixing.copies(sized).collect()
     assert len(rows) == n
     by_target = defaultdict(int)
@@ -78,7 +80,7 @@ def test_each_document_is_taken_as_often_as_its_chance(spark):
     """600 blocks of the same four documents: taken shares near their chances, words exact."""
     items = spark.range(2400).select(
         F.concat(F.lit("s"), F.floor(F.col("id") / 4)).alias("source"), F.col("id").alias("item"),
-        F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(s) for s in (5, 20, 20, 80)]),
+        unit_hash(F.lit(3), "id").alias("draw"), F.element_at(F.array(*[F.lit(s) for s in (5, 20, 20, 80)]),
                                                    (F.col("id") % 4 + 1).cast("int")).alias("size"),
         F.lit(0.4).alias("p"))
     rows = mixing.round_chances(items).collect()
@@ -92,20 +94,55 @@ def test_each_document_is_taken_as_often_as_its_chance(spark):
     assert max(abs(w - 0.4 * 125) for w in words.values()) <= 80
 
 
-def test_repeated_ids_spread_over_the_blocks(spark):
-    """A third of all rows are one document's, in one source: no block gathers them."""
-    n = 30 * mixing.BLOCK
-    items = spark.range(n).select(
-        F.lit("s").alias("source"), F.col("id").alias("item"),
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).cast("bigint").alias("doc_id"),
-        F.lit(20).cast("bigint").alias("size"), F.lit(0.4).alias("p"))
-    held = mixing._as_items(mixing._repeated(items))
-    blocks = held.groupBy(F.floor(F.col("held.draw") * 30)).count().collect()
-    assert len(blocks) == 30 and max(r["count"] for r in blocks) < 2 * mixing.BLOCK
-    rows = mixing.round_chances(items).collect()
-    assert sorted(r["item"] for r in rows) == list(range(n))
-    assert abs(sum(r.up for r in rows) - 0.4 * n) <= 1
-    assert sum(r.up for r in rows if r.doc_id == 7) / (n / 3) == pytest.approx(0.4, abs=0.06)
+def repeating(spark, n):
+    """A third of the rows are one document's, some of them with another text, and a
+    twelfth have no id."""
+    i = F.col("id")
+    doc_id = F.when(i % 3 == 0, 7).when(i % 12 == 1, None).otherwise(i + 10)
+    text = F.when(i % 30 == 3, "another text").when((i % 3 == 0) | (i % 24 == 1), "one two").otherwise(
+        F.repeat(F.lit("w "), (i % 40 + 1).cast("int")))
+    return spark.range(n).select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"),
+                                 F.concat(F.lit("s"), i % 2).alias("source"), i.alias("extra"))
+
+
+@pytest.mark.parametrize("ranked", [mixing.RANKED, 50])
+def test_reruns_agree_where_ids_repeat(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "RANKED", ranked)
+    docs = repeating(spark, 6000)
+    first = Counter(map(tuple, mixed(docs.coalesce(1))))
+    for other in (docs.repartition(5), docs.orderBy(F.desc("extra")), docs.repartition(3, "text")):
+        assert Counter(map(tuple, mixed(other))) == first
+    columns = ["doc_id", "text", "source"]
+    taken = [Counter(map(tuple, mixing.take_mix(d).collect()))
+             for d in (docs.select(*columns).coalesce(1), docs.select(*columns).repartition(5))]
+    assert taken[0] == taken[1]
+    words = Counter()
+    for row, n in first.items():
+        words[row[2], row[3]] += row[4] * n
+    assert all(abs(taken - target) <= 41 for (_, target), taken in words.items())
+
+
+def test_repeated_rows_are_one_item(spark):
+    docs = repeating(spark, 3000)
+    sized = docs.select(F.col("extra").alias("item"), "doc_id", "source", F.size(F.split(F.trim("text"), " "))
+                        .cast("bigint").alias("size"), F.xxhash64("text").alias("content"))
+    rows = mixing.copies(written(sized, "sized")).collect()
+    assert sorted(r["item"] for r in rows) == list(range(3000))
+    for target in {r.target for r in rows}:
+        own = [r for r in rows if r.target == target]
+        hot = [r.copies for r in own if r.doc_id == 7 and r["size"] == 2 and r["item"] % 30 != 3]
+        share = sum(r.copies * r["size"] for r in own) / sum(r["size"] for r in own)
+        assert len(hot) >= 400 and abs(sum(hot) - share * len(hot)) <= 1.5 and max(hot) - min(hot) <= 1
+
+
+def test_many_sources_take_linear_time(spark):
+    n = 60_000
+    sources = spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"),
+                                    (F.col("id") % 1000).alias("source_size"))
+    start = time.perf_counter()
+    got = mixing.with_targets(sources).agg(
+        F.count("*").alias("n"), F.sum("target").alias("target"), F.sum("source_size").alias("size")).first()
+    assert got.n == n and got.target == pytest.approx(got["size"]) and time.perf_counter() - start < 60
 
 
 def test_odd_documents(documents):
