@@ -10,19 +10,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from portolan.llm.common import map_arrow, ship
+from portolan.llm.common import map_arrow, ship, written
 
 BUCKETS = 1 << 17
-FACTORS = 4
+FACTORS = 8
 MOST_ROWS = 20_000          # labelled rows that a model is fitted on, at most
-LEAST_DOCS = 4              # a term needs as many of those rows to be learned from,
-LEAST_Z = 5.0               # and its share of label 1 to be so many deviations off the common one
-EPOCHS = 40
-RATE = 0.2
-DECAY = 1e-4                # of weights and of factors, per row
-BATCH = 128
+MOST_TERMS = 1 << 24        # and terms of theirs in all
+LEAST_DOCS = 4              # a term needs as many of those rows to be learned from
+LEAST_Z = 5.0               # and, for a weight of its own, a share of label 1 so many deviations off
+EPOCHS = 40                 # for the weights, and at most as many for the factors
+PATIENCE = 15               # epochs without a gain on the rows kept back
+KEPT_BACK = 8               # every so manyth row
+RATE, FACTOR_RATE = 0.2, 0.7
+DECAY, FACTOR_DECAY = 1e-4, 5e-3  # per row
+FACTOR_START = 0.05
+BATCH = 256
 SEED = 11
 FOLDS, HELD_OUT_FOLD = 5, 0
 CACHED_TERMS = 200_000
@@ -85,62 +89,110 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
     return FactorizationMachine(bias, weights.astype(np.float32), factors.astype(np.float32))
 
 
+class _Rows:
+    """The terms of training rows, as places among the terms that are learned."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray):
+        self.rows, self.labels = rows, labels
+
+    def batch(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, term, label) of some rows."""
+        sizes = [len(self.rows[i]) for i in which]
+        return (np.repeat(np.arange(len(which)), sizes),
+                np.concatenate([self.rows[i] for i in which]), self.labels[which])
+
+
+def _raw(owner, term, n, bias, w, v) -> tuple[np.ndarray, np.ndarray]:
+    """The score before the sigmoid, and the sums of the factors, of n rows."""
+    summed = np.stack([np.bincount(owner, v[term, k], n) for k in range(v.shape[1])], axis=1)
+    own = np.bincount(owner, np.square(v[term]).sum(axis=1), n)
+    return bias + np.bincount(owner, w[term], n) + (np.square(summed).sum(axis=1) - own) / 2, summed
+
+
+def _chance(raw: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
+def _loss(rows: _Rows, which: np.ndarray, bias, w, v) -> float:
+    owner, term, label = rows.batch(which)
+    chance = np.clip(_chance(_raw(owner, term, len(which), bias, w, v)[0]), 1e-9, 1 - 1e-9)
+    return float(-np.mean(label * np.log(chance) + (1 - label) * np.log(1 - chance)))
+
+
 def _train(texts, labels, bias, weights, factors) -> float:
+    """Weights first, then factors on what the weights leave unexplained.
+
+    A weight is a term's own, so only terms that tell something alone get one; every term
+    with `LEAST_DOCS` rows has factors, whatever it tells alone, since a pair may tell what
+    neither of its terms does. What overfits is kept down by decay, by steps that are
+    small until gradients agree, and by a stop: the factors are those that did best on
+    the rows kept back, none at all if none did better than the weights.
+    """
     random = np.random.default_rng(SEED)
     first = {t.tobytes(): i for i, t in reversed(list(enumerate(texts)))}  # copies count once
     texts, labels = [texts[i] for i in sorted(first.values())], labels[sorted(first.values())]
-    known = _telling(texts, labels)
+    sizes, term = [len(t) for t in texts], np.concatenate(texts)
+    seen = np.bincount(term, minlength=BUCKETS)
+    known = np.flatnonzero(seen >= LEAST_DOCS)
     place = np.full(BUCKETS, -1, np.int64)
     place[known] = np.arange(len(known))
-    rows = [p[p >= 0] for p in (place[t] for t in texts)]
-    w, v = np.zeros(len(known)), random.normal(0, 0.01, (len(known), FACTORS))
-    w_sq, v_sq, b_sq = np.full(len(known), 1e-8), np.full(v.shape, 1e-8), 1e-8
+    rows = _Rows([p[p >= 0] for p in (place[t] for t in texts)], labels)
+    alone = _tells(seen, np.bincount(term, np.repeat(labels, sizes), BUCKETS), labels.mean())[known]
+    w, v = np.zeros(len(known)), np.zeros((len(known), FACTORS))
+    w_sq, b_sq = np.full(len(known), 1e-8), 1e-8
+    kept_back = np.arange(0, len(texts), KEPT_BACK)
+    learned = np.setdiff1d(np.arange(len(texts)), kept_back)
+    if not len(learned):
+        return bias
+
+    def batches() -> Iterator[np.ndarray]:
+        order = random.permutation(learned)
+        return (order[at:at + BATCH] for at in range(0, len(order), BATCH))
+
     for _ in range(EPOCHS):
-        order = random.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            batch = order[at:at + BATCH]
-            sizes = np.array([len(rows[i]) for i in batch])
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            term = np.concatenate([rows[i] for i in batch])
+        for batch in batches():
+            owner, term, label = rows.batch(batch)
             here, local = np.unique(term, return_inverse=True)
-
-            def per_row(values):
-                return np.bincount(owner, values, len(batch))
-
-            def per_term(values):
-                return np.bincount(local, values, len(here))
-
-            vt = v[term]
-            summed = np.stack([per_row(vt[:, k]) for k in range(FACTORS)], axis=1)
-            raw = bias + per_row(w[term]) + (
-                np.square(summed).sum(axis=1) - per_row(np.square(vt).sum(axis=1))) / 2
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[batch]
-            spread = error[owner]
-            grad = error.sum()
-            b_sq += grad * grad
-            bias -= RATE * grad / np.sqrt(b_sq)
-            grad = per_term(spread) + DECAY * len(batch) * w[here]
+            error = _chance(bias + np.bincount(owner, w[term], len(batch))) - label
+            b_sq += error.sum() ** 2
+            bias -= RATE * error.sum() / np.sqrt(b_sq)
+            grad = alone[here] * (np.bincount(local, error[owner], len(here))
+                                  + DECAY * len(batch) * w[here])
             w_sq[here] += grad * grad
             w[here] -= RATE * grad / np.sqrt(w_sq[here])
-            for k in range(FACTORS):
-                grad = per_term(spread * (summed[owner, k] - vt[:, k])) + (
-                    DECAY * len(batch) * v[here, k])
-                v_sq[here, k] += grad * grad
-                v[here, k] -= RATE * 0.2 * grad / np.sqrt(v_sq[here, k])
-    weights[known], factors[known] = w, v
-    return float(bias)
-
-
-def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The buckets whose rows differ in label from the others by more than chance. A
-    rare word of one long text would only be learned by heart."""
-    sizes = [len(t) for t in texts]
-    term = np.concatenate(texts)
-    seen = np.bincount(term, minlength=BUCKETS)
-    ones = np.bincount(term, np.repeat(labels, sizes), BUCKETS)
-    share = labels.mean()
+
+    best, since = (_loss(rows, kept_back, bias, w, v), bias, v.copy()), 0
+    v = random.normal(0, FACTOR_START, v.shape)
+    v_sq = np.ones(len(known))
+    for _ in range(EPOCHS):
+        for batch in batches():
+            owner, term, label = rows.batch(batch)
+            here, local = np.unique(term, return_inverse=True)
+            raw, summed = _raw(owner, term, len(batch), bias, w, v)
+            error = _chance(raw) - label
+            b_sq += error.sum() ** 2
+            bias -= RATE * error.sum() / np.sqrt(b_sq)
+            pull = error[owner][:, None] * (summed[owner] - v[term])
+            grad = np.stack([np.bincount(local, pull[:, k], len(here)) for k in range(FACTORS)], axis=1)
+            grad = grad + FACTOR_DECAY * len(batch) * v[here]
+            v_sq[here] += np.square(grad).sum(axis=1)
+            v[here] -= FACTOR_RATE * grad / np.sqrt(v_sq[here])[:, None]
+        loss = _loss(rows, kept_back, bias, w, v)
+        if loss < best[0] - 1e-5:
+            best, since = (loss, bias, v.copy()), 0
+        else:
+            since += 1
+            if since == PATIENCE:
+                break
+    weights[known], factors[known] = w, best[2]
+    return float(best[1])
+
+
+def _tells(seen: np.ndarray, ones: np.ndarray, share: float) -> np.ndarray:
+    """Whether a term's rows differ in label from the others by more than chance. A rare
+    word of one long text would only be learned by heart."""
     z = np.abs(ones - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
-    return np.flatnonzero((seen >= LEAST_DOCS) & (z >= LEAST_Z))
+    return z >= LEAST_Z
 
 
 # Spark
@@ -177,15 +229,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     return map_arrow(joined, work, "doc_id bigint, terms array<int>, label int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> FactorizationMachine:
-    """A model fitted on the bounded sample of `training_rows`, on the driver. A
-    document that occurs several times is learned from once per occurrence, up to
-    `most` in all."""
-    rows = training_rows(docs, labels, most).orderBy("doc_id", F.xxhash64("terms")).limit(
-        most).toArrow()
-    ids = rows["terms"].combine_chunks()
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS,
+          most_terms: int = MOST_TERMS) -> FactorizationMachine:
+    """A model fitted on the bounded sample of `training_rows`, on the driver: of at most
+    `most` rows those with the smallest ids whose terms are `most_terms` together. A
+    document that occurs several times is learned from once per occurrence. Of an id's
+    labels the largest counts."""
+    rows = written(training_rows(docs, labels, most).withColumn(
+        "order", F.struct("doc_id", F.xxhash64("terms"))).orderBy("order").limit(most), "training")
+    running = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = rows.withColumn("until", F.sum(F.size("terms")).over(running)).where(
+        F.col("until") <= most_terms).orderBy("order").select("terms", "label").toArrow()
+    ids = taken["terms"].combine_chunks()
     texts = [np.asarray(ids[i].values, np.int32) for i in range(len(ids))]
-    return fit(texts, np.asarray(rows["label"]))
+    return fit(texts, np.asarray(taken["label"]))
 
 
 def score_of(model: FactorizationMachine, spark: SparkSession) -> Callable[[Column], Column]:

@@ -48,6 +48,47 @@ def test_pairs_are_learned():
     assert np.abs(model.factors).max() > 0.1
 
 
+def texts_of_cells(n, seed):
+    """Ten insults, ten groups and much else. Each word alone is as toxic as any other;
+    one group for each insult makes it so."""
+    draw = random.Random(seed)
+    texts, labels = [], []
+    for _ in range(n):
+        insult, group = draw.randrange(10), draw.randrange(10)
+        words = [f"w{draw.randrange(5000)}" for _ in range(30)] + [f"insult{insult}", f"group{group}"]
+        texts.append(toxicity.terms(" ".join(words)))
+        labels.append(int(draw.random() < (0.95 if insult == group else 0.01)))
+    return texts, np.array(labels)
+
+
+def ranked(scores, labels):
+    toxic, clean = scores[labels == 1], np.sort(scores[labels == 0])
+    return np.mean(np.searchsorted(clean, toxic) / len(clean))
+
+
+def test_pairs_of_words_that_tell_nothing_alone():
+    texts, labels = texts_of_cells(20_000, 3)
+    model = toxicity.fit(texts, labels)
+    new, wanted = texts_of_cells(3000, 4)
+    both = ranked(np.array([model.score(t) for t in new]), wanted)
+    weights = toxicity.FactorizationMachine(model.bias, model.weights, np.zeros_like(model.factors))
+    alone = ranked(np.array([weights.score(t) for t in new]) + 1e-9 * np.random.default_rng(0).random(
+        len(new)), wanted)
+    assert both > 0.9 > 0.6 > alone
+
+
+def test_terms_in_all_are_bounded(spark, documents):
+    docs = documents(*[(i, " ".join(f"t{i}x{j}" for j in range(50)), "s") for i in range(1, 40)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, labels: seen.append(texts)
+    try:
+        toxicity.learn(docs, labels, most_terms=300)
+    finally:
+        toxicity.fit = fit
+    assert 250 < sum(map(len, seen[0])) <= 300
+
+
 def test_a_model_without_both_labels_gives_their_share():
     assert toxicity.fit([], np.array([])).score(toxicity.terms("a b")) == pytest.approx(0.5)
     texts = [toxicity.terms(t) for t in ("a", "b", "c")]
