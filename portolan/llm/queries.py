@@ -101,9 +101,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
-        budgets=(TOKEN_LIMIT,))
+    stored = token_counts.store_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    counted = token_counts.answers(stored, budgets=(TOKEN_LIMIT,))
     return counted.select("doc_id", "n_bytes", "n_tokens",
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
                           f"chars_within_{TOKEN_LIMIT}")

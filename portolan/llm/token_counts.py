@@ -62,7 +62,7 @@ class PrefixCounter:
         self._segments = re.compile(
             rf" *[^\W\d_]+(?=[ \n{re.escape(marks)}]|\Z)| *[^ \n]+| +|\n")
         self._fits = _Cache(self._pair_fits, CACHED_PAIRS)
-        self.word_tokens = _Cache(lambda word: self.word_counts(word)[-1], CACHED_WORDS)
+        self.word_steps = _Cache(self._steps, CACHED_WORDS)
         for probe in ("It's  ﬁne,\t①\n\n Größe 12½ ", "日本 x​🙂<s>"):
             if self.counts(probe)[1:].tolist() != [
                     len(model.encode(probe[:n])) for n in range(1, len(probe) + 1)]:
@@ -112,37 +112,30 @@ class PrefixCounter:
         """The words of a text as the model sees them: with a blank before the first."""
         return self._segments.findall(" " + text.replace(_SPACE, " ")) if text else []
 
-    def count(self, text: str) -> int:
-        return sum(map(self.word_tokens.__getitem__, self.words(text)))
+    def _steps(self, word: str) -> bytes:
+        """By how much each character changes the count, a signed byte each."""
+        return np.diff(self.word_counts(word), prepend=0).astype(np.int8).tobytes()
+
+    def steps(self, text: str) -> bytes:
+        """The token counts of all prefixes of a text, a signed byte per character: their
+        running sum. A token is far shorter than a byte can count."""
+        joined = b"".join(map(self.word_steps.__getitem__, self.words(text)))
+        # The model's own blank is no prefix of the text: its step goes with the next.
+        if not joined:
+            return joined
+        first = np.frombuffer(joined[:2], np.int8).sum(dtype=np.int8)
+        return first.tobytes() + joined[2:]
 
     def counts(self, text: str) -> np.ndarray:
         """Token count of every prefix of a text; place n is the prefix of n characters."""
-        parts, before = [], 0
-        for word in self.words(text):
-            own = self.word_counts(word)
-            parts.append(np.array(own, np.int32) + before)
-            before += own[-1]
-        if not parts:
-            return np.zeros(1, np.int32)
-        joined = np.concatenate(parts)
-        joined[0] = 0  # the model's own blank is no prefix of the text
-        return joined
-
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix with at most `budget` tokens."""
-        before, place, found = 0, -1, 0
-        for word in self.words(text):
-            if before >= budget:  # every word adds a token at least
-                break
-            after = before + self.word_tokens[word]
-            if after <= budget:
-                found = place + len(word)
-            else:
-                for n, own in enumerate(self.word_counts(word), 1):
-                    if before + own <= budget:
-                        found = place + n
-            before, place = after, place + len(word)
-        return max(found, 0)
+        return prefix_counts_of(self.steps(text))
+
+
+def prefix_counts_of(steps: bytes) -> np.ndarray:
+    """Place n: the tokens of the first n characters."""
+    found = np.zeros(len(steps) + 1, np.int32)
+    np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int32, out=found[1:])
+    return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,16 +144,33 @@ def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, model: str, budgets: tuple[int, ...] = (),
-                 keep_counts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens), per budget `chars_within_<budget>`, and with
-    `keep_counts` `prefix_counts`: array, place n the tokens of the first n characters.
+def store_counts(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_bytes, steps): the token counts of all prefixes of each text, as the
+    running sums of `steps`, a signed byte per character. What a text of any length up to
+    any place has in tokens is answered from these (`answers`), without encoding again.
 
-    Counts are the library's for the text (and prefix) alone, without begin, end or
-    special tokens. Reads `doc_id` and `text`; other columns are not touched. Narrow:
-    one pass, no shuffle. A NULL text is an empty one with no tokens; repeated rows
-    are counted each; an empty table gives no rows.
+    Counts are the library's for the prefix alone, without begin, end or special tokens.
+    Reads `doc_id` and `text`; other columns are not touched. Narrow: one pass, no
+    shuffle. A NULL text is an empty one with no tokens; repeated rows are counted each;
+    an empty table gives no rows.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("steps", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = prefix_counter(model)
+        rows = ((doc_id, len(raw.encode()), counter.steps(raw)) for batch in batches
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])
+                for raw in (text.as_py() or "",))
+        yield from chunked(rows, schema, 500)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), count,
+                     "doc_id bigint, n_bytes bigint, steps binary")
+
+
+def answers(stored: DataFrame, budgets: tuple[int, ...] = (), keep_counts: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens), per budget `chars_within_<budget>`, the characters of
+    the longest prefix within it, and with `keep_counts` `prefix_counts`: array, place n
+    the tokens of the first n characters. From the counts of `store_counts` alone."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
               *[(f"chars_within_{b}", pa.int64()) for b in budgets]]
     ddl = ", ".join(f"{name} bigint" for name, _ in fields)
@@ -169,22 +179,27 @@ def count_tokens(docs: DataFrame, model: str, budgets: tuple[int, ...] = (),
         ddl += ", prefix_counts array<int>"
     schema = pa.schema(fields)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = prefix_counter(model)
-
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                    text = text.as_py() or ""
-                    n = counter.count(text)
-                    row = (doc_id, len(text.encode()), n, *[
-                        len(text) if n <= b else counter.longest_prefix(text, b) for b in budgets])
-                    yield (*row, counter.counts(text)) if keep_counts else row
+                for doc_id, n_bytes, steps in zip(
+                        batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["steps"]):
+                    counts = prefix_counts_of(steps.as_buffer())
+                    n = int(counts[-1])
+                    row = (doc_id, n_bytes, n, *[
+                        len(counts) - 1 if n <= b else int(np.flatnonzero(counts <= b)[-1])
+                        for b in budgets])
+                    yield (*row, counts) if keep_counts else row
 
         yield from chunked(rows(), schema, 200 if keep_counts else 10_000)
 
-    return map_arrow(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), count, ddl)
+    return map_arrow(stored.select("doc_id", "n_bytes", "steps"), answer, ddl)
+
+
+def count_tokens(docs: DataFrame, model: str, budgets: tuple[int, ...] = (),
+                 keep_counts: bool = False) -> DataFrame:
+    """`answers` from the counts of `store_counts`."""
+    return answers(store_counts(docs, model), budgets, keep_counts)
 
 
 def tokens_of_prefix(counted: DataFrame, chars: int) -> DataFrame:

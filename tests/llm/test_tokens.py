@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 import tokenizers
 from hypothesis import given, settings, strategies as st
@@ -77,15 +78,12 @@ def library():
 def test_every_prefix_counts_as_the_library_says(counter, library, text):
     want = [len(library.encode(text[:n])) for n in range(len(text) + 1)]
     assert counter.counts(text).tolist() == want
-    assert counter.count(text) == want[-1]
-    for budget in (0, 1, 3, 10):
-        assert counter.longest_prefix(text, budget) == max(
-            n for n, c in enumerate(want) if c <= budget)
+    assert len(counter.steps(text)) == len(text)
 
 
 def test_counts_of_real_texts(spark, sf_dir, counter, library):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert [counter.count(t) for t in texts] == [len(ids) for ids in library.encode(texts)]
+    assert [counter.counts(t)[-1] for t in texts] == [len(ids) for ids in library.encode(texts)]
 
 
 def test_counted_documents(documents, library):
@@ -107,6 +105,24 @@ def test_questions_are_answered_from_stored_counts(documents, library):
         counted, "doc_id", "chars_within_4")
 
 
+def test_budgets_are_answered_without_the_texts(spark, documents, library, tmp_path, monkeypatch):
+    """From what was stored: a byte per character, and no tokenizer at hand."""
+    token_counts.store_counts(documents(*TEXTS), PIECES).write.parquet(str(tmp_path / "counts"))
+    stored = spark.read.parquet(str(tmp_path / "counts"))
+    assert rows_of(stored.select("doc_id", F.length("steps"))) == [
+        (i, len(t or "")) for i, t in enumerate(TEXTS)]
+    for budgets in ((0,), (1, 3, 50)):
+        got = token_counts.answers(stored, budgets).collect()
+        for r in got:
+            text = TEXTS[r.doc_id] or ""
+            assert r.n_tokens == len(library.encode(text))
+            for budget in budgets:
+                chars = r[f"chars_within_{budget}"]
+                assert len(library.encode(text[:chars])) <= budget
+                assert all(len(library.encode(text[:n])) > budget
+                           for n in range(chars + 1, min(len(text), chars + 20) + 1))
+
+
 def test_no_documents_no_counts(documents):
     assert token_counts.count_tokens(documents(), PIECES).isEmpty()
 
