@@ -20,7 +20,7 @@ from portolan.llm.components import components, spanning_links
 COSINE = 0.95
 NEAREST = 6                # pivots that describe a vector; two shared ones make a candidate
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
-APART = 0.7                # cosine that two pivots stay below
+APART = 0.7                # cosine that two pivots stay below, seen from the middle of all
 DRAWN = 4                  # vectors drawn for each pivot wanted
 MOST_LIST = 20_000         # a longer list is worked on in blocks of this many
 TILE = 1024
@@ -44,14 +44,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _spread(points: np.ndarray, most: int) -> np.ndarray:
-    """The first `most` unit rows that have a cosine below `APART` with all before them."""
-    kept, n = np.empty((min(most, len(points)), points.shape[1])), 0
-    for point in points:
-        if n == len(kept):
+    """The first `most` unit rows that have a cosine below `APART` with all before them.
+
+    Directions are taken from the middle of the rows: where vectors all lean one way, as
+    text embeddings do, any two of them have a high cosine from the origin, and only what
+    is left without the common part tells them apart.
+    """
+    turned = points - points.mean(axis=0)
+    lengths = np.linalg.norm(turned, axis=1, keepdims=True)
+    turned = np.divide(turned, lengths, out=np.zeros_like(turned), where=lengths > 1e-12)
+    kept, chosen = np.empty((min(most, len(points)), points.shape[1])), []
+    for i, point in enumerate(turned):
+        if len(chosen) == len(kept):
             break
-        if not n or (kept[:n] @ point).max() < APART:
-            kept[n], n = point, n + 1
-    return kept[:n]
+        if not chosen or (kept[:len(chosen)] @ point).max() < APART:
+            kept[len(chosen)] = point
+            chosen.append(i)
+    return points[chosen]
 
 
 def draw_pivots(classes: DataFrame) -> dict[int, np.ndarray]:

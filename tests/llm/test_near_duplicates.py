@@ -205,6 +205,26 @@ def test_recall_in_a_hot_cluster(spark, monkeypatch, least_pivots):
         assert sum(got[i] for i in range(n)[part]) >= 0.95 * links[part].sum() > 1000
 
 
+@pytest.mark.parametrize("mean_cosine", [0.6, 0.8])
+def test_vectors_that_lean_one_way(spark, mean_cosine):
+    """As text embeddings do: pivots are still many, and pairs just above the limit found."""
+    random_, n = np.random.default_rng(11), 3000
+    lean = np.sqrt(mean_cosine / (1 - mean_cosine))
+    own = np.concatenate((random_.normal(size=(n, 64)) / 8, np.full((n, 1), lean)), axis=1)
+    near = own[::3] + np.concatenate((random_.normal(size=(n // 3, 64)) / 8 * (
+        0.3 * np.sqrt(1 + lean * lean)), np.zeros((n // 3, 1))), axis=1)
+    vectors = unit(np.concatenate((own, near))).astype(np.float32)
+    sample = unit(own)[:500]
+    assert abs((sample @ sample.T).mean() - mean_cosine) < 0.05
+    assert len(pivot_index._spread(unit(own), 100)) == 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                               "vec_id bigint, embedding array<float>")
+    got = {r.place: r.n_links for r in pivot_index.near_duplicates(df).collect()}
+    links = np.bincount(np.array(brute(vectors)).ravel(), minlength=len(vectors))
+    assert all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) >= 0.9 * links.sum() > 500
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]),
