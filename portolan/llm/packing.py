@@ -61,49 +61,41 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 def pack_sizes(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length) within `capacity`, for items within it.
 
-    The window count starts at the least that could hold the items and rises as
-    long as a window of the differencing exceeds the capacity. With `cut`, what a
-    window has too much is first cut off its last items and moved into the room
-    left in others, and the count rises only if that room does not suffice.
+    The window count starts at the least that could hold the items and rises as long as a
+    window of the differencing exceeds the capacity: by one, or at once by the share that
+    the fullest has too much. So every item is whole in its window. With `cut`, the
+    emptiest windows, as many as the count has risen by, are then dissolved into the
+    places that are left in the others.
     """
     if not sizes:
         return []
-    k = -(-sum(sizes) // capacity)
+    least = k = -(-sum(sizes) // capacity)
     while True:
-        windows = [[(i, 0, sizes[i]) for i in window] for window in differencing(sizes, k)]
-        loads = [sum(p[2] for p in window) for window in windows]
-        room = k * capacity - sum(loads)
-        if max(loads) <= capacity or cut and room >= 0:
+        windows = differencing(sizes, k)
+        loads = [sum(sizes[i] for i in window) for window in windows]
+        fullest = max(loads)
+        if fullest <= capacity:
             break
-        k += 1
-    if cut:
-        windows += [[] for _ in range(k - len(windows))]
-        _move_excess(windows, capacity)
-    return windows
-
-
-def _move_excess(windows: list[list[tuple[int, int, int]]], capacity: int) -> None:
-    loads = [sum(p[2] for p in window) for window in windows]
-    excess = []
-    for at, window in enumerate(windows):
-        while loads[at] > capacity:
-            item, start, length = window.pop()
-            keep = max(0, length - (loads[at] - capacity))
-            if keep:
-                window.append((item, start, keep))
-            excess.append((item, start + keep, length - keep))
-            loads[at] -= length - keep
-    emptiest_last = sorted(range(len(windows)), key=lambda at: -loads[at])
-    while excess:
-        item, start, length = excess.pop()
-        at = emptiest_last[-1]
-        moved = min(length, capacity - loads[at])
-        if moved:
-            windows[at].append((item, start, moved))
-            loads[at] += moved
-        if moved < length:
-            excess.append((item, start + moved, length - moved))
-            emptiest_last.pop()
+        k = max(k + 1, min(len(sizes), k * fullest // capacity))
+    windows = [[(i, 0, sizes[i]) for i in window] for window in windows]
+    return _closed_up(windows, loads, capacity, least) if cut else windows
+
+
+def _closed_up(windows: list[list[tuple[int, int, int]]], loads: list[int], capacity: int,
+               least: int) -> list[list[tuple[int, int, int]]]:
+    """The `least` fullest windows, with what the others hold cut into their places."""
+    order = sorted(range(len(windows)), key=lambda at: (-loads[at], at))
+    kept = [(windows[at], capacity - loads[at]) for at in order[:least]]
+    left = [piece for at in order[least:] for piece in windows[at]]
+    for window, room in reversed(kept):  # the emptiest first, so that few pieces are cut
+        while room and left:
+            item, start, length = left.pop()
+            moved = min(length, room)
+            window.append((item, start, moved))
+            room -= moved
+            if moved < length:
+                left.append((item, start + moved, length - moved))
+    return [window for window, _ in kept]
 
 
 def _pack_group(docs: list[tuple[int | None, np.ndarray]], capacity: int,
