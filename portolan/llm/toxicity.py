@@ -114,9 +114,12 @@ def _chance(raw: np.ndarray) -> np.ndarray:
 
 
 def _loss(rows: _Rows, which: np.ndarray, bias, w, v) -> float:
-    owner, term, label = rows.batch(which)
-    chance = np.clip(_chance(_raw(owner, term, len(which), bias, w, v)[0]), 1e-9, 1 - 1e-9)
-    return float(-np.mean(label * np.log(chance) + (1 - label) * np.log(1 - chance)))
+    lost = 0.0
+    for at in range(0, len(which), BATCH):  # as few at a time as in training
+        owner, term, label = rows.batch(which[at:at + BATCH])
+        chance = np.clip(_chance(_raw(owner, term, len(label), bias, w, v)[0]), 1e-9, 1 - 1e-9)
+        lost -= float((label * np.log(chance) + (1 - label) * np.log(1 - chance)).sum())
+    return lost / len(which)
 
 
 def _train(texts, labels, bias, weights, factors) -> float:
@@ -133,15 +136,18 @@ def _train(texts, labels, bias, weights, factors) -> float:
     texts, labels = [texts[i] for i in sorted(first.values())], labels[sorted(first.values())]
     sizes, term = [len(t) for t in texts], np.concatenate(texts)
     seen = np.bincount(term, minlength=BUCKETS)
+    ones = np.bincount(term, np.repeat(labels.astype(np.float32), sizes), BUCKETS)
     known = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known))
     rows = _Rows([p[p >= 0] for p in (place[t] for t in texts)], labels)
-    alone = _tells(seen, np.bincount(term, np.repeat(labels, sizes), BUCKETS), labels.mean())[known]
+    n = len(texts)
+    alone = _tells(seen, ones, labels.mean())[known]
+    del texts, term  # the rows hold what is learned from
     w, v = np.zeros(len(known)), np.zeros((len(known), FACTORS))
     w_sq, b_sq = np.full(len(known), 1e-8), 1e-8
-    kept_back = np.arange(0, len(texts), KEPT_BACK)
-    learned = np.setdiff1d(np.arange(len(texts)), kept_back)
+    kept_back = np.arange(0, n, KEPT_BACK)
+    learned = np.setdiff1d(np.arange(n), kept_back)
     if not len(learned):
         return bias
 
@@ -241,7 +247,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS,
     taken = rows.withColumn("until", F.sum(F.size("terms")).over(running)).where(
         F.col("until") <= most_terms).orderBy("order").select("terms", "label").toArrow()
     ids = taken["terms"].combine_chunks()
-    texts = [np.asarray(ids[i].values, np.int32) for i in range(len(ids))]
+    texts = np.split(ids.flatten().to_numpy(), ids.offsets.to_numpy()[1:-1] - ids.offsets[0].as_py()) if len(
+        ids) else []
     return fit(texts, np.asarray(taken["label"]))
 
 
