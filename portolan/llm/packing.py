@@ -58,25 +58,34 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
-def pack_sizes(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length) within `capacity`, for items within it.
-
-    The window count starts at the least that could hold the items and rises as long as a
-    window of the differencing exceeds the capacity: by one, or at once by the share that
-    the fullest has too much. So every item is whole in its window. With `cut`, the
-    emptiest windows, as many as the count has risen by, are then dissolved into the
-    places that are left in the others.
-    """
-    if not sizes:
-        return []
-    least = k = -(-sum(sizes) // capacity)
+def rising(sizes: list[int], capacity: int, k: int) -> tuple[list[list[int]], list[int]]:
+    """Windows of item numbers within `capacity` and what they hold: the differencing for
+    `k` windows, and for more as long as one exceeds the capacity: by one more, or at once
+    by the share that the fullest has too much."""
     while True:
         windows = differencing(sizes, k)
         loads = [sum(sizes[i] for i in window) for window in windows]
         fullest = max(loads)
         if fullest <= capacity:
-            break
+            return windows, loads
         k = max(k + 1, min(len(sizes), k * fullest // capacity))
+
+
+def pack_sizes(sizes: list[int], capacity: int, cut: bool = True,
+               rise: list[float] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start, length) within `capacity`, for items within it.
+
+    The window count starts at the least that could hold the items and rises while the
+    capacity is exceeded (`rising`). So every item is whole in its window. With `cut`, the
+    emptiest windows, as many as the count has risen by, are then dissolved into the
+    places that are left in the others. `rise` remembers the share by which the count of
+    the last group rose, where that of the next one starts: like groups rise alike.
+    """
+    if not sizes:
+        return []
+    least, rise = -(-sum(sizes) // capacity), [0.0] if rise is None else rise
+    windows, loads = rising(sizes, capacity, min(len(sizes), max(least, int(least * (1 + rise[0])))))
+    rise[0] = 0.9 * max(0, len(windows) - least) / least
     windows = [[(i, 0, sizes[i]) for i in window] for window in windows]
     return _closed_up(windows, loads, capacity, least) if cut else windows
 
@@ -98,8 +107,8 @@ def _closed_up(windows: list[list[tuple[int, int, int]]], loads: list[int], capa
     return [window for window, _ in kept]
 
 
-def _pack_group(docs: list[tuple[int | None, np.ndarray]], capacity: int,
-                cut: bool) -> Iterator[tuple[list[dict], np.ndarray]]:
+def _pack_group(docs: list[tuple[int | None, np.ndarray]], capacity: int, cut: bool,
+                rise: list[float]) -> Iterator[tuple[list[dict], np.ndarray]]:
     """(pieces, ids) of each window. Full windows are cut off long documents from
     the front; their rests go to the differencing."""
     rests = []
@@ -110,7 +119,7 @@ def _pack_group(docs: list[tuple[int | None, np.ndarray]], capacity: int,
                      "doc_tokens": len(ids)}], ids[start:start + capacity])
         if full < len(ids):
             rests.append((doc_id, full, ids))
-    for window in pack_sizes([len(ids) - full for _, full, ids in rests], capacity, cut):
+    for window in pack_sizes([len(ids) - full for _, full, ids in rests], capacity, cut, rise):
         pieces, parts, offset = [], [], 0
         for item, start, length in window:
             doc_id, full, ids = rests[item]
@@ -141,12 +150,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         end = np.array([end_id], encoder.dtype)
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, np.ndarray]] = []
-        size = 0
+        size, rise = 0, [0.0]
         out: list[tuple] = []
 
         def flush() -> None:
             nonlocal sequence
-            for pieces, ids in _pack_group(held, capacity, cut):
+            for pieces, ids in _pack_group(held, capacity, cut, rise):
                 out.append((sequence, len(ids), ids.astype("<u4").tobytes(), pieces))
                 sequence += 1
 
