@@ -114,7 +114,8 @@ class PrefixCounter:
 
     def _steps(self, word: str) -> bytes:
         """By how much each character changes the count, a signed byte each."""
-        return np.diff(self.word_counts(word), prepend=0).astype(np.int8).tobytes()
+        counts = self.word_counts(word)
+        return bytes([after - before & 255 for before, after in zip([0, *counts], counts)])
 
     def steps(self, text: str) -> bytes:
         """The token counts of all prefixes of a text, a signed byte per character: their
