@@ -3,36 +3,24 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from portolan.llm.common import chunked, map_arrow
 
-CACHED_WORDS = 1_000_000
+CACHED_CHARS = 10_000_000  # of words whose counts a worker keeps
 CACHED_PAIRS = 400_000
-CACHED_LENGTH = 64
+GROUP_CHARS = 4_000_000  # of texts whose new words are worked out together
 _SPACE = "▁"  # fixed value: how the vocabulary writes a blank
 _MARKS = ".,;:!?\")"  # a word of letters is counted apart from these where no token holds both
 
 
-class _Cache(dict):
-    """A dict that works a missing value out, and keeps at most `most` of them."""
-
-    def __init__(self, work, most: int):
-        super().__init__()
-        self.work, self.most = work, most
-
-    def __missing__(self, key):
-        value = self.work(key)
-        if len(self) < self.most and len(key) <= CACHED_LENGTH:
-            self[key] = value
-        return value
-
-
 class PrefixCounter:
     """Counts for a BPE model of the `sentencepiece` library with byte fallback.
 
@@ -44,7 +32,8 @@ class PrefixCounter:
 
     A character outside the vocabulary counts its bytes and fits anything. No token
     goes on from a word into the blank after it or over a line end (checked), so words
-    are counted apart and summed; a word's total is kept, as words come again.
+    are counted apart and summed; a word's counts are kept, as words come again. New
+    words are taken in order, each from the prefix that it shares with the one before.
     """
 
     def __init__(self, path: str):
@@ -54,82 +43,122 @@ class PrefixCounter:
         ids = [i for i in range(model.get_piece_size())
                if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.score = {model.id_to_piece(i).replace(_SPACE, " "): model.get_score(i) for i in ids}
-        self._is_token = {p[i:]: p[i:] in self.score for p in self.score for i in range(len(p))}
+        self._longest = max(map(len, self.score))
         if any("\n" in p or " " in p.lstrip(" ") for p in self.score):
             raise ValueError(f"{path} has tokens that reach over words or lines")
         marks = "".join(m for m in _MARKS if not any(
             re.search(rf"[^\W\d_]{re.escape(m)}", p) for p in self.score))
         self._segments = re.compile(
             rf" *[^\W\d_]+(?=[ \n{re.escape(marks)}]|\Z)| *[^ \n]+| +|\n")
-        self._fits = _Cache(self._pair_fits, CACHED_PAIRS)
-        self.word_steps = _Cache(self._steps, CACHED_WORDS)
+        self._built: dict[str, list | None] = {}
+        self._fits: dict[tuple[str, str], bool] = {}
+        self._word_steps: dict[str, bytes] = {}
+        self._kept_chars = 0
         for probe in ("It's  ﬁne,\t①\n\n Größe 12½ ", "日本 x​🙂<s>"):
             if self.counts(probe)[1:].tolist() != [
                     len(model.encode(probe[:n])) for n in range(1, len(probe) + 1)]:
                 raise ValueError(f"{path} is not a plain BPE model with byte fallback")
 
-    def _merged(self, text: str) -> list[str]:
-        """BPE itself, for a text of two tokens: the best-scored neighbours merge first."""
-        parts = list(text)
-        while True:
-            best = max(
-                ((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
-                 if a + b in self.score), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-
-    def _pair_fits(self, pair: tuple[str, str]) -> bool:
-        first, second = pair
-        return self._merged(first + second) == ([first, second] if first else [second])
-
-    def word_counts(self, word: str) -> list[int]:
-        """Token count of every prefix of a word, the empty one not included."""
-        counts, last = [0], [""]
-        is_token, fits = self._is_token.get, self._fits
-        for end in range(1, len(word) + 1):
-            tokens, start = [], end - 1
-            while start >= 0:
-                token = word[start:end]
-                known = is_token(token)
-                if known is None:  # no token ends like this
-                    break
-                if known:
-                    tokens.append((start, token))
-                start -= 1
-            for start, token in reversed(tokens):
-                if fits[last[start], token]:
-                    counts.append(counts[start] + 1)
-                    last.append(token)
+    def _building(self, token: str) -> list[tuple[float, str, str]] | None:
+        """How BPE builds a token, the best-scored neighbours first: before each merge its
+        score and the pieces at both ends. None if the token is not what comes out."""
+        if token not in self._built:
+            parts, states = list(token), []
+            while True:
+                best = max(
+                    ((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
+                     if a + b in self.score), default=None)
+                states.append((best[0] if best else -math.inf, parts[0], parts[-1]))
+                if best is None:
                     break
+                i = -best[1]
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            self._built[token] = states if len(parts) == 1 else None
+        return self._built[token]
+
+    def _pair_fits(self, first: str, second: str) -> bool:
+        """Whether two tokens are the encoding of their text: both are built, and at no
+        time are the pieces that meet the best neighbours to merge (the leftmost of equals)."""
+        left, right = self._building(first) if first else None, self._building(second)
+        if right is None or not first:
+            return right is not None
+        i = j = 0
+        while True:
+            (mine, _, end), (yours, start, _) = left[i], right[j]
+            across = self.score.get(end + start, -math.inf)
+            if across > mine and across >= yours:
+                return False
+            if mine >= yours:
+                if mine == -math.inf:
+                    return True
+                i += 1
             else:
-                counts.append(counts[-1] + len(word[end - 1].encode()))
-                last.append("")
-        return counts[1:]
+                j += 1
+
+    def _learn(self, words: set[str]) -> None:
+        """Keep by how much each character of each word changes the count."""
+        score, fits, longest = self.score, self._fits, self._longest
+        if len(fits) > CACHED_PAIRS:
+            fits.clear()
+        counts, last, steps, before = [0], [""], bytearray(), ""
+        for word in sorted(words):
+            shared = 0
+            for mine, other in zip(word, before):
+                if mine != other:
+                    break
+                shared += 1
+            del counts[shared + 1:], last[shared + 1:], steps[shared:]
+            for end in range(shared + 1, len(word) + 1):
+                for start in range(max(0, end - longest), end):
+                    token = word[start:end]
+                    if token in score:
+                        pair = last[start], token
+                        fit = fits.get(pair)
+                        if fit is None:
+                            fit = fits[pair] = self._pair_fits(*pair)
+                        if fit:
+                            count = counts[start] + 1
+                            break
+                else:
+                    count, token = counts[-1] + len(word[end - 1].encode()), ""
+                steps.append(count - counts[-1] & 255)
+                counts.append(count)
+                last.append(token)
+            before = word
+            self._word_steps[word] = bytes(steps)
+            self._kept_chars += len(word)
 
     def words(self, text: str) -> list[str]:
         """The words of a text as the model sees them: with a blank before the first."""
         return self._segments.findall(" " + text.replace(_SPACE, " ")) if text else []
 
-    def _steps(self, word: str) -> bytes:
-        """By how much each character changes the count, a signed byte each."""
-        counts = self.word_counts(word)
-        return bytes([after - before & 255 for before, after in zip([0, *counts], counts)])
-
-    def steps(self, text: str) -> bytes:
-        """The token counts of all prefixes of a text, a signed byte per character: their
+    def steps(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The token counts of all prefixes of each text, a signed byte per character: their
         running sum. A token is far shorter than a byte can count."""
-        joined = b"".join(map(self.word_steps.__getitem__, self.words(text)))
-        # The model's own blank is no prefix of the text: its step goes with the next.
-        if not joined:
-            return joined
-        first = np.frombuffer(joined[:2], np.int8).sum(dtype=np.int8)
-        return first.tobytes() + joined[2:]
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self._group_steps(held)
+                held, chars = [], 0
+        yield from self._group_steps(held)
+
+    def _group_steps(self, texts: list[str]) -> Iterator[bytes]:
+        if self._kept_chars > CACHED_CHARS:
+            self._word_steps.clear()
+            self._kept_chars = 0
+        split = list(map(self.words, texts))
+        self._learn(set().union(*split).difference(self._word_steps))
+        for words in split:
+            joined = b"".join(map(self._word_steps.__getitem__, words))
+            # The model's own blank is no prefix of the text: its step goes with the next.
+            first = np.frombuffer(joined[:2], np.int8).sum(dtype=np.int8)
+            yield first.tobytes() + joined[2:] if joined else joined
 
     def counts(self, text: str) -> np.ndarray:
         """Token count of every prefix of a text; place n is the prefix of n characters."""
-        return prefix_counts_of(self.steps(text))
+        return prefix_counts_of(*self.steps([text]))
 
 
 def prefix_counts_of(steps: bytes) -> np.ndarray:
@@ -159,10 +188,14 @@ def store_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(model)
-        rows = ((doc_id, len(raw.encode()), counter.steps(raw)) for batch in batches
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])
-                for raw in (text.as_py() or "",))
-        yield from chunked(rows, schema, 500)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                texts = pc.fill_null(batch["text"], "")
+                yield from zip(batch["doc_id"].to_pylist(), pc.binary_length(texts).to_pylist(),
+                               counter.steps(t.as_py() for t in texts))
+
+        yield from chunked(rows(), schema, 500)
 
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), count,
                      "doc_id bigint, n_bytes bigint, steps binary")

@@ -78,7 +78,19 @@ def library():
 def test_every_prefix_counts_as_the_library_says(counter, library, text):
     want = [len(library.encode(text[:n])) for n in range(len(text) + 1)]
     assert counter.counts(text).tolist() == want
-    assert len(counter.steps(text)) == len(text)
+    assert [len(s) for s in counter.steps([text])] == [len(text)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text("abcdest é日.\n", max_size=40), max_size=12))
+def test_words_of_a_group_share_prefixes(counter, library, texts):
+    """Words are worked out together; cleared caches and small groups change nothing."""
+    fresh = token_counts.PrefixCounter.__new__(token_counts.PrefixCounter)
+    fresh.__dict__ = counter.__dict__ | {
+        "_word_steps": {}, "_fits": {}, "_built": {}, "_kept_chars": token_counts.CACHED_CHARS + 1}
+    want = [[len(library.encode(t[:n])) for n in range(len(t) + 1)] for t in texts]
+    assert [token_counts.prefix_counts_of(s).tolist() for s in fresh.steps(texts)] == want
+    assert [token_counts.prefix_counts_of(s).tolist() for s in counter.steps(iter(texts))] == want
 
 
 def test_counts_of_real_texts(spark, sf_dir, counter, library):
