@@ -457,6 +457,10 @@ from fact f
   left join dim_state s on f.state_code = s.state_code
   left join dim_visa v on f.visa_key = v.visa_key
   left join calendar t on f.arrival_date = t.arrival_date""",
+    "star_join_clustered": f"""
+with {_FACT}, {_DIMS}
+select i94_key, f.port_key, f.state_code, f.visa_key, p.state as port_state, p.address as port_address
+from fact f left join dim_port p on f.port_key = p.port_key""",
     "star_rollup": f"""
 with {_FACT}
 select state_code, visa_key, i94yr, cast(sum(i94_count) as bigint) as people,

@@ -24,6 +24,7 @@ from portolan.functions.text import header_name
 from portolan.plans import jobs
 from portolan.schemas import CSV, LABEL_STAGING, PARTITIONS
 from portolan.scratch import new_folder
+from portolan.sinks.clustered import clustered_join, save_clustered
 from portolan.sinks.tables import write_flat, write_partitioned
 from portolan.sources.demographics import read_demographics
 from portolan.sources.entries import read_entries
@@ -432,6 +433,15 @@ def star_join(spark, sf_dir):
     return iso(star.star_join(entries, dims, list(star.LINKS)))
 
 
+def star_join_clustered(spark, sf_dir):
+    """Ports joined to entries that lie in buckets by port."""
+    root = new_folder(spark, "clustered")
+    entries = fact(spark, sf_dir).select("i94_key", "port_key", "state_code", "visa_key")
+    write_flat(entries, f"{root}/fact")
+    save_clustered(spark.read.parquet(f"{root}/fact"), f"{root}/by_port", "port", 16)
+    return clustered_join(spark, f"{root}/by_port", standins.dimensions(spark, sf_dir))
+
+
 def star_rollup(spark, sf_dir):
     return analytics.star_rollup(fact(spark, sf_dir))
 
@@ -513,6 +523,7 @@ QUERIES = {
     "star_count": star_count,
     "port_count": port_count,
     "star_join": star_join,
+    "star_join_clustered": star_join_clustered,
     "star_rollup": star_rollup,
     "per_capita": per_capita,
     "unknown_member": unknown_member,

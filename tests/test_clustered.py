@@ -1,0 +1,84 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from portolan.schemas import TABLES
+from portolan.sinks.clustered import clustered_join, read_clustered, save_clustered, spread_of
+from tests.helpers import plan
+
+FACT = "i94_key int, port_key string, i94_count int"
+
+
+@pytest.fixture
+def ports(spark):
+    return {"dim_port": spark.createDataFrame(
+        [("A", "NY", "ALBANY"), ("B", "TX", "AUSTIN"), ("C", None, "SEA")], TABLES["dim_port"])}
+
+
+def saved(spark, rows, path, buckets=8):
+    """A third of the rows have one port, a third of them no port; some rows repeat."""
+    spark.createDataFrame(rows, FACT).repartition(3).write.parquet(f"{path}/raw")
+    save_clustered(spark.read.parquet(f"{path}/raw"), f"{path}/by_port", "port", buckets)
+    return f"{path}/by_port"
+
+
+def entries(n):
+    port = lambda i: ("A", None, ["B", "C", "X", f"P{i}"][i % 4])[i % 3]
+    return [(i % (n - 5), port(i % (n - 5)), 1) for i in range(n)]
+
+
+def test_joined_rows_are_those_of_a_plain_join(spark, ports, tmp_path):
+    rows = entries(600)
+    path = saved(spark, rows, tmp_path)
+    labels = {"A": ("NY", "ALBANY"), "B": ("TX", "AUSTIN"), "C": (None, "SEA")}
+    got = clustered_join(spark, path, ports)
+    assert got.columns == ["i94_key", "port_key", "i94_count", "port_state", "port_address"]
+    assert Counter(map(tuple, got.collect())) == Counter(
+        (*r, *labels.get(r[1], (None, None))) for r in rows)
+    inner = clustered_join(spark, path, ports, "inner")
+    assert inner.count() == sum(r[1] in labels for r in rows)
+    assert Counter(map(tuple, read_clustered(spark, path).collect())) == Counter(rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("portolan_")]
+
+
+def test_the_fact_is_not_shuffled(spark, ports, tmp_path):
+    path = saved(spark, entries(600), tmp_path)
+    text = plan(clustered_join(spark, path, ports))
+    assert "SortMergeJoin" in text and "Bucketed: true" in text
+    fact_side = text[text.index("SortMergeJoin"):]
+    lines = fact_side.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "by_port" in line)
+    assert not any("Exchange" in line for line in lines[:scan])
+
+
+def test_a_hot_key_fills_several_buckets(spark, tmp_path):
+    path = saved(spark, entries(3000), tmp_path)
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    assert {(r.key, r.parts) for r in spread_of(raw, "port_key", 8).collect()} == {("A", 3), (None, 3)}
+    files = spark.read.parquet(path).where("port_key = 'A'").groupBy(F.input_file_name()).count()
+    sizes = [r["count"] for r in files.collect()]
+    assert len(sizes) > 1 and max(sizes) < 1000
+    # No more than one file a bucket.
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() <= 8
+
+
+def test_replaced_and_empty(spark, ports, tmp_path):
+    path = saved(spark, entries(60), tmp_path)
+    one = spark.createDataFrame([(1, "B", 2)], FACT)
+    save_clustered(one, path, "port", 4)
+    assert [tuple(r) for r in clustered_join(spark, path, ports).collect()] == [(1, "B", 2, "TX", "AUSTIN")]
+    save_clustered(one.limit(0), path, "port", 4)
+    assert clustered_join(spark, path, ports).isEmpty()
+    with pytest.raises(ValueError):
+        save_clustered(one.withColumn("_part", F.lit(1)), path, "port", 4)
+
+
+def test_a_write_that_fails_leaves_the_table(spark, ports, tmp_path):
+    path = saved(spark, entries(60), tmp_path)
+    before = clustered_join(spark, path, ports).count()
+    bad = spark.createDataFrame([(1, "B", 2)], FACT).withColumn(
+        "i94_count", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        save_clustered(bad, path, "port", 4)
+    assert clustered_join(spark, path, ports).count() == before
