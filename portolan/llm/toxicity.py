@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -132,7 +133,8 @@ def _train(texts, labels, bias, weights, factors) -> float:
     the rows kept back, none at all if none did better than the weights.
     """
     random = np.random.default_rng(SEED)
-    first = {t.tobytes(): i for i, t in reversed(list(enumerate(texts)))}  # copies count once
+    first = {hashlib.blake2b(t.tobytes(), digest_size=16).digest(): i
+             for i, t in reversed(list(enumerate(texts)))}  # copies count once
     texts, labels = [texts[i] for i in sorted(first.values())], labels[sorted(first.values())]
     sizes, term = [len(t) for t in texts], np.concatenate(texts)
     seen = np.bincount(term, minlength=BUCKETS)
@@ -235,21 +237,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     return map_arrow(joined, work, "doc_id bigint, terms array<int>, label int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS,
-          most_terms: int = MOST_TERMS) -> FactorizationMachine:
-    """A model fitted on the bounded sample of `training_rows`, on the driver: of at most
-    `most` rows those with the smallest ids whose terms are `most_terms` together. A
-    document that occurs several times is learned from once per occurrence. Of an id's
-    labels the largest counts."""
+def bounded_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS,
+                   most_terms: int = MOST_TERMS) -> DataFrame:
+    """(terms, label) of at most `most` rows of `training_rows`, those with the smallest ids
+    whose terms are `most_terms` together: one partition, in the order of the ids."""
     rows = written(training_rows(docs, labels, most).withColumn(
         "order", F.struct("doc_id", F.xxhash64("terms"))).orderBy("order").limit(most), "training")
     running = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = rows.withColumn("until", F.sum(F.size("terms")).over(running)).where(
-        F.col("until") <= most_terms).orderBy("order").select("terms", "label").toArrow()
-    ids = taken["terms"].combine_chunks()
-    texts = np.split(ids.flatten().to_numpy(), ids.offsets.to_numpy()[1:-1] - ids.offsets[0].as_py()) if len(
-        ids) else []
-    return fit(texts, np.asarray(taken["label"]))
+    return rows.withColumn("until", F.sum(F.size("terms")).over(running)).where(
+        F.col("until") <= most_terms).select("terms", "label")
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS,
+          most_terms: int = MOST_TERMS) -> FactorizationMachine:
+    """A model fitted on the `bounded_sample`, by one task: the driver gets the model alone,
+    which has a fixed size, and a lost executor costs a task. A document that occurs several
+    times is learned from once per occurrence. Of an id's labels the largest counts."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[np.ndarray] = []
+        known: list[int] = []
+        for batch in batches:
+            if batch.num_rows:
+                ends = batch["terms"].offsets.to_numpy()
+                texts += np.split(batch["terms"].values.to_numpy()[ends[0]:ends[-1]], ends[1:-1] - ends[0])
+                known += batch["label"].to_pylist()
+        model = fit(texts, np.array(known))
+        yield pa.RecordBatch.from_pydict({
+            "bias": [model.bias], "weights": [model.weights.tobytes()],
+            "factors": [model.factors.tobytes()]})
+
+    found = map_arrow(bounded_sample(docs, labels, most, most_terms), work,
+                      "bias double, weights binary, factors binary").collect()
+    if not found:  # Spark skips the task where it knows that there are no rows
+        return fit([], np.array([]))
+    bias, weights, factors = found[0]
+    return FactorizationMachine(bias, np.frombuffer(weights, np.float32),
+                                np.frombuffer(factors, np.float32).reshape(BUCKETS, FACTORS))
 
 
 def score_of(model: FactorizationMachine, spark: SparkSession) -> Callable[[Column], Column]:

@@ -80,13 +80,23 @@ def test_pairs_of_words_that_tell_nothing_alone():
 def test_terms_in_all_are_bounded(spark, documents):
     docs = documents(*[(i, " ".join(f"t{i}x{j}" for j in range(50)), "s") for i in range(1, 40)])
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
-    seen = []
-    fit, toxicity.fit = toxicity.fit, lambda texts, labels: seen.append(texts)
-    try:
-        toxicity.learn(docs, labels, most_terms=300)
-    finally:
-        toxicity.fit = fit
-    assert 250 < sum(map(len, seen[0])) <= 300
+    taken = toxicity.bounded_sample(docs, labels, most_terms=300)
+    assert taken.rdd.getNumPartitions() == 1
+    assert 250 < sum(len(r.terms) for r in taken.collect()) <= 300
+
+
+def test_the_model_is_that_of_the_sample_in_its_order(spark, documents):
+    docs = documents(*[(i, f"w{i % 7} u{i % 3} " + ("insult group" if i % 5 == 0 else "insult"), "s")
+                       for i in range(300)])
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)],
+                                   "doc_id bigint, quality int, toxic int")
+    rows = toxicity.bounded_sample(docs, labels).collect()
+    want = toxicity.fit([np.array(r.terms, np.int32) for r in rows], np.array([r.label for r in rows]))
+    got = toxicity.learn(docs.repartition(5), labels)
+    assert got.bias == want.bias
+    assert (got.weights == want.weights).all() and (got.factors == want.factors).all()
+    empty = toxicity.learn(docs.where("false"), labels)
+    assert empty.score(toxicity.terms("a b")) == pytest.approx(0.5)
 
 
 def test_a_model_without_both_labels_gives_their_share():
