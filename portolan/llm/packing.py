@@ -167,8 +167,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                     [pa.array(c, f.type) for c, f in zip(zip(*part), _WINDOW)], schema=_WINDOW)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.concatenate((encoder.encode(text.as_py() or ""), end))
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
+                ids = np.concatenate((ids, end))
                 held.append((doc_id, ids))
                 size += len(ids)
                 if size >= group_windows * capacity:

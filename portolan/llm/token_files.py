@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer)
-        end = np.array([end_id], encoder.dtype)
+        end = np.array([end_id], encoder.dtype).tobytes()
         ids_kind = f"u{8 * encoder.dtype.itemsize}"
         fs, path = shared_files(folder)
         task = TaskContext.get()
@@ -69,16 +69,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         with ExitStack() as open_files:
             ids_file = None
             for batch in batches:
-                for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                     if doc == NO_DOC:
                         raise ValueError("the lowest 64-bit number stands for a missing doc_id")
                     if ids_file is None:
                         fs.create_dir(path, recursive=True)
                         ids_file = open_files.enter_context(fs.open_output_stream(
                             shard_name(path, shard, f"{ids_kind}.{attempt}")))
-                    ids = np.concatenate((encoder.encode(text.as_py() or ""), end))
-                    ids_file.write(ids.tobytes())
-                    size += len(ids)
+                    ids_file.write(ids.tobytes() + end)
+                    size += len(ids) + 1
                     offsets.append(size)
                     doc_ids.append(NO_DOC if doc is None else doc)
         if not doc_ids:

@@ -4,11 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from hypothesis import given, settings, strategies as st
 
-from portolan.llm import packing
+from portolan.llm import byte_bpe, packing
 from portolan.llm.byte_bpe import ByteBpe
 from tests.llm.conftest import rows_of
 
@@ -42,6 +43,51 @@ def test_special_strings_are_handled_as_by_the_library(encoder, library):
         assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+class Counted:
+    """A tokenizer, and how often it was called to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        self.calls += name.startswith("encode")
+        return getattr(self.tokenizer, name)
+
+
+def test_words_are_asked_once_and_many_at_a_time(library, monkeypatch):
+    """Also when the cache is full: else rare words cost most of the time."""
+    monkeypatch.setattr(byte_bpe, "CACHED_WORDS", 0)
+    encoder = ByteBpe(PATH)
+    encoder.tokenizer = whole = Counted(encoder.tokenizer)
+    encoder.of_words = of_words = Counted(getattr(encoder, "of_words", None))
+    text = "".join(f" q{chr(97 + i // 26)}{chr(97 + i % 26)}z" for i in range(500)) * 3
+    assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert whole.calls + of_words.calls <= 500 / 100 + 1
+
+
+def test_texts_taken_together_are_encoded_apart(library, encoder, monkeypatch):
+    """Whatever ends one text and begins the next, and however many are taken together."""
+    texts = ["it'", "s", " ", " a", "", None, "\n", "\n", "b'l", "l", "don't ", " 're", "'ve", "½", "1",
+             "日本 x", "é", "<|endoftext|>", "<|", "endoftext|>", "'", "'", "", "a  "]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for at_once in (1, 10, 1 << 20):
+        monkeypatch.setattr(byte_bpe, "AT_ONCE", at_once)
+        for kind in (pa.string(), pa.large_string()):
+            array = pa.array(texts, kind)
+            assert [ids.tolist() for ids in encoder.encode_all(array)] == want
+            assert [ids.tolist() for ids in encoder.encode_all(array.slice(2, 9))] == want[2:11]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab 'st\n.1½é", max_size=60), st.integers(1, 9))
+def test_long_texts_go_in_pieces(encoder, library, text, size):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(byte_bpe, "AT_ONCE", size)
+        assert "".join(byte_bpe._pieces(text)) == text
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 100), max_size=40), st.booleans())
 def test_windows_hold_every_item_once(sizes, cut):
     windows = packing.pack_sizes(sizes, 100, cut)
